@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, lm_scoring, mixing, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_bloom_lm": lm_scoring.op2_bloom_lm,
+        "op5_lexicon_toxicity": toxicity.op5_lexicon_toxicity,
+        "op6_bradley_terry_quality": quality.op6_bradley_terry_quality,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_hypergeometric_mix": mixing.op9_hypergeometric_mix,
         "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
