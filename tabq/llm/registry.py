@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, lm_scoring, mixing, quality, sharding, toxicity
+from . import decontamination, exact_dedup, line_dedup, lm_scoring, mixing, pii, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontamination.op1_decontamination,
         "op2_bloom_lm": lm_scoring.op2_bloom_lm,
+        "op3_line_spread": line_dedup.op3_line_spread,
+        "op4_weak_pii": pii.op4_weak_pii,
         "op5_lexicon_toxicity": toxicity.op5_lexicon_toxicity,
         "op6_bradley_terry_quality": quality.op6_bradley_terry_quality,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
@@ -17,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_line_spread": line_dedup.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
