@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame as Parquet in the shared folder and read it again."""
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tabq-stored-")
+    path = f"{root}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def crc_remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo `modulus`; a null id has remainder null."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

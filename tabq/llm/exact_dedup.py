@@ -63,7 +63,7 @@ def repeated_filter(hashes: DataFrame, n_slots: int) -> bytes:
     parts = hashes.mapInArrow(_hits(n_slots), "seg long, level int, slots binary")
     merged = parts.groupBy("seg").applyInArrow(_merge, "seg long, bits binary")
     bits = np.zeros((n_slots // SEGMENT, SEGMENT // 8), np.uint8)
-    for row in merged.toLocalIterator():
+    for row in merged.collect():  # at most MAX_SLOTS / SEGMENT rows
         bits[row.seg] = np.frombuffer(row.bits, np.uint8)
     return bits.tobytes()
 

@@ -66,7 +66,7 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_s
 def _chunks(lines: DataFrame) -> list:
     """Broadcasts of sorted hashes, CHUNK_LINES each at most."""
     sc, out, held = lines.sparkSession.sparkContext, [], []
-    for r in lines.toLocalIterator():
+    for r in checkpointed(lines).toLocalIterator():
         held.append(r.line)
         if len(held) >= CHUNK_LINES:
             out.append(sc.broadcast(np.sort(np.array(held, np.int64)).tobytes()))

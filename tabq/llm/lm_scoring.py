@@ -168,7 +168,7 @@ def train(texts: DataFrame) -> Model:
     for sent, df, size in ((sent_words, packed, lambda r: len(r.h) + len(r.n)), (sent_bits, filters, lambda r: len(r.bits))):
         # one slice at a time is on the driver
         held, total_size = [], 0
-        for r in df.toLocalIterator():
+        for r in checkpointed(df).toLocalIterator():
             if held and total_size + size(r) > SLICE_MB << 20:
                 sent.append(sc.broadcast(held))
                 held, total_size = [], 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, line_dedup, lm_scoring, mixing, pii, quality, sharding, toxicity
+from . import decontamination, exact_dedup, jaccard_join, line_dedup, lm_scoring, mixing, pii, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_lexicon_toxicity": toxicity.op5_lexicon_toxicity,
         "op6_bradley_terry_quality": quality.op6_bradley_terry_quality,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_metric_join": jaccard_join.op8_metric_join,
         "op9_hypergeometric_mix": mixing.op9_hypergeometric_mix,
         "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
     }

@@ -14,7 +14,6 @@ from .common import table
 SHARDS = 40
 #: Rows of a shard are numbered in cells of about so many, so that no task orders a whole shard.
 CELL_ROWS = 50_000
-RESERVED = ("_key", "_cell", "_hash", "_before")
 
 
 def _draw(key: Column, shard: Column, weights: list[float]) -> Column:
@@ -52,5 +51,11 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, key: str = "doc_id", text: st
     return numbered.join(before, ["shard", "_cell"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_before") + F.col("_at")).cast("long").alias("slot"), "grown_shard")
 
 
+def sharded_rows(docs: DataFrame, n_shards: int = SHARDS, key: str = "doc_id", weights: list[float] | None = None, column: str = "shard") -> DataFrame:
+    """The rows of `docs`, all columns, with their shard in `column` (which replaces one of that name); no shuffle."""
+    k = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
+    return docs.withColumn(column, rendezvous(k, weights or [1.0] * n_shards))
+
+
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
