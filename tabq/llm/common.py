@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +59,7 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         start, total = stop, int(ends[stop - 1])
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z: offsets by text, a vocabulary index for each word, the vocabulary."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -68,17 +67,36 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = flat.dictionary_encode()
     ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    vocabulary = coded.dictionary.cast(pa.binary()).to_pylist()
-    if b"" in vocabulary:  # white space at either end leaves an empty piece
-        real = ids != vocabulary.index(b"")
+    empty = pc.index(coded.dictionary, "").as_py() if len(coded.dictionary) else -1
+    if empty >= 0:  # white space at either end leaves an empty piece
+        real = ids != empty
         owner = np.repeat(np.arange(len(lengths)), lengths)[real]
         lengths, ids = np.bincount(owner, minlength=len(lengths)).astype(np.int64), ids[real]
-    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), ids, vocabulary
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), ids, coded.dictionary
 
 
-def hashed(vocabulary: list[bytes], seed: int = 0) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w, seed) for w in vocabulary), np.uint64, len(vocabulary))
+def _bytes_of(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a string array without nulls."""
+    vocabulary = vocabulary.cast(pa.large_binary())
+    _, offsets, data = vocabulary.buffers()
+    ends = np.frombuffer(offsets, np.int64)[vocabulary.offset : vocabulary.offset + len(vocabulary) + 1]
+    return ends, np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+
+
+def hashed(vocabulary: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word: the sum of a random number for each byte at its place, scrambled with the length."""
+    if not len(vocabulary):
+        return np.empty(0, np.uint64)
+    ends, data = _bytes_of(vocabulary)
+    data, ends = data[ends[0] : ends[-1]], ends - ends[0]
+    size = np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(ends[:-1], size)
+    number = _PLACES[(place & 63) << 8 | data]
+    if len(place) and place.max() > 63:
+        number = number * mixed((place >> 6).astype(np.uint64) + np.uint64(1))
+    np.cumsum(number, dtype=np.uint64, out=(whole := np.zeros(len(data) + 1, np.uint64))[1:])
+    sums = whole[ends[1:]] - whole[ends[:-1]]
+    return mixed(sums + size.astype(np.uint64) * GOLDEN)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -92,6 +110,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: A random number for each byte at each of 64 places.
+_PLACES = mixed(np.arange(1, 64 * 256 + 1, dtype=np.uint64) * GOLDEN)
+
+
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash for each window of n consecutive word hashes (windows may cross texts; the caller drops those)."""
     out = mixed(hashes[: len(hashes) - n + 1] + np.uint64(n))

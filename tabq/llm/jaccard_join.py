@@ -2,8 +2,8 @@
 
 Equal shingle sets are one point. Two coarse levels cut the space: rings of set size (the distance from the empty
 set), replicated into the rings that a partner may lie in, and within a ring projections on hash classes of shingles.
-Linked sets differ in at most D shingles, so of D + 1 classes one at least is equal; sets that agree on a class
-are gathered into regions by connected components, and each set lies in one region. Inside a region, pivots make
+Linked sets differ in at most D shingles, so of D + 1 + z classes z + 1 at least are equal; sets that agree on a class
+with a distinctive shingle (or on any class, for sets with over z classes that have none) are gathered into regions by connected components, and each set lies in one region. Inside a region, pivots make
 Voronoi cells by Jaccard distance; a set also goes to the cells of other pivots within the triangle-inequality
 window (twice the link distance), and cells are joined recursively. A region too large for one task is cut by rings
 around a pivot of its own, and only blocks of rings within the link distance are joined.
@@ -13,6 +13,7 @@ Document pivots alone would separate little here: nearly all pairs of texts shar
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ LEAF, MAX_PIVOTS = 200, 24
 #: Sets in a region that one task joins; larger regions, of which there are fewer than GIANTS, are cut into blocks.
 REGION_SETS, GIANTS = 6000, 1000
 BUCKET_SIGNATURES = 2_500_000
+#: A counting sketch tells shingles that are in over HOT sets or so; classes of only such shingles are not distinctive.
+SKETCH_SLOTS, SKETCH_PARTS, HOT = 1 << 22, 32, 48
 FILTER_SEGMENT, MAX_FILTER_BITS = 1 << 16, 1 << 28
 
 
@@ -43,8 +46,8 @@ class Rule:
         largest = self.bounds[1:] - 1
         # sets of T shingles together that are linked differ in at most (den - num) T / (den + num)
         self.differ = (den - num) * 2 * largest // (den + num)
-        #: a few classes more, so that a class that is empty in both need not count
-        self.spare = np.where(self.differ > 0, 2 + self.differ // 8, 0)
+        #: a few classes more, so that classes without a distinctive shingle need not count
+        self.spare = np.where(self.differ > 0, 2 + self.differ // 5, 0)
         self.classes = self.differ + 1 + self.spare
 
     def ring(self, size: np.ndarray) -> np.ndarray:
@@ -78,7 +81,11 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
             parts.append(grams(np.stack([h[at + j] for j in range(length)], 1).ravel(), length)[::length])
             owners.append(np.flatnonzero(size == length))
     flat, owner = np.concatenate(parts), np.concatenate(owners)
-    order = np.lexsort((flat, owner))
+    if k < 1 << 16:  # a fast sort by hash, then a stable one by text
+        order = np.argsort(flat)
+        order = order[np.argsort(owner[order].astype(np.uint16), kind="stable")]
+    else:
+        order = np.lexsort((flat, owner))
     flat, owner = flat[order], owner[order]
     new = np.ones(len(flat), bool)
     new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
@@ -96,15 +103,39 @@ def _node(keys: list[bytes]) -> np.ndarray:
 
 
 def _described(n: int):
+    """Size and key of each text's set; then, for the partition, how often each slot of the sketch is hit by its distinct sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        hits = np.zeros(SKETCH_SLOTS, np.uint32)
+        names = ["doc_id", "n_shingles", "set_key", "part", "hits"]
         for b in batches:
             for s in slices(b):
                 ends, flat = shingle_sets(s.column("text"), n)
-                yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(np.diff(ends)), pa.array(set_keys(ends, flat), pa.binary())], ["doc_id", "n_shingles", "set_key"])
+                keys, size = set_keys(ends, flat), np.diff(ends)
+                new = np.array([k not in seen and not seen.add(k) for k in keys], bool)
+                hits += np.bincount(_sketch_slot(flat[np.repeat(new, size)]), minlength=SKETCH_SLOTS).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(size), pa.array(keys, pa.binary()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names)
+        if seen:
+            parts = [zlib.compress(np.minimum(x, 255).astype(np.uint8).tobytes(), 1) for x in hits.reshape(SKETCH_PARTS, -1)]
+            none = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.array(range(none), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return run
 
 
+def _sketch_slot(flat: np.ndarray) -> np.ndarray:
+    return (mixed(flat + np.uint64(77)) & np.uint64(SKETCH_SLOTS - 1)).astype(np.int64)
+
+
+def _hot_part(t: pa.Table) -> pa.Table:
+    total = np.zeros(SKETCH_SLOTS // SKETCH_PARTS, np.int64)
+    for x in t["hits"].to_pylist():
+        total += np.frombuffer(zlib.decompress(x), np.uint8)
+    hot = total > max(HOT, 3 * total.mean())
+    return pa.table({"part": t["part"][:1], "bits": pa.array([np.packbits(hot).tobytes()], pa.binary())})
+
+
 def _distinct_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """Non-empty sets of a partition's texts, each once: sizes, flat hashes, keys."""
     seen: set[bytes] = set()
@@ -121,11 +152,13 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[
                 yield size[use], flat[np.repeat(use, size)], [k for k, u in zip(keys, use) if u]
 
 
-def signatures(rule: Rule, size: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(rule: Rule, size: np.ndarray, flat: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(set number, signature) of the classes of each set, in its ring and the rings of larger partners."""
     own, last = rule.ring(size), rule.ring(size * rule.den // rule.num)
     who = np.repeat(np.arange(len(size)), size)
     weight = mixed(flat ^ GOLDEN)
+    slot = _sketch_slot(flat)
+    distinctive = (hot[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 0
     lo, hi = (weight & np.uint64(0xFFFFFFFF)).astype(np.float64), (weight >> np.uint64(32)).astype(np.float64)
     sets, sigs = [], []
     for step in range(int((last - own).max()) + 1 if len(size) else 0):
@@ -137,20 +170,21 @@ def signatures(rule: Rule, size: np.ndarray, flat: np.ndarray) -> tuple[np.ndarr
         w = who[mine]
         cell = base[w] + ((mixed(flat[mine] + ring[w].astype(np.uint64)) >> np.uint64(33)) % m[w].astype(np.uint64)).astype(np.int64)
         total = int(base[-1])
-        count = np.bincount(cell, minlength=total)
+        count = np.bincount(cell[distinctive[mine]], minlength=total)
         a, b = np.bincount(cell, lo[mine], total).astype(np.uint64), np.bincount(cell, hi[mine], total).astype(np.uint64)
         owner = np.repeat(np.arange(len(size)), m)
-        empty = count == 0
-        few = np.bincount(owner[empty], minlength=len(size)) <= np.where(use, rule.spare[ring], 0)
-        keep = ~empty | ~few[owner]
+        weak = count == 0
+        few = np.bincount(owner[weak], minlength=len(size)) <= np.where(use, rule.spare[ring], 0)
+        keep = ~weak | ~few[owner]
         place = ring[owner].astype(np.uint64) << np.uint64(40) | (np.arange(total) - base[owner]).astype(np.uint64)
         sets.append(owner[keep])
         sigs.append(mixed(mixed(a * GOLDEN + b) + place)[keep])
     return (np.concatenate(sets), np.concatenate(sigs)) if sets else (np.empty(0, np.int64), np.empty(0, np.uint64))
 
 
-def _signature_blocks(rule: Rule, buckets: int):
+def _signature_blocks(rule: Rule, buckets: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.frombuffer(hot.value, np.uint8)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out():
@@ -171,7 +205,7 @@ def _signature_blocks(rule: Rule, buckets: int):
             )
 
         for size, flat, keys in _distinct_sets(batches, rule.n):
-            sets, sigs = signatures(rule, size, flat)
+            sets, sigs = signatures(rule, size, flat, common)
             held.append((sigs, _node(keys)[sets]))
             if sum(len(x) for x, _ in held) > 2_000_000:
                 yield from out()
@@ -376,13 +410,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rule = rule or Rule()
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    described = checkpointed(rows.mapInArrow(_described(rule.n), "doc_id long, n_shingles long, set_key binary"))
+    both = checkpointed(rows.mapInArrow(_described(rule.n), "doc_id long, n_shingles long, set_key binary, part int, hits binary"))
+    described = both.filter("part IS NULL").drop("part", "hits")
+    sketch = np.zeros((SKETCH_PARTS, SKETCH_SLOTS // SKETCH_PARTS // 8), np.uint8)
+    for r in both.filter("part IS NOT NULL").select("part", "hits").groupBy("part").applyInArrow(_hot_part, "part int, bits binary").collect():  # SKETCH_PARTS rows
+        sketch[r.part] = np.frombuffer(r.bits, np.uint8)
+    hot = spark.sparkContext.broadcast(sketch.tobytes())
     named = described.filter("doc_id IS NOT NULL AND n_shingles > 0")
     reps = checkpointed(named.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     total = reps.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("s")).first().s
     buckets = min(1 << 16, max(12, int(0.35 * total) // BUCKET_SIGNATURES + 1))
     present = rows.filter("doc_id IS NOT NULL").select("text")
-    edges = present.mapInArrow(_signature_blocks(rule, buckets), "bucket int, lo binary, hi binary, nodes binary").groupBy("bucket").applyInArrow(_agreeing, "u long, v long")
+    edges = present.mapInArrow(_signature_blocks(rule, buckets, hot), "bucket int, lo binary, hi binary, nodes binary").groupBy("bucket").applyInArrow(_agreeing, "u long, v long")
     regions = checkpointed(components(edges))
     sizes = regions.groupBy("root").count()
     n_nodes = regions.count()

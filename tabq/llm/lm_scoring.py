@@ -25,7 +25,7 @@ SLICE_MB = 160
 #: Weight of the single-word model in a pair's probability, in counts.
 PRIOR = 100.0
 REGION_TOKENS, MIN_REGIONS = 3_000_000, 24
-END, START = hashed([b""])[0], hashed([b""], seed=1)[0]
+END, START = mixed(np.array([0xE4D, 0x57A27], np.uint64))
 _LOW = np.uint64((1 << 48) - 1)
 
 

@@ -57,10 +57,10 @@ def features(texts: pa.Array) -> np.ndarray:
     n_words = np.diff(ends)
     some = np.maximum(n_words, 1)
     who = np.repeat(np.arange(n), n_words)
-    width = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))[ids] if len(vocabulary) else np.empty(0, np.int64)
+    width = pc.binary_length(vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)[ids]
     mean_width = np.bincount(who, width, n) / some
     short = np.bincount(who[width <= 4], minlength=n) / some
-    bare = np.fromiter((not any(48 <= c <= 57 or 97 <= c <= 122 or c > 127 for c in w) for w in vocabulary), bool, len(vocabulary))
+    bare = ~pc.match_substring_regex(vocabulary, "[0-9a-z]|[^\\x00-\\x7f]").to_numpy(zero_copy_only=False).astype(bool)
     no_letters = np.bincount(who[bare[ids]], minlength=n) / some if len(ids) else np.zeros(n)
     pairs = np.unique(who * np.int64(max(1, len(vocabulary))) + ids)
     distinct = np.bincount(pairs // max(1, len(vocabulary)), minlength=n)
