@@ -92,8 +92,9 @@ def hashed(vocabulary: pa.Array) -> np.ndarray:
     size = np.diff(ends)
     place = np.arange(len(data)) - np.repeat(ends[:-1], size)
     number = _PLACES[(place & 63) << 8 | data]
-    if len(place) and place.max() > 63:
-        number = number * mixed((place >> 6).astype(np.uint64) + np.uint64(1))
+    far = np.flatnonzero(place > 63)  # longer words: later rounds of the table are scaled
+    if len(far):
+        number[far] *= mixed((place[far] >> 6).astype(np.uint64))
     np.cumsum(number, dtype=np.uint64, out=(whole := np.zeros(len(data) + 1, np.uint64))[1:])
     sums = whole[ends[1:]] - whole[ends[:-1]]
     return mixed(sums + size.astype(np.uint64) * GOLDEN)

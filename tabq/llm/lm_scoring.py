@@ -71,7 +71,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s in slices(b):
             _, token, _, hashes = _sequences(s.column("text"))
-            held.append((hashes, np.bincount(token, minlength=len(hashes))))
+            n = np.bincount(token, minlength=len(hashes))
+            held.append((hashes[n > 0], n[n > 0]))
             if sum(len(x) for x, _ in held) > 4_000_000:
                 yield from out()
     if held:

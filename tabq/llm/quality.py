@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     sample, share = labelled_sample(docs, labels, "quality", F.coalesce(~held_out("doc_id", MODULUS, REMAINDER), F.lit(True)), per_class, SEED)
     rows = sample.mapInArrow(_collected, "doc_id long, y int, x array<double>").collect()  # at most 2 * per_class rows of N_FEATURES numbers
     rows.sort(key=lambda r: (r.doc_id, r.y, r.x))
-    x, y = np.array([r.x for r in rows]).reshape(len(rows), -1), np.array([r.y for r in rows])
+    x, y = np.array([r.x for r in rows]).reshape(len(rows), N_FEATURES), np.array([r.y for r in rows])
     if not len(rows) or y.min() == y.max():
         return {"w": None, "cut": 0.0, "scale": 1.0, "flat": float(y[0]) if len(rows) else 1.0}
     w = bradley_terry(x[y == 1], x[y == 0])
