@@ -45,6 +45,7 @@ class Query:
     sql: str
     cols: list[Col]  # names and types; the sql of each is its _c name
     ordered: bool = False
+    keyed: tuple[str, list[str]] | None = None  # the rows before ORDER BY and LIMIT, and their keys
 
 
 class Scope:
@@ -216,7 +217,8 @@ class Translator:
         if not keys:
             return Query(q.sql + self.limits(n) if n.cores[0].kind == "core" else f"SELECT * FROM ({q.sql}){self.limits(n)}", q.cols)
         cols = ", ".join(f"_c{i}" for i in range(len(q.cols)))
-        return Query(f"SELECT {cols} FROM ({q.sql}) ORDER BY {', '.join(keys)}{self.limits(n)}", q.cols, True)
+        bare = [k.rsplit(" ", 3)[0] for k in keys]  # without direction and NULLS
+        return Query(f"SELECT {cols} FROM ({q.sql}) ORDER BY {', '.join(keys)}{self.limits(n)}", q.cols, True, (q.sql, bare))
 
     # -- one SELECT
 
@@ -240,8 +242,7 @@ class Translator:
                     for c in s.cols:
                         if it.table is None and c.name.lower() in s.hidden:
                             continue
-                        e = scope.merged.get(c.name.lower(), c.e) if it.table is None else c.e
-                        items.append((c.name, N("frag", e=e)))
+                        items.append((c.name, N("frag", col=c, merged=c.name.lower() if it.table is None else None)))
             else:
                 label = it.alias or (it.expr.name if it.expr.kind == "col" else it.text)
                 items.append((label, it.expr))
@@ -320,18 +321,10 @@ class Translator:
         return self.chained(N("window", base=over.base, partition=over.partition, order=over.order, frame=over.frame), windows)
 
     def layered(self, special: list[N], windows, scope: Scope, source: str | None, where: str | None):
-        """Numbers peers and rows below, for GROUPS frames and EXCLUDE, which Spark lacks."""
-        specs: dict[str, tuple[str, str]] = {}
-        adds = []
-        for f in special:
-            w = self.window_of(f.over, windows)
-            spec = self.partition_order(w, scope)
-            if spec not in specs:
-                k = len(specs)
-                specs[spec] = (f"__g{k}", f"__n{k}")
-                ordered = spec if w.order else f"{spec} ORDER BY 1"
-                adds += [f"dense_rank() OVER ({ordered}) AS __g{k}" if w.order else f"1 AS __g{k}", f"row_number() OVER ({ordered}) AS __n{k}"]
-            f.over = N("window", base=None, partition=w.partition, order=w.order, frame=w.frame, marks=specs[spec])
+        """Numbers peers and rows below, for GROUPS frames and EXCLUDE, which Spark lacks.
+
+        The columns are renamed beneath the numbering, so that both windows ask for the same partitioning.
+        """
         inner, at = [], 0
         for s in scope.sources:
             for c in s.cols:
@@ -346,8 +339,18 @@ class Translator:
             inner.append(f"{e.sql} AS _s{at}")
             scope.merged[k] = replace(e, sql=f"_s{at}")
             at += 1
-        # star items were resolved before: they follow their columns
-        return f"(SELECT {', '.join([*inner, *adds])} FROM {source}{f' WHERE {where}' if where else ''})", None
+        specs: dict[str, tuple[str, str]] = {}
+        adds = []
+        for f in special:
+            w = self.window_of(f.over, windows)
+            spec = self.partition_order(w, scope)
+            if spec not in specs:
+                k = len(specs)
+                specs[spec] = (f"__g{k}", f"__n{k}")
+                ordered = spec if w.order else f"{spec} ORDER BY 1"
+                adds += [f"dense_rank() OVER ({ordered}) AS __g{k}" if w.order else f"1 AS __g{k}", f"row_number() OVER ({ordered}) AS __n{k}"]
+            f.over = N("window", base=None, partition=w.partition, order=w.order, frame=w.frame, marks=specs[spec])
+        return f"(SELECT *, {', '.join(adds)} FROM (SELECT {', '.join(inner)} FROM {source}{f' WHERE {where}' if where else ''}))", None
 
     # -- FROM
 
@@ -501,12 +504,8 @@ class Translator:
         return getattr(self, f"e_{n.kind}")(n, scope)
 
     def e_frag(self, n, scope):
-        # a column of *, which follows its source when that is layered
-        for s in scope.sources:
-            for c in s.cols:
-                if c.e is n.e:
-                    return c.e
-        return n.e
+        # a column of *, as its source has it now
+        return scope.merged.get(n.merged, n.col.e)
 
     def e_int(self, n, scope):
         return literal(n.v)
@@ -608,7 +607,16 @@ class Translator:
             raise SqlError(f"sub-select returns {len(q.cols)} columns - expected 1")
         core = n.body.cores[0]
         one = len(n.body.cores) == 1 and core.kind == "core" and not core.group and any(has_aggregate(i) for i in core.items)
-        sql = q.sql if one or n.body.limit is not None else f"SELECT _c0 FROM ({q.sql}) LIMIT 1"
+        first_only = n.body.limit is not None and n.body.limit.kind == "int" and n.body.limit.v == 1 and n.body.offset is None
+        if one:
+            sql = q.sql
+        elif n.body.limit is None:
+            sql = f"SELECT first(_c0) FROM ({q.sql})"  # the first of several rows
+        elif first_only and n.body.order and q.keyed and len({t.desc for t in n.body.order}) == 1 and not any(t.nulls for t in n.body.order):
+            # an aggregate is decorrelated for any condition, a limit is not
+            sql = f"SELECT {'max' if n.body.order[0].desc else 'min'}_by(_c0, struct({', '.join(q.keyed[1])})) FROM ({q.keyed[0]})"
+        else:
+            sql = q.sql
         return E(f"({sql})", q.cols[0].e.type, q.cols[0].e.aff)
 
     def e_row(self, n, scope):
@@ -754,10 +762,10 @@ class Translator:
             order = order or (f"{rowid} ASC" if rowid and n.over is None else None)
             return E(f"listagg({x}, {sep}){f' WITHIN GROUP (ORDER BY {order})' if order else ''}\x01", "text")
         if name.endswith("group_array"):
-            within = order or rowid
+            within = order or (rowid if n.over is None else None)
             body = f"listagg({scalar.json_quote(args[0])}, ','){f' WITHIN GROUP (ORDER BY {within})' if within else ''}\x01"
             return E(f"concat('[', coalesce({body}, ''), ']')", "text")
-        within = order or rowid
+        within = order or (rowid if n.over is None else None)
         pair = f"concat({scalar.json_quote(V.text(args[0]))}, ':', {scalar.json_quote(args[1])})"
         body = f"listagg({pair}, ','){f' WITHIN GROUP (ORDER BY {within})' if within else ''}\x01"
         return E(f"concat('{{', coalesce({body}, ''), '}}')", "text")

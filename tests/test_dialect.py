@@ -137,6 +137,75 @@ SELECT * FROM t WHERE id = 1 -- a comment
 SELECT /* inner */ id FROM t WHERE id = 2; SELECT 3
 SELECT 0.1 + 0.2, 1e15, 100.0 / 3, 1e14 + 0.5, 1e-5, 123456789.125 || ''
 SELECT price || '' FROM t ORDER BY id
+SELECT id, group_concat(name, '|') OVER (ORDER BY id) FROM t ORDER BY id
+SELECT id, json_group_array(id) OVER (ORDER BY id ROWS 1 PRECEDING) FROM t ORDER BY id
+SELECT * FROM t WHERE id IN (SELECT id FROM t ORDER BY price DESC LIMIT 3) ORDER BY id
+SELECT region, count(*) FROM t GROUP BY region HAVING count(*) > (SELECT 1) ORDER BY 1
+SELECT id, total(price) OVER (ORDER BY id) FROM t ORDER BY id
+SELECT a.id, b.id FROM t a LEFT JOIN t b ON b.id = a.id + 1 AND b.status = 'paid' ORDER BY a.id
+SELECT t.*, u.label FROM t JOIN u ON t.age = u.k ORDER BY t.id
+SELECT *, rank() OVER (ORDER BY age GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM t ORDER BY id
+SELECT *, sum(id) OVER (PARTITION BY region ORDER BY age GROUPS 1 PRECEDING) FROM t ORDER BY id
+SELECT id, sum(id) OVER (PARTITION BY region ORDER BY age ROWS 1 PRECEDING EXCLUDE TIES) FROM t ORDER BY id
+SELECT id FROM t ORDER BY price IS NULL, price LIMIT 1 + 2
+SELECT age, count(*) FROM t WHERE age > (SELECT min(k) FROM u) GROUP BY age ORDER BY count(*) DESC, age
+SELECT (SELECT name FROM t b WHERE b.id = a.id + 1) FROM t a ORDER BY id
+SELECT count(*) FROM (SELECT 1 UNION ALL SELECT 1)
+SELECT 1 AS x UNION SELECT 2 ORDER BY x DESC
+SELECT id x FROM t UNION ALL SELECT k FROM u ORDER BY x LIMIT 4
+SELECT sum(age) * 1.0 / count(*) AS m FROM t
+SELECT status, region, count(*) FROM t GROUP BY 1, 2 ORDER BY 1, 2
+SELECT upper(status) AS s, max(price) - min(price) FROM t GROUP BY s ORDER BY s
+SELECT name FROM t WHERE region IS NOT NULL AND (status = 'paid' OR age < 26) ORDER BY id
+SELECT CASE WHEN count(*) > 3 THEN 'many' ELSE 'few' END AS c, region FROM t GROUP BY region ORDER BY region
+SELECT coalesce(region, 'none') AS r, avg(price) FROM t GROUP BY r ORDER BY r
+SELECT x.region, x.n FROM (SELECT region, count(*) AS n FROM t GROUP BY region) AS x WHERE x.n >= 2 ORDER BY x.region
+SELECT id, age, (SELECT count(*) FROM t b WHERE b.age < a.age) AS below FROM t a ORDER BY id
+SELECT id FROM t WHERE price = (SELECT max(price) FROM t)
+SELECT a.region, b.status FROM (SELECT DISTINCT region FROM t) a, (SELECT DISTINCT status FROM t) b ORDER BY 1, 2
+SELECT max(id), name FROM t
+SELECT min(price) m, name, region FROM t WHERE price > 0
+SELECT id, first_value(name) OVER (PARTITION BY region ORDER BY price DESC) FROM t ORDER BY id
+SELECT id, avg(price) OVER (PARTITION BY region) FROM t ORDER BY id
+SELECT ntile(2) OVER (ORDER BY id DESC), id FROM t ORDER BY id
+SELECT sum(CASE WHEN status = "paid" THEN 1 END), sum(status = 'paid') FROM t
+SELECT count(DISTINCT region), count(DISTINCT status) FROM t
+SELECT replace(name, 'a', ''), length(name) FROM t ORDER BY id
+SELECT id FROM t WHERE lower(name) = 'bob'
+SELECT date('2024-01-15', '+1 year', '-2 days'), strftime('%d/%m/%Y', '2024-12-25'), julianday('2024-03-01') - julianday('2024-02-01')
+SELECT 10 % 3, -10 % 3, 10 / 4, 10 / 4.0, 2 + 3 * 4, (2 + 3) * 4, 7 - -3
+SELECT '5' + 3, '5' * '2', '3.5' + 1, 'abc' + 1, '10' / 4, '7x' + 0
+SELECT 1 || 2, 1.5 || 'x', NULL || 'a'
+SELECT typeof(1 + 1.0), typeof(1 / 2), typeof('a' || 1), typeof(1 = 1), typeof(round(2))
+SELECT instr('abc', ''), substr('abc', 2, 0), trim(''), nullif('a', 'b')
+WITH RECURSIVE p(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM p WHERE n < 15) SELECT * FROM p ORDER BY n
+WITH RECURSIVE r(a, b) AS (SELECT id, id + 1 FROM t WHERE id = 1 UNION SELECT t.id, t.id + 1 FROM t JOIN r ON t.id = r.b) SELECT count(*) FROM r
+WITH x AS (SELECT 1 AS a), y AS (SELECT a + 1 AS b FROM x) SELECT a, b FROM x, y
+SELECT group_concat(DISTINCT status) FROM t WHERE status IN ('paid')
+SELECT region, group_concat(name, ',' ) FROM t WHERE name IS NOT NULL GROUP BY region ORDER BY region
+SELECT id FROM t WHERE txt IN (1, 'x') ORDER BY id
+SELECT id FROM t WHERE age BETWEEN '20' AND '30' ORDER BY id
+SELECT id FROM t WHERE price > '5' ORDER BY id
+SELECT id FROM t WHERE status > 5 ORDER BY id
+SELECT id FROM t WHERE (SELECT max(k) FROM u WHERE u.k < t.age) > 20 ORDER BY id
+SELECT EXISTS (SELECT 1 FROM t WHERE id > 100), EXISTS (SELECT 1 FROM t)
+SELECT abs(age), -age, +age FROM t ORDER BY id
+SELECT sum(price) FILTER (WHERE status = 'paid'), count(*) FILTER (WHERE age > 29) FROM t
+SELECT id, lag(id, 2) OVER (), row_number() OVER () FROM t ORDER BY id
+SELECT DISTINCT age / 10 AS decade FROM t WHERE age > 0 ORDER BY decade
+SELECT likely(1), iif(NULL, 1, 2), max(1, 2.5), min('b', 'a')
+SELECT count(*) FROM t NATURAL JOIN t AS t2
+SELECT a.id FROM t AS a INNER JOIN t AS b USING (id, name) ORDER BY id
+SELECT printf('%s %d %.3f %e %g %%', 'a', 3, 2.5, 12345.678, 0.0001), printf('%,d', 1234567), printf('%08.3f', 3.14159), printf('%+d', 5)
+SELECT strftime('%Y-W%W', '2024-07-01'), strftime('%H:%M', '2024-07-01 23:59:59', '+1 minute'), time('12:34:56', '+1 hour')
+SELECT id FROM t WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.region = t.region AND b.price > t.price) ORDER BY id
+SELECT hex(x'4142'), length(x'414243'), typeof(x'41'), quote(x'4142'), CAST(x'414243' AS TEXT)
+SELECT 9223372036854775807, -9223372036854775808, 9223372036854775808
+SELECT id, sum(price) OVER (ORDER BY id RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) FROM t ORDER BY id
+SELECT region, sum(id) AS s, sum(sum(id)) OVER (ORDER BY region) AS run FROM t GROUP BY region ORDER BY region
+SELECT id, (SELECT name FROM t b WHERE b.id = a.id + 1 ORDER BY b.id LIMIT 1) FROM t a ORDER BY id
+SELECT id, (SELECT name FROM t b WHERE b.price < a.price AND b.id <> a.id ORDER BY b.price DESC, b.id DESC LIMIT 1) FROM t a ORDER BY id
+SELECT id, (SELECT k FROM u WHERE u.k > a.age ORDER BY k LIMIT 1) FROM t a ORDER BY id
 """.strip().splitlines()
 
 
