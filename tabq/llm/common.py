@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about so many bytes, so that memory does not follow the batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 

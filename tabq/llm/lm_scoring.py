@@ -24,9 +24,9 @@ PROBES, BITS = 8, 11.6
 SLICE_MB = 160
 #: Weight of the single-word model in a pair's probability, in counts.
 PRIOR = 100.0
-REGION_TOKENS, MIN_REGIONS = 3_000_000, 24
+REGION_TOKENS, MIN_REGIONS = 1_000_000, 24
 END, START = mixed(np.array([0xE4D, 0x57A27], np.uint64))
-_LOW = np.uint64((1 << 48) - 1)
+_LOW, _HALF = np.uint64((1 << 48) - 1), np.uint64((1 << 32) - 1)
 
 
 def _sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +73,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, token, _, hashes = _sequences(s.column("text"))
             n = np.bincount(token, minlength=len(hashes))
             held.append((hashes[n > 0], n[n > 0]))
-            if sum(len(x) for x, _ in held) > 4_000_000:
+            if sum(len(x) for x, _ in held) > 2_000_000:
                 yield from out()
     if held:
         yield from out()
@@ -106,7 +106,7 @@ def _pair_blocks(regions: int):
             for s in slices(b):
                 _, token, first, hashes = _sequences(s.column("text"))
                 held.append(_pairs(token, first, hashes))
-                if sum(map(len, held)) > 6_000_000:
+                if sum(map(len, held)) > 3_000_000:
                     yield from out()
         if held:
             yield from out()
@@ -114,11 +114,15 @@ def _pair_blocks(regions: int):
     return run
 
 
-def _bit(keys: np.ndarray, level: int, probe: int, n_bits: int) -> np.ndarray:
-    """Bit positions of a level's probe: double hashing on the 48 bits of a key."""
+def _bases(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and step of a level's probes."""
     a = mixed(keys + np.uint64(level * int(GOLDEN) & 0xFFFFFFFFFFFFFFFF))
-    b = (a >> np.uint64(32)) | np.uint64(1)
-    return ((((a & np.uint64(0xFFFFFFFF)) + b * np.uint64(probe)) & np.uint64(0xFFFFFFFF)) * np.uint64(n_bits) >> np.uint64(32)).astype(np.int64)
+    return a & _HALF, (a >> np.uint64(32)) | np.uint64(1)
+
+
+def _bit(a: np.ndarray, b: np.ndarray, probe: int, n_bits) -> np.ndarray:
+    """Bit positions of a probe: double hashing, scaled to the number of bits."""
+    return (((a + b * np.uint64(probe)) & _HALF) * n_bits >> np.uint64(32)).astype(np.int64)
 
 
 def _region_filter(t: pa.Table) -> pa.Table:
@@ -134,9 +138,9 @@ def _region_filter(t: pa.Table) -> pa.Table:
     n_bits = min(1 << 31, int(level.sum() * BITS) // 8 * 8 + 64)
     bits = np.zeros(n_bits, bool)
     for q in range(1, int(level.max()) + 1):
-        k = keys[level >= q]
+        a, b = _bases(keys[level >= q], q)
         for p in range(PROBES):
-            bits[_bit(k, q, p, n_bits)] = True
+            bits[_bit(a, b, p, np.uint64(n_bits))] = True
     return pa.table({"region": t["region"][:1], "n": pa.array([len(keys)], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
 
@@ -149,11 +153,24 @@ def _packed_words(t: pa.Table) -> pa.Table:
 class Model:
     """Slices of the filter and of the word counts, and the corpus totals. Slices are broadcast one at a time."""
 
-    def __init__(self, regions: int, filters: list, parts: int, counts: list, tokens: int, distinct: int, texts: int):
-        self.regions, self.filters, self.parts, self.counts = regions, filters, parts, counts
+    def __init__(self, regions: int, filters: list, counts: list, tokens: int, distinct: int, texts: int):
+        self.regions, self.filters, self.counts = regions, filters, counts
         self.tokens, self.distinct, self.texts = tokens, distinct, texts
 
 
+def _joined_words(rows: list) -> tuple[bytes, bytes, str]:
+    """Sorted hashes and their counts of neighbouring parts."""
+    wide = any(len(r.n) == len(r.h) for r in rows)
+    n = b"".join(r.n if not wide or len(r.n) == len(r.h) else np.frombuffer(r.n, np.uint32).astype(np.uint64).tobytes() for r in rows)
+    return b"".join(r.h for r in rows), n, "<u8" if wide else "<u4"
+
+
+def _joined_regions(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Regions, the bytes at which their bits begin, their bits' numbers, and the bits."""
+    sizes = np.array([len(r.bits) for r in rows], np.int64)
+    return np.array([r.region for r in rows]), np.cumsum(sizes) - sizes, sizes * 8, b"".join(r.bits for r in rows)
+
+
 def train(texts: DataFrame) -> Model:
     """Counts over every text of the single string column `text`."""
     sc = texts.sparkSession.sparkContext
@@ -166,51 +183,50 @@ def train(texts: DataFrame) -> Model:
     regions = min(1 << 16, max(MIN_REGIONS, int(total["tokens"]) // REGION_TOKENS + 1))
     filters = texts.mapInArrow(_pair_blocks(regions), "region int, hi binary, lo binary, many binary, times binary").groupBy("region").applyInArrow(_region_filter, "region int, n long, bits binary")
     sent_words, sent_bits = [], []
-    for sent, df, size in ((sent_words, packed, lambda r: len(r.h) + len(r.n)), (sent_bits, filters, lambda r: len(r.bits))):
+    for sent, df, size, join in ((sent_words, packed, lambda r: len(r.h) + len(r.n), _joined_words), (sent_bits, filters, lambda r: len(r.bits), _joined_regions)):
         # one slice at a time is on the driver
         held, total_size = [], 0
-        for r in checkpointed(df).toLocalIterator():
+        for r in checkpointed(df).orderBy(df.columns[0]).toLocalIterator():
             if held and total_size + size(r) > SLICE_MB << 20:
-                sent.append(sc.broadcast(held))
+                sent.append(sc.broadcast(join(held)))
                 held, total_size = [], 0
-            held.append(tuple(r))
+            held.append(r)
             total_size += size(r)
-        sent.append(sc.broadcast(held))
+        sent.append(sc.broadcast(join(held)))
         del held
-    return Model(regions, sent_bits, parts, sent_words, int(total["tokens"]), int(total["distinct"]), int(total["texts"]))
+    return Model(regions, sent_bits, sent_words, int(total["tokens"]), int(total["distinct"]), int(total["texts"]))
 
 
-def _look_up(held: list, parts: int, hashes: np.ndarray, into: np.ndarray) -> None:
+def _look_up(held: tuple, hashes: np.ndarray, into: np.ndarray) -> None:
     """Write the counts of the hashes that this slice has."""
-    part = ((hashes >> np.uint64(40)).astype(np.int64) * parts) >> 24
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    for p, h, n in held:
-        i = order[cuts[p] : cuts[p + 1]]
-        if len(i):
-            keys = np.frombuffer(h, np.uint64)
-            values = np.frombuffer(n, np.uint32 if len(n) < len(h) else np.uint64)
-            at = np.minimum(np.searchsorted(keys, hashes[i]), len(keys) - 1)
-            into[i] = np.where(keys[at] == hashes[i], values[at].astype(np.int64), into[i])
-
-
-def _probe(held: list, regions: int, pairs: np.ndarray, into: np.ndarray) -> None:
+    h, n, kind = held
+    keys, values = np.frombuffer(h, np.uint64), np.frombuffer(n, kind)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        hit = keys[at] == hashes
+        into[hit] = values[at[hit]]
+
+
+def _probe(held: tuple, regions: int, pairs: np.ndarray, into: np.ndarray) -> None:
     """Write the levels of the pairs in this slice's regions."""
-    region = (pairs >> np.uint64(48)).astype(np.int64) * regions >> 16
-    order = np.argsort(region.astype(np.uint16), kind="stable")
-    cuts = np.searchsorted(region[order], np.arange(regions + 1))
-    for r, _, bits in held:
-        i = order[cuts[r] : cuts[r + 1]]
-        a = np.frombuffer(bits, np.uint8)
-        keys, level = pairs[i] & _LOW, 0
-        while len(i):
-            level += 1
-            for p in range(PROBES):
-                at = _bit(keys, level, p, 8 * len(a))
-                ok = (a[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                if not ok.all():
-                    i, keys = i[ok], keys[ok]
-            into[i] = level
+    there, starts, sizes, bits = held
+    if not len(there):
+        return
+    blob = np.frombuffer(bits, np.uint8)
+    place = np.full(regions, -1)
+    place[there] = np.arange(len(there))
+    place = place[(pairs >> np.uint64(48)).astype(np.int64) * regions >> 16]
+    i = np.flatnonzero(place >= 0)
+    keys, start, size, level = pairs[i] & _LOW, starts[place[i]], sizes[place[i]].astype(np.uint64), 0
+    while len(i):
+        level += 1
+        a, b = _bases(keys, level)
+        for p in range(PROBES):
+            at = _bit(a, b, p, size)
+            ok = np.flatnonzero((blob[start + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1)
+            if len(ok) < len(i):
+                i, keys, start, size, a, b = i[ok], keys[ok], start[ok], size[ok], a[ok], b[ok]
+        into[i] = level
 
 
 def _pass(model: dict, words_slice, filter_slice, last: bool):
@@ -226,7 +242,7 @@ def _pass(model: dict, words_slice, filter_slice, last: bool):
                     count, level = state["c"].copy(), state["q"].copy()
                 if words_slice is not None:
                     found = np.full(len(hashes), -1, np.int64)
-                    _look_up(words_slice.value, model["parts"], hashes, found)
+                    _look_up(words_slice.value, hashes, found)
                     count = np.where(found[token] >= 0, found[token], count)
                 if filter_slice is not None:
                     _probe(filter_slice.value, model["regions"], _pairs(token, first, hashes), level)
@@ -273,7 +289,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
 def apply_model(rows: DataFrame, model: Model) -> DataFrame:
     kind = dict(rows.dtypes)["doc_id"]
-    plain = {"parts": model.parts, "regions": model.regions, "tokens": model.tokens, "distinct": model.distinct, "texts": model.texts}
+    plain = {"regions": model.regions, "tokens": model.tokens, "distinct": model.distinct, "texts": model.texts}
     passes = max(len(model.counts), len(model.filters))
     for k in range(passes):
         last = k == passes - 1

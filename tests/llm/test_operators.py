@@ -135,12 +135,13 @@ def test_lm_filter_reads_back_quantised_counts():
     t = pa.table({"region": pa.array([0], pa.int32()), "hi": [(keys >> np.uint64(16)).astype(np.uint32).tobytes()], "lo": [(keys & np.uint64(0xFFFF)).astype(np.uint16).tobytes()], "many": [many.tobytes()], "times": [counts[many].astype(np.uint32).tobytes()]})
     bits = lm_scoring._region_filter(t)["bits"][0].as_py()
     level = np.zeros(len(keys), np.uint8)
-    lm_scoring._probe([(0, 0, bits)], 1, keys, level)
+    held = (np.array([0]), np.array([0]), np.array([8 * len(bits)]), bits)
+    lm_scoring._probe(held, 1, keys, level)
     true = np.floor(np.log2(counts)).astype(int) + 1
     assert (level >= true).all() and (level > true).mean() < 0.02
     other = r.integers(0, 1 << 48, 20_000).astype(np.uint64)
     level = np.zeros(len(other), np.uint8)
-    lm_scoring._probe([(0, 0, bits)], 1, other, level)
+    lm_scoring._probe(held, 1, other, level)
     assert (level > 0).mean() < 0.01
 
 
