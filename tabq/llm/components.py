@@ -28,6 +28,21 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[root]
 
 
+#: A node with over 1/HOT_SHARE of the edges is joined by broadcast; there are at most 2 * HOT_SHARE of them.
+HOT_SHARE = 500
+
+
+def _with_least(edges: DataFrame, around: DataFrame, total: int) -> DataFrame:
+    """`edges` with the smallest neighbour m of u in `around`; nodes with a large share of all edges do not go to one task."""
+    least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hot = least.filter(F.col("n") * HOT_SHARE > total).select("u", "m").collect()
+    least = least.select("u", "m")
+    if not hot:
+        return edges.join(least, "u")
+    hubs = F.broadcast(edges.sparkSession.createDataFrame(hot, least.schema))
+    return edges.join(hubs, "u").unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(least, "u"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (long columns u, v): root is the smallest node of its component."""
 
@@ -40,10 +55,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     last = state(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        large = checkpointed(_with_least(both.filter("v > u"), both, last[0]).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        joined = _with_least(large, large, last[0])
         small = joined.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = checkpointed(small.filter("u <> v").distinct())
         now = state(edges)

@@ -2,11 +2,12 @@
 
 Equal shingle sets are one point. Two coarse levels cut the space: rings of set size (the distance from the empty
 set), replicated into the rings that a partner may lie in, and within a ring projections on hash classes of shingles.
-Linked sets differ in at most D shingles, so of D + 1 + z classes z + 1 at least are equal; sets that agree on a class
-with a distinctive shingle (or on any class, for sets with over z classes that have none) are gathered into regions by connected components, and each set lies in one region. Inside a region, pivots make
-Voronoi cells by Jaccard distance; a set also goes to the cells of other pivots within the triangle-inequality
-window (twice the link distance), and cells are joined recursively. A region too large for one task is cut by rings
-around a pivot of its own, and only blocks of rings within the link distance are joined.
+Linked sets differ in at most D shingles, so of D + 1 + z classes z + 1 at least are equal. Sets that agree on a class,
+and whose shingle counts over hash bins differ by no more than D in sum (a lower bound of their difference), are gathered
+into regions by connected components, so that each set lies in one region. Inside a region, pivots make Voronoi cells
+by Jaccard distance; a set also goes to the cells of other pivots within the triangle-inequality window (twice the link
+distance), and cells are joined recursively. A region too large for one task is cut by rings around a pivot of its own,
+and only blocks of rings within the link distance are joined.
 
 Document pivots alone would separate little here: nearly all pairs of texts share nothing and lie at distance 1.
 """
@@ -27,10 +28,14 @@ from .components import components, local_roots
 
 LEAF, MAX_PIVOTS = 200, 24
 #: Sets in a region that one task joins; larger regions, of which there are fewer than GIANTS, are cut into blocks.
-REGION_SETS, GIANTS = 1500, 1000
-BUCKET_SIGNATURES = 2_500_000
+REGION_SETS, GIANTS = 3000, 1000
+BUCKET_SIGNATURES = 1_000_000
 #: A counting sketch tells shingles that are in over HOT sets or so; classes of only such shingles are not distinctive.
 SKETCH_SLOTS, SKETCH_PARTS, HOT = 1 << 22, 32, 48
+#: Classes that more sets than this agree on are popular.
+POPULAR, KEEP_ALL = 1000, 255
+#: Hash bins of a set's profile; pairs found in a task before they are folded into a forest.
+BINS, FOLD = 32, 400_000
 FILTER_SEGMENT, MAX_FILTER_BITS = 1 << 16, 1 << 28
 
 
@@ -152,15 +157,18 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[
                 yield size[use], flat[np.repeat(use, size)], [k for k, u in zip(keys, use) if u]
 
 
-def signatures(rule: Rule, size: np.ndarray, flat: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, signature) of the classes of each set, in its ring and the rings of larger partners."""
+def signatures(rule: Rule, size: np.ndarray, flat: np.ndarray, hot: np.ndarray) -> list[np.ndarray]:
+    """Set number, signature, ring, allowance for the classes of each set, in its ring and the rings of larger partners.
+
+    The allowance is how many classes of the ring may still be left out; KEEP_ALL for sets that can't spare theirs.
+    """
     own, last = rule.ring(size), rule.ring(size * rule.den // rule.num)
     who = np.repeat(np.arange(len(size)), size)
     weight = mixed(flat ^ GOLDEN)
     slot = _sketch_slot(flat)
     distinctive = (hot[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 0
     lo, hi = (weight & np.uint64(0xFFFFFFFF)).astype(np.float64), (weight >> np.uint64(32)).astype(np.float64)
-    sets, sigs = [], []
+    parts = []
     for step in range(int((last - own).max()) + 1 if len(size) else 0):
         use = own + step <= last
         ring = np.where(use, own + step, 0)
@@ -174,60 +182,143 @@ def signatures(rule: Rule, size: np.ndarray, flat: np.ndarray, hot: np.ndarray)
         a, b = np.bincount(cell, lo[mine], total).astype(np.uint64), np.bincount(cell, hi[mine], total).astype(np.uint64)
         owner = np.repeat(np.arange(len(size)), m)
         weak = count == 0
-        few = np.bincount(owner[weak], minlength=len(size)) <= np.where(use, rule.spare[ring], 0)
-        keep = ~weak | ~few[owner]
+        left = np.where(use, rule.spare[ring], 0) - np.bincount(owner[weak], minlength=len(size))
+        keep = ~weak | (left < 0)[owner]
+        allow = np.where(left < 0, KEEP_ALL, np.minimum(left, KEEP_ALL - 1))
         place = ring[owner].astype(np.uint64) << np.uint64(40) | (np.arange(total) - base[owner]).astype(np.uint64)
-        sets.append(owner[keep])
-        sigs.append(mixed(mixed(a * GOLDEN + b) + place)[keep])
-    return (np.concatenate(sets), np.concatenate(sigs)) if sets else (np.empty(0, np.int64), np.empty(0, np.uint64))
+        owner = owner[keep]
+        parts.append((owner, mixed(mixed(a * GOLDEN + b) + place)[keep], ring[owner].astype(np.uint8), allow[owner].astype(np.uint8)))
+    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0, k) for k in (np.int64, np.uint64, np.uint8, np.uint8)]
+
+
+def profiles(size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Shingle counts of each set over BINS hash bins, 255 at most; the sum of their differences bounds that of the sets from below."""
+    who = np.repeat(np.arange(len(size)), size)
+    bins = (mixed(flat + np.uint64(5)) >> np.uint64(40)).astype(np.int64) % BINS
+    return np.minimum(np.bincount(who * BINS + bins, minlength=len(size) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+
+
+_BLOCK = {"lo": np.uint32, "hi": np.uint16, "at": np.uint32, "ring": np.uint8, "allow": np.uint8, "node": np.int64, "size": np.uint32, "profile": np.uint8}
 
 
 def _signature_blocks(rule: Rule, buckets: int, hot):
+    """Blocks by bucket: signatures with a place in the block's table of sets, and that table (node, size, profile)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.frombuffer(hot.value, np.uint8)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        tables: list[tuple[np.ndarray, ...]] = []
 
         def out():
-            sig, node = (np.concatenate(x) for x in zip(*held))
+            sets, sig, ring, allow = (np.concatenate(x) for x in zip(*held))
+            node, size, profile = (np.concatenate(x) for x in zip(*tables))
             held.clear()
+            tables.clear()
             bucket = ((sig >> np.uint64(48)).astype(np.int64) * buckets) >> 16
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [(k, sig[i], node[i]) for k in range(buckets) if len(i := order[cuts[k] : cuts[k + 1]])]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k for k, _, _ in rows], pa.int32()),
-                    pa.array([(x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for _, x, _ in rows], pa.binary()),
-                    pa.array([(x >> np.uint64(32)).astype(np.uint16).tobytes() for _, x, _ in rows], pa.binary()),
-                    pa.array([x.tobytes() for _, _, x in rows], pa.binary()),
-                ],
-                ["bucket", "lo", "hi", "nodes"],
-            )
-
+            rows = []
+            for k in range(buckets):
+                i = order[cuts[k] : cuts[k + 1]]
+                if len(i):
+                    here, at = np.unique(sets[i], return_inverse=True)
+                    columns = (sig[i] & np.uint64(0xFFFFFFFF), (sig[i] >> np.uint64(32)) & np.uint64(0xFFFF), at, ring[i], allow[i], node[here], size[here], profile[here])
+                    rows.append((k, [c.astype(t).tobytes() for c, t in zip(columns, _BLOCK.values())]))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), *[pa.array([c[j] for _, c in rows], pa.binary()) for j in range(len(_BLOCK))]], ["bucket", *_BLOCK])
+
+        n = 0
         for size, flat, keys in _distinct_sets(batches, rule.n):
-            sets, sigs = signatures(rule, size, flat, common)
-            held.append((sigs, _node(keys)[sets]))
-            if sum(len(x) for x, _ in held) > 2_000_000:
+            sets, sigs, ring, allow = signatures(rule, size, flat, common)
+            held.append((sets + n, sigs, ring, allow))
+            tables.append((_node(keys), size, profiles(size, flat)))
+            n += len(size)
+            if sum(len(x[0]) for x in held) > 1_000_000:
                 yield from out()
+                n = 0
         if held:
             yield from out()
 
     return run
 
 
-def _agreeing(t: pa.Table) -> pa.Table:
-    """Nodes that share a signature, as (node, root) within this bucket."""
-    sig, node = [], []
-    for lo, hi, nodes in zip(t["lo"].to_pylist(), t["hi"].to_pylist(), t["nodes"].to_pylist()):
-        sig.append(np.frombuffer(lo, np.uint32).astype(np.uint64) | (np.frombuffer(hi, np.uint16).astype(np.uint64) << np.uint64(32)))
-        node.append(np.frombuffer(nodes, np.int64))
-    sig, node = np.concatenate(sig), np.concatenate(node)
-    order = np.argsort(sig, kind="stable")
-    sig, node = sig[order], node[order]
-    same = (sig[1:] == sig[:-1]) & (node[1:] != node[:-1])
-    a, b = local_roots(node[:-1][same], node[1:][same])
-    keep = a != b
-    return pa.table({"u": pa.array(a[keep]), "v": pa.array(b[keep])})
+def _near(rule: Rule, a: np.ndarray, b: np.ndarray, size: np.ndarray, profile: np.ndarray) -> np.ndarray:
+    """Whether the profiles of sets a and b leave room for a link."""
+    most = (rule.den - rule.num) * (size[a] + size[b]) // (rule.den + rule.num)
+    return np.abs(profile[a].astype(np.int16) - profile[b]).sum(1, dtype=np.int64) <= most
+
+
+def _agreeing(rule: Rule):
+    """Per bucket: (node, root) of sets that share a signature and may be linked; the members of popular signatures as they are."""
+
+    def run(t: pa.Table) -> pa.Table:
+        bucket, n = t["bucket"][0].as_py(), 0
+        parts, tables = [], []
+        for i in range(t.num_rows):
+            lo, hi, at, ring, allow, node, size, profile = (np.frombuffer(t[c][i].as_buffer(), k) for c, k in _BLOCK.items())
+            parts.append((lo | hi.astype(np.uint64) << np.uint64(32), (at + np.uint32(n)).astype(np.int32), ring, allow))
+            tables.append((node, size.astype(np.int64), profile.reshape(-1, BINS)))
+            n += len(node)
+        sig, at, ring, allow = (np.concatenate(x) for x in zip(*parts))
+        node, size, profile = (np.concatenate(x) for x in zip(*tables))
+        del parts, tables, t, lo, hi
+        # one number for equal nodes of several partitions
+        _, same = np.unique(node, return_inverse=True)
+        order = np.argsort(same[at].astype(np.int32), kind="stable")
+        order = order[np.argsort(sig[order], kind="stable")]
+        sig, at, ring, allow = sig[order], at[order], ring[order], allow[order]
+        del order
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (same[at[1:]] != same[at[:-1]])
+        sig, at, ring, allow = sig[new], at[new], ring[new], allow[new]
+        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
+        count = np.diff(np.append(start, len(sig)))
+        cell = np.repeat(np.arange(len(start), dtype=np.int32), count)
+        forest: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def folded() -> tuple[np.ndarray, np.ndarray]:
+            a, b = local_roots(*(np.concatenate(x) for x in zip(*forest))) if forest else (np.empty(0, np.int64),) * 2
+            return a[a != b], b[a != b]
+
+        def pairs(a: np.ndarray, b: np.ndarray) -> None:
+            ok = _near(rule, a, b, size, profile)
+            forest.append((node[a[ok]], node[b[ok]]))
+            if sum(len(x) for x, _ in forest) > FOLD:  # only a forest is kept
+                forest[:] = [folded()]
+
+        few = count[cell] <= 16
+        for d in range(1, int(min(16, count.max(initial=1)))):
+            i = np.flatnonzero((cell[d:] == cell[:-d]) & few[d:])
+            for k in range(0, len(i), 50_000):
+                pairs(at[i[k : k + 50_000]], at[i[k : k + 50_000] + d])
+        for c in np.flatnonzero((count > 16) & (count <= POPULAR)):
+            members = at[start[c] : start[c] + count[c]]
+            for k in range(0, len(members) - 1, 64):
+                x, y = np.triu_indices(min(64, len(members) - k), 1, len(members) - k)
+                pairs(members[k + x], members[k + y])
+        a, b = folded()
+        big = count[cell] > POPULAR
+        none = pa.nulls(len(a), pa.int32())
+        edges = pa.table({"u": pa.array(a), "v": pa.array(b), "ring": none, "allow": none})
+        key = (sig[big] | (np.uint64(bucket) << np.uint64(48))).view(np.int64)
+        return pa.concat_tables([edges, pa.table({"u": pa.array(node[at[big]]), "v": pa.array(key), "ring": pa.array(ring[big].astype(np.int32)), "allow": pa.array(allow[big].astype(np.int32))})])
+
+    return run
+
+
+def _candidate_edges(found: DataFrame) -> DataFrame:
+    """Edges between sets that agree on a class.
+
+    Linked sets agree on more classes than either may leave out. So a set whose popular classes are within its allowance
+    leaves them out: it shares a rarer class with each of its partners. The others are joined within popular classes too.
+    """
+    found = checkpointed(found)
+    edges = found.filter("ring IS NULL").select("u", "v")
+    popular = found.filter("ring IS NOT NULL")
+    per_set = popular.groupBy("u", "ring").agg(F.count("*").alias("n"), F.max("allow").alias("allow"))
+    bound = per_set.filter((F.col("n") > F.col("allow")) | (F.col("allow") == KEEP_ALL)).select("u", "ring")
+    kept = popular.join(bound, ["u", "ring"], "left_semi").select("u", F.col("v").alias("cell"))
+    stars = kept.join(kept.groupBy("cell").agg(F.min("u").alias("v")), "cell").select("u", "v")
+    return edges.unionByName(stars.filter("u <> v").distinct())
 
 
 def _slots(nodes: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -421,8 +512,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     total = reps.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("s")).first().s
     buckets = min(1 << 16, max(12, int(0.35 * total) // BUCKET_SIGNATURES + 1))
     present = rows.filter("doc_id IS NOT NULL").select("text")
-    edges = present.mapInArrow(_signature_blocks(rule, buckets, hot), "bucket int, lo binary, hi binary, nodes binary").groupBy("bucket").applyInArrow(_agreeing, "u long, v long")
-    regions = checkpointed(components(edges))
+    blocks = present.mapInArrow(_signature_blocks(rule, buckets, hot), "bucket int, " + ", ".join(f"{c} binary" for c in _BLOCK))
+    found = blocks.groupBy("bucket").applyInArrow(_agreeing(rule), "u long, v long, ring int, allow int")
+    regions = checkpointed(components(_candidate_edges(found)))
     sizes = regions.groupBy("root").count()
     n_nodes = regions.count()
     bits = FILTER_SEGMENT
@@ -475,3 +567,26 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", rule:
 
 def op8_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)
+), r(x, y) AS (
+  SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+), k AS (
+  SELECT x, min(y) AS least FROM r GROUP BY x
+), d AS (
+  SELECT x, count(*) AS links FROM l GROUP BY x
+)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(k.least, w.doc_id)) AS component_id, coalesce(links, 0) AS n_links
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN k ON k.x = w.doc_id LEFT JOIN d ON d.x = w.doc_id
+"""

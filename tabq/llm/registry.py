@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_spread": line_dedup.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_line_spread": line_dedup.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op8_metric_join": jaccard_join.ORACLE}
