@@ -29,7 +29,7 @@ from .components import components, local_roots
 LEAF, MAX_PIVOTS = 200, 24
 #: Sets in a region that one task joins; larger regions, of which there are fewer than GIANTS, are cut into blocks.
 REGION_SETS, GIANTS = 3000, 1000
-BUCKET_SIGNATURES = 1_000_000
+BUCKET_SIGNATURES = 2_000_000
 #: A counting sketch tells shingles that are in over HOT sets or so; classes of only such shingles are not distinctive.
 SKETCH_SLOTS, SKETCH_PARTS, HOT = 1 << 22, 32, 48
 #: Classes that more sets than this agree on are popular.
