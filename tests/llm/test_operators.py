@@ -245,6 +245,32 @@ def test_toxicity(spark):
     assert all(0 <= x.score <= 1 for x in got.values())
 
 
+def test_toxicity_query_spares_harmless_phrases(spark, tmp_path):
+    r = random.Random(16)
+    vocab = [f"{a}{b}" for a in ("ka", "lo", "mi", "te", "ru") for b in ("na", "so", "pi", "da", "ve", "gu")]
+    rows, marks, harmless = [], [], set()
+    for i in range(700):
+        w = [r.choice(vocab) for _ in range(r.randrange(5, 60))]
+        kind = r.choice(["toxic", "plain", "plain", "plain", "plain"]) if i % 20 else "harmless"
+        at = r.randrange(len(w))
+        w[at:at] = {"toxic": ["idiot"], "harmless": ["village", "idiot", "theatre"], "plain": []}[kind]
+        harmless |= {i} if kind == "harmless" else set()
+        rows.append((i, " ".join(w), "s"))
+        marks.append((i, 1, int(kind == "toxic")))
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {x.doc_id: x for x in toxicity.op5_lexicon_toxicity(spark, str(tmp_path)).collect()}
+    y = {i: t for i, _, t in marks}
+    out = [i for i in y if got[i].held_out]
+    assert len(harmless & set(out)) >= 5 and all(got[i].predicted == y[i] for i in out)
+
+
+def test_toxicity_exceptions_need_varied_contexts(spark):
+    rows = [(i, f"aaa{chr(97 + i)} village idiot theatre bbb{chr(97 + i)}", 0) for i in range(12)] + [(20 + i, f"one same idiot text {chr(97 + i)}", 0) for i in range(12)] + [(40 + i, f"ccc{chr(97 + i)} plain idiot", 1) for i in range(6)]
+    found = toxicity.learn_exceptions(spark.createDataFrame(rows, "doc_id long, text string, y int"), {"idiot ": 4.0})
+    assert found and all("idiot" in p for p in found) and any(p in "village idiot theatre" for p in found) and not any("plain" in p or p == "idiot" for p in found)
+
+
 def test_quality(spark):
     r = random.Random(7)
     rows, marks = [], []
