@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, mixed, slices, table
+from .common import GOLDEN, mixed, slices, stored, table
 
 SEED_WORDS, COVERAGE = 5, 0.8
 #: Benchmark text indexed and broadcast at once; a larger benchmark is taken in chunks, each against all documents.
@@ -216,20 +216,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the largest (ties: the smallest item_id). Null and empty texts are clean, as are all texts when the benchmark is
     empty. Repeated rows give repeated results. Other columns are not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    out = None
-    for index in benchmark_chunks(benchmark):
-        part = rows.mapInArrow(_matches(spark.sparkContext.broadcast(index)), f"doc_id {kind}, coverage double, best_item long, items array<long>")
-        out = part if out is None else out.unionByName(part)
-        chunks = 1 if out is part else chunks + 1
-    if out is None:
+    sent = [sc.broadcast(index) for index in benchmark_chunks(benchmark)]
+    if not sent:
         return rows.select("doc_id", F.lit(False).alias("contaminated"), F.lit(0.0).alias("coverage"), F.lit(None).cast("long").alias("best_item"), F.array().cast("array<bigint>").alias("items"))
-    if chunks > 1:
-        # a row of each chunk for each document: the best of them, and all items (equal ids are one document here)
+    if len(sent) > 1:
+        # numbered once and written, so that each chunk sees the same numbers; ids may be null or repeated
+        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "text")
+    parts = [rows.mapInArrow(_matches(b), f"{kinds}, coverage double, best_item long, items array<long>") for b in sent]
+    out = parts[0]
+    if len(sent) > 1:
+        # a row of each chunk for each document row: the best of them, and all items
+        for part in parts[1:]:
+            out = out.unionByName(part)
         best = F.max(F.struct("coverage", (-F.col("best_item")).alias("item")))
-        out = out.groupBy("doc_id").agg(best.alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), best.alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         out = out.select("doc_id", F.col("b.coverage").alias("coverage"), (-F.col("b.item")).alias("best_item"), "items")
     return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), "coverage", "best_item", "items")
 

@@ -107,6 +107,18 @@ def test_decontamination(spark, odd, monkeypatch):
     assert decontamination.contamination(empty(spark), bench).count() == 0
 
 
+def test_decontamination_chunks_give_the_same_rows(spark, odd, monkeypatch):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    other = " ".join(f"w{k}" for k in range(14))
+    docs = frame(spark, odd + [(7, f"so {item}", "s1"), (7, other, "s1"), (7, other, "s1"), (None, item, "s1"), (None, f"{other} {item}", "s2"), (None, item[:40], "s2")])
+    bench = spark.createDataFrame([(1, item), (2, other), (3, item + " more")], "item_id long, text string")
+    key = lambda r: repr(tuple(r))
+    one = sorted(decontamination.contamination(docs, bench).collect(), key=key)
+    monkeypatch.setattr(decontamination, "CHUNK_BYTES", 10)  # a chunk an item
+    assert sorted(decontamination.contamination(docs, bench).collect(), key=key) == one
+    assert len(one) == docs.count() and sum(r.contaminated for r in one if r.doc_id is None) == 2 and sum(r.contaminated for r in one if r.doc_id == 7) == 3
+
+
 # 2
 def test_lm_base_is_exact_and_slices_agree(spark, odd, monkeypatch):
     docs = frame(spark, [x for x in odd if x[0] is not None])
