@@ -138,6 +138,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "fn_substr_edges": ("SELECT c_custkey, substr(c_name, 0, 3) AS a, substr(c_name, -3) AS b, substr(c_name, 4, -2) AS c, substr(c_name, 2, 4) AS d FROM customer", "SELECT c_custkey, c_name[1:2] AS a, c_name[-3:] AS b, c_name[2:3] AS c, c_name[2:5] AS d FROM customer"),
     "fn_trim_replace_instr": ("SELECT p_partkey, trim('xx' || p_name || 'x', 'x') AS t, replace(p_name, 'a', '-') AS r, instr(p_name, 'e') AS i FROM part", "SELECT p_partkey, trim('xx' || p_name || 'x', 'x') AS t, replace(p_name, 'a', '-') AS r, instr(p_name, 'e') AS i FROM part"),
     "fn_upper_lower_ascii": ("SELECT doc_id, upper(substr(text, 1, 60)) AS u, lower(substr(text, 1, 60)) AS l FROM documents", "SELECT doc_id, translate(text[1:60], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS u, translate(text[1:60], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l FROM documents"),
+    "fn_upper_lower_ascii_whole": ("SELECT doc_id, upper(text) AS u, lower(text) AS l FROM documents", "SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS u, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l FROM documents"),
     "fn_hex_unicode_char": ("SELECT n_nationkey, hex(n_name) AS h, unicode(n_name) AS u, char(65 + n_nationkey, 8364) AS c FROM nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, hex(n_name) AS h, CAST(unicode(n_name) AS BIGINT) AS u, chr(CAST(65 + n_nationkey AS INTEGER)) || '€' AS c FROM nation"),
     "fn_scalar_minmax_null": ("SELECT n_nationkey, max(n_nationkey, n_regionkey, 3) AS a, min(nullif(n_regionkey, 2), 3) AS b FROM nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(greatest(n_nationkey, n_regionkey, 3) AS BIGINT) AS a, CAST(CASE WHEN n_regionkey <> 2 THEN least(n_regionkey, 3) END AS BIGINT) AS b FROM nation"),
     "fn_coalesce_iif_nullif": ("SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') AS a, iif(o_totalprice > 100000, 'hi', 'lo') AS b, ifnull(NULL, o_custkey) AS c FROM orders", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') AS a, CASE WHEN o_totalprice > 100000 THEN 'hi' ELSE 'lo' END AS b, o_custkey AS c FROM orders"),
