@@ -1,22 +1,23 @@
 """Quality by Bradley-Terry pairwise ranking.
 
 A document's strength is linear in features of its whole text. Pairs of a good and a bad training document give
-feature differences; logistic loss on them gives the weights. A score quantile, set by the training share of bad
-documents, is the threshold, and scores are squashed so that it lies at 0.5.
+feature differences; logistic loss on them gives the weights. A score quantile of all labelled training documents, set by
+the share of bad ones, is the threshold, and scores are squashed so that it lies at 0.5.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, table, words
-from .sampling import labelled_sample
+from .common import checkpointed, held_out, slices, table, words
+from .sampling import labelled_ids, labelled_sample
 
 MODULUS, REMAINDER = 3, 1
 #: Bounds of the fit: training documents a class, pairs, steps.
@@ -114,9 +115,40 @@ def bradley_terry(good: np.ndarray, bad: np.ndarray, seed: int = 1) -> np.ndarra
     return w
 
 
+def _strengths(w: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in slices(b):
+                yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(features(s.column("text")) @ w)], ["doc_id", "s"])
+
+    return run
+
+
+def threshold(docs: DataFrame, y: DataFrame, train: Column, w: np.ndarray) -> float:
+    """The quantile of all training rows' strengths at their share of bad ones, at the widest gap within SLACK of it.
+
+    Texts are not shuffled, only strengths; the driver sees a row a partition. There are rows of both classes.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull()).filter(train)
+    scored = texts.mapInArrow(_strengths(w), "doc_id long, s double").join(y, "doc_id").select("s", "y")
+    place = F.monotonically_increasing_id()  # of a sorted frame: the partition above bit 33, the row in it below
+    ranked = checkpointed(scored.sort("s")).withColumn("place", place)
+    ranked = ranked.select("s", "y", F.shiftright("place", 33).cast("int").alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("at"))
+    parts = sorted(ranked.groupBy("part").agg(F.count("*").alias("n"), F.sum("y").alias("good")).collect())
+    n = sum(r.n for r in parts)
+    share = sum(r.good for r in parts) / n
+    lo, hi = (min(n - 2, max(0, math.ceil(q * n) - 1)) for q in (max(0, 1 - share - SLACK), min(1, 1 - share + SLACK)))
+    starts = docs.sparkSession.createDataFrame([(r.part, sum(p.n for p in parts[:k])) for k, r in enumerate(parts)], "part int, start long")
+    near = ranked.join(F.broadcast(starts), "part").select("s", (F.col("start") + F.col("at")).alias("rank")).filter(F.col("rank").between(lo, hi + 1))
+    after = near.select(F.col("s").alias("t"), (F.col("rank") - 1).alias("rank"))
+    best = near.join(after, "rank").agg(F.max(F.struct((F.col("t") - F.col("s")).alias("gap"), (-F.col("rank")).alias("k"), ((F.col("s") + F.col("t")) / 2).alias("cut"))).alias("b")).first()
+    return float(best.b.cut)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
-    """weights, threshold and scale; a labelled class that is missing gives a model that scores all alike."""
-    sample, share = labelled_sample(docs, labels, "quality", F.coalesce(~held_out("doc_id", MODULUS, REMAINDER), F.lit(True)), per_class, SEED)
+    """weights and scale from a sample, threshold from all training rows; a labelled class that is missing gives a model that scores all alike."""
+    train = F.coalesce(~held_out("doc_id", MODULUS, REMAINDER), F.lit(True))
+    sample, _ = labelled_sample(docs, labels, "quality", train, per_class, SEED)
     rows = sample.mapInArrow(_collected, "doc_id long, y int, x array<double>").collect()  # at most 2 * per_class rows of N_FEATURES numbers
     rows.sort(key=lambda r: (r.doc_id, r.y, r.x))
     x, y = np.array([r.x for r in rows]).reshape(len(rows), N_FEATURES), np.array([r.y for r in rows])
@@ -124,15 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
         return {"w": None, "cut": 0.0, "scale": 1.0, "flat": float(y[0]) if len(rows) else 1.0}
     w = bradley_terry(x[y == 1], x[y == 0])
     s = x @ w
-    weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
-    # the quantile of scores at the training share of bad documents, the sample weighted to the training shares
-    order = np.argsort(s)
-    upto = np.cumsum(weight[order])
-    lo, hi = (min(len(s) - 2, int(np.searchsorted(upto, q * upto[-1]))) for q in (max(0, 1 - share - SLACK), min(1, 1 - share + SLACK)))
-    ranked = s[order]
-    k = lo + int(np.argmax(ranked[lo + 1 : hi + 2] - ranked[lo : hi + 1]))  # at the widest gap near that quantile
-    cut = (ranked[k] + ranked[k + 1]) / 2
-    return {"w": w, "cut": float(cut), "scale": float(max(1e-6, np.median(np.abs(s - cut)) / 2)), "flat": 1.0}
+    cut = threshold(docs, labelled_ids(labels, "quality", train), train, w)
+    return {"w": w, "cut": cut, "scale": float(max(1e-6, np.median(np.abs(s - cut)) / 2)), "flat": 1.0}
 
 
 def _scores(model: dict):

@@ -303,6 +303,25 @@ def test_quality(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, x in got.items() if x.predicted)
 
 
+def test_quality_threshold_covers_all_training_rows(spark):
+    r = random.Random(17)
+    rows, marks = [], []
+    for i in range(900):
+        good = r.random() < 0.7
+        w = [r.choice(["the", "River", "runs", "over", "stone", "and", "12", "while"]) + r.choice(["", "", "", "#" * (1 if good else 3), "!"]) for _ in range(r.randrange(10, 40))]
+        rows.append((i, " ".join(w), "s"))
+        marks.append((i, int(good)))
+    model = quality.fit(frame(spark, [*rows, (5, rows[6][1], "s"), (None, "x", "s")]), spark.createDataFrame([*marks, (9999, 0)], "doc_id long, quality int"), per_class=40)
+    import pyarrow as pa
+
+    train = [(t, marks[i][1]) for i, t, _ in [*rows, (5, rows[6][1], "s")] if zlib.crc32(str(i).encode()) % quality.MODULUS != quality.REMAINDER]
+    s = np.sort(quality.features(pa.array([t for t, _ in train], pa.string())) @ model["w"])
+    n, bad = len(s), sum(1 - y for _, y in train) / len(train)
+    ks = range(max(0, math.ceil((bad - quality.SLACK) * n) - 1), min(n - 2, math.ceil((bad + quality.SLACK) * n) - 1) + 1)
+    k = max(ks, key=lambda k: (s[k + 1] - s[k], -k))
+    assert math.isclose(model["cut"], (s[k] + s[k + 1]) / 2, rel_tol=1e-9)
+
+
 @pytest.mark.parametrize("scores", [toxicity.toxicity_scores, quality.quality_scores])
 def test_classifiers_on_odd_rows(spark, odd, labels, scores):
     docs = frame(spark, odd)
