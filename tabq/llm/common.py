@@ -21,23 +21,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or what setCheckpointDir has set. A folder of its own only on a local master."""
+    sc = spark.sparkContext
+    if there := sc.getConf().get("spark.checkpoint.dir"):
+        return there
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tabq-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with reliable files in the shared folder; a folder of its own is made only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
+    """Cut the lineage with reliable files in the shared folder; Spark removes them when the frame is gone, if it is told to clean checkpoints."""
+    sc, there = df.sparkSession.sparkContext, shared_dir(df.sparkSession)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tabq-checkpoint-"))
+        sc.setCheckpointDir(there)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it again."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tabq-stored-")
-    path = f"{root}/stored-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo `modulus`; a null id has remainder null."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

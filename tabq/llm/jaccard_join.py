@@ -1,15 +1,21 @@
 """Exact n-gram Jaccard join in a metric space, giving components and link counts.
 
-Equal shingle sets are one point. Two coarse levels cut the space: rings of set size (the distance from the empty
-set), replicated into the rings that a partner may lie in, and within a ring projections on hash classes of shingles.
-Linked sets differ in at most D shingles, so of D + 1 + z classes z + 1 at least are equal. Sets that agree on a class,
-and whose shingle counts over hash bins differ by no more than D in sum (a lower bound of their difference), are gathered
-into regions by connected components, so that each set lies in one region. Inside a region, pivots make Voronoi cells
-by Jaccard distance; a set also goes to the cells of other pivots within the triangle-inequality window (twice the link
-distance), and cells are joined recursively. A region too large for one task is cut by rings around a pivot of its own,
-and only blocks of rings within the link distance are joined.
-
-Document pivots alone would separate little here: nearly all pairs of texts share nothing and lie at distance 1.
+Equal shingle sets are one point. Nearly all pairs of texts share nothing and lie at distance 1, where single documents
+as pivots separate nothing. So the pivots of the first level are unions of sets, and a pivot's region is all subsets of
+its union: a set lies |x - P| / |x| from the region of pivot P, which is its Jaccard distance to the nearest member. Each
+set's home is a region at distance 0, and by the triangle inequality every set that links with a home set lies within
+the link distance of that region, so such boundary sets are replicated into it as guests. A home set meets all its
+partners in its home region, which therefore counts its links in full.
+
+Pivots and windows are found without comparing texts. In an order of all shingles (common ones last, then by hash), two
+linked sets share one of their first |x| - ceil(t |x|) + 1 shingles, else either lacks too much of the other. The sets
+that meet at such a shingle, and whose counts over hash bins leave room for a link, form a cluster: a pivot. A set's home
+is the largest of its clusters, and it is a guest of the homes of those that it meets.
+
+Regions are joined recursively. Inside a task, documents are pivots: Voronoi cells by Jaccard distance, windows of twice
+the link distance, and cells again. A region too large for one task is first cut by document pivots of its own into
+Voronoi cells and blocks of them; two blocks meet in a task of their own with the sets whose windows reach the other
+cell, each set as its difference from a pivot. No pair is emitted, only roots of the sets that are linked in a task.
 """
 
 from __future__ import annotations
@@ -19,23 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, checkpointed, grams, hashed, mixed, slices, table, words
+from .common import GOLDEN, checkpointed, free_name, grams, hashed, mixed, slices, table, words
 from .components import components, local_roots
 
-LEAF, MAX_PIVOTS = 200, 24
-#: Sets in a region that one task joins; larger regions, of which there are fewer than GIANTS, are cut into blocks.
-REGION_SETS, GIANTS = 3000, 1000
-BUCKET_SIGNATURES = 2_000_000
-#: A counting sketch tells shingles that are in over HOT sets or so; classes of only such shingles are not distinctive.
+#: Sets that are compared one by one; document pivots of larger cells.
+LEAF, MAX_PIVOTS = 24, 24
+#: Sets of a region that one task joins; larger regions are cut into blocks of half as many, around so many pivots.
+REGION_SETS, REGION_PIVOTS = 256, 6
+#: Signatures of a bucket, rows of a part of the cluster search, shingles of a batch of regions: the work of one task.
+BUCKET_SIGNATURES, PART_ROWS, BATCH_SHINGLES = 1_500_000, 150_000, 1_500_000
+#: A counting sketch tells shingles that are in over HOT sets (or thrice the mean of its slots); they come last in the order.
 SKETCH_SLOTS, SKETCH_PARTS, HOT = 1 << 22, 32, 48
-#: Classes that more sets than this agree on are popular.
-POPULAR, KEEP_ALL = 1000, 255
 #: Hash bins of a set's profile; pairs found in a task before they are folded into a forest.
-BINS, FOLD = 32, 400_000
+BINS, FOLD = 64, 400_000
 FILTER_SEGMENT, MAX_FILTER_BITS = 1 << 16, 1 << 28
 
 
@@ -44,19 +51,11 @@ class Rule:
 
     def __init__(self, n: int = 4, num: int = 85, den: int = 100):
         self.n, self.num, self.den = n, num, den
-        bounds = [1]
-        while bounds[-1] < 1 << 40:
-            bounds.append(max(bounds[-1] + 1, bounds[-1] * 3 // 2))
-        self.bounds = np.array(bounds)  # smallest set size of each ring
-        largest = self.bounds[1:] - 1
-        # sets of T shingles together that are linked differ in at most (den - num) T / (den + num)
-        self.differ = (den - num) * 2 * largest // (den + num)
-        #: a few classes more, so that classes without a distinctive shingle need not count
-        self.spare = np.where(self.differ > 0, 2 + self.differ // 5, 0)
-        self.classes = self.differ + 1 + self.spare
-
-    def ring(self, size: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.bounds, size, "right") - 1
+
+    def prefix(self, size: np.ndarray) -> np.ndarray:
+        """First shingles of a set of which each linked set has one among its own; 0 for sets too small for an unequal partner."""
+        most = (self.den - self.num) * (size + size * self.den // self.num) // (self.den + self.num)
+        return np.where(most > 0, size - -(-self.num * size // self.den) + 1, 0)
 
     def linked(self, common: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
         return (self.den * common >= self.num * (a + b - common)) & (common > 0)
@@ -103,28 +102,40 @@ def set_keys(ends: np.ndarray, flat: np.ndarray) -> list[bytes]:
 
 
 def _node(keys: list[bytes]) -> np.ndarray:
-    """Short node numbers; two sets of one number only share a region."""
+    """Short numbers of sets."""
     return np.frombuffer(b"".join(k[:8] for k in keys), np.int64)
 
 
+def profiles(size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Shingle counts of each set over BINS hash bins, 255 at most; the sum of their differences bounds that of the sets from below."""
+    who = np.repeat(np.arange(len(size)), size)
+    bins = (mixed(flat + np.uint64(5)) >> np.uint64(40)).astype(np.int64) % BINS
+    return np.minimum(np.bincount(who * BINS + bins, minlength=len(size) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+
+
+_DESCRIBED = "doc_id long, text_hash long, n_shingles long, set_key binary, node long, profile binary, part int, hits binary"
+
+
 def _described(n: int):
-    """Size and key of each text's set; then, for the partition, how often each slot of the sketch is hit by its distinct sets."""
+    """Size, key and profile of each text's set; then, for the partition, how often each slot of the sketch is hit by its distinct sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         hits = np.zeros(SKETCH_SLOTS, np.uint32)
-        names = ["doc_id", "n_shingles", "set_key", "part", "hits"]
+        names = [c.split()[0] for c in _DESCRIBED.split(", ")]
         for b in batches:
             for s in slices(b):
                 ends, flat = shingle_sets(s.column("text"), n)
                 keys, size = set_keys(ends, flat), np.diff(ends)
                 new = np.array([k not in seen and not seen.add(k) for k in keys], bool)
                 hits += np.bincount(_sketch_slot(flat[np.repeat(new, size)]), minlength=SKETCH_SLOTS).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(size), pa.array(keys, pa.binary()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names)
+                profile = profiles(size, flat)
+                none = pa.nulls(len(size), pa.binary())
+                yield pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("text_hash"), pa.array(size), pa.array(keys, pa.binary()), pa.array(_node(keys)), pa.array([p.tobytes() for p in profile], pa.binary()), pa.nulls(len(size), pa.int32()), none], names)
         if seen:
-            parts = [zlib.compress(np.minimum(x, 255).astype(np.uint8).tobytes(), 1) for x in hits.reshape(SKETCH_PARTS, -1)]
-            none = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.array(range(none), pa.int32()), pa.array(parts, pa.binary())], names)
+            parts = [zlib.compress(np.minimum(x, 65_535).astype(np.uint16).tobytes(), 1) for x in hits.reshape(SKETCH_PARTS, -1)]
+            long, data = pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.binary())
+            yield pa.RecordBatch.from_arrays([long, long, long, data, long, data, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return run
 
@@ -136,7 +147,7 @@ def _sketch_slot(flat: np.ndarray) -> np.ndarray:
 def _hot_part(t: pa.Table) -> pa.Table:
     total = np.zeros(SKETCH_SLOTS // SKETCH_PARTS, np.int64)
     for x in t["hits"].to_pylist():
-        total += np.frombuffer(zlib.decompress(x), np.uint8)
+        total += np.frombuffer(zlib.decompress(x), np.uint16)
     hot = total > max(HOT, 3 * total.mean())
     return pa.table({"part": t["part"][:1], "bits": pa.array([np.packbits(hot).tobytes()], pa.binary())})
 
@@ -157,131 +168,102 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[
                 yield size[use], flat[np.repeat(use, size)], [k for k, u in zip(keys, use) if u]
 
 
-def signatures(rule: Rule, size: np.ndarray, flat: np.ndarray, hot: np.ndarray) -> list[np.ndarray]:
-    """Set number, signature, ring, allowance for the classes of each set, in its ring and the rings of larger partners.
-
-    The allowance is how many classes of the ring may still be left out; KEEP_ALL for sets that can't spare theirs.
-    """
-    own, last = rule.ring(size), rule.ring(size * rule.den // rule.num)
-    who = np.repeat(np.arange(len(size)), size)
-    weight = mixed(flat ^ GOLDEN)
-    slot = _sketch_slot(flat)
-    distinctive = (hot[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 0
-    lo, hi = (weight & np.uint64(0xFFFFFFFF)).astype(np.float64), (weight >> np.uint64(32)).astype(np.float64)
-    parts = []
-    for step in range(int((last - own).max()) + 1 if len(size) else 0):
-        use = own + step <= last
-        ring = np.where(use, own + step, 0)
-        m = np.where(use, rule.classes[ring], 0)
-        base = np.concatenate([[0], np.cumsum(m)])
-        mine = use[who]
-        w = who[mine]
-        cell = base[w] + ((mixed(flat[mine] + ring[w].astype(np.uint64)) >> np.uint64(33)) % m[w].astype(np.uint64)).astype(np.int64)
-        total = int(base[-1])
-        count = np.bincount(cell[distinctive[mine]], minlength=total)
-        a, b = np.bincount(cell, lo[mine], total).astype(np.uint64), np.bincount(cell, hi[mine], total).astype(np.uint64)
-        owner = np.repeat(np.arange(len(size)), m)
-        weak = count == 0
-        left = np.where(use, rule.spare[ring], 0) - np.bincount(owner[weak], minlength=len(size))
-        keep = ~weak | (left < 0)[owner]
-        allow = np.where(left < 0, KEEP_ALL, np.minimum(left, KEEP_ALL - 1))
-        place = ring[owner].astype(np.uint64) << np.uint64(40) | (np.arange(total) - base[owner]).astype(np.uint64)
-        owner = owner[keep]
-        parts.append((owner, mixed(mixed(a * GOLDEN + b) + place)[keep], ring[owner].astype(np.uint8), allow[owner].astype(np.uint8)))
-    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0, k) for k in (np.int64, np.uint64, np.uint8, np.uint8)]
-
-
-def profiles(size: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """Shingle counts of each set over BINS hash bins, 255 at most; the sum of their differences bounds that of the sets from below."""
-    who = np.repeat(np.arange(len(size)), size)
-    bins = (mixed(flat + np.uint64(5)) >> np.uint64(40)).astype(np.int64) % BINS
-    return np.minimum(np.bincount(who * BINS + bins, minlength=len(size) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+# -- first level: pivots, homes and windows
 
 
-_BLOCK = {"lo": np.uint32, "hi": np.uint16, "at": np.uint32, "ring": np.uint8, "allow": np.uint8, "node": np.int64, "size": np.uint32, "profile": np.uint8}
+def signatures(rule: Rule, size: np.ndarray, flat: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set number, shingle, whether it is common) for the first shingles of each set: common ones last, then by hash."""
+    slot = _sketch_slot(flat)
+    common = (hot[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+    owner, start = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    before = np.concatenate([[0], np.cumsum(~common)])  # rare shingles up to each place
+    rare = before[start + size] - before[start]
+    place = np.arange(len(flat)) - start[owner]
+    rank_rare = before[:-1] - before[start][owner]
+    rank = np.where(common, rare[owner] + place - rank_rare, rank_rare)
+    use = rank < rule.prefix(size)[owner]
+    return owner[use], flat[use], common[use]
 
 
 def _signature_blocks(rule: Rule, buckets: int, hot):
-    """Blocks by bucket: signatures with a place in the block's table of sets, and that table (node, size, profile)."""
+    """Blocks of shingles and sets by bucket: a rare shingle's sets go to one bucket, a common one's to any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.frombuffer(hot.value, np.uint8)
         held: list[tuple[np.ndarray, ...]] = []
-        tables: list[tuple[np.ndarray, ...]] = []
 
         def out():
-            sets, sig, ring, allow = (np.concatenate(x) for x in zip(*held))
-            node, size, profile = (np.concatenate(x) for x in zip(*tables))
+            sig, node, often = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            tables.clear()
-            bucket = ((sig >> np.uint64(48)).astype(np.int64) * buckets) >> 16
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
-            for k in range(buckets):
-                i = order[cuts[k] : cuts[k + 1]]
-                if len(i):
-                    here, at = np.unique(sets[i], return_inverse=True)
-                    columns = (sig[i] & np.uint64(0xFFFFFFFF), (sig[i] >> np.uint64(32)) & np.uint64(0xFFFF), at, ring[i], allow[i], node[here], size[here], profile[here])
-                    rows.append((k, [c.astype(t).tobytes() for c, t in zip(columns, _BLOCK.values())]))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), *[pa.array([c[j] for _, c in rows], pa.binary()) for j in range(len(_BLOCK))]], ["bucket", *_BLOCK])
-
-        n = 0
+            spread = mixed(np.where(often, sig + node.view(np.uint64), sig) ^ GOLDEN) >> np.uint64(32)
+            place = (spread * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) * 2 + often
+            order = np.argsort(place, kind="stable")
+            place, sig, node = place[order], sig[order], node[order]
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])), len(place)) if len(place) else np.zeros(1, np.int64)
+            pieces = list(zip(cuts[:-1], cuts[1:]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(place[a]) >> 1 for a, _ in pieces], pa.int32()), pa.array([bool(place[a] & 1) for a, _ in pieces], pa.bool_()), *[pa.array([x[a:z].tobytes() for a, z in pieces], pa.binary()) for x in (sig, node)]],
+                ["bucket", "often", "sig", "node"],
+            )
+
         for size, flat, keys in _distinct_sets(batches, rule.n):
-            sets, sigs, ring, allow = signatures(rule, size, flat, common)
-            held.append((sets + n, sigs, ring, allow))
-            tables.append((_node(keys), size, profiles(size, flat)))
-            n += len(size)
+            who, sig, often = signatures(rule, size, flat, common)
+            held.append((sig, _node(keys)[who], often))
             if sum(len(x[0]) for x in held) > 1_000_000:
                 yield from out()
-                n = 0
         if held:
             yield from out()
 
     return run
 
 
+def _met(t: pa.Table) -> pa.Table:
+    """Per bucket: (shingle, set) where a rare shingle has two sets or more, and of all common shingles."""
+    parts = []
+    for often in (False, True):
+        rows = t.filter(pc.equal(t["often"], often))
+        sig, node = (np.frombuffer(b"".join(rows[c].to_pylist()), k) for c, k in (("sig", np.uint64), ("node", np.int64)))
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])  # a set of several partitions
+        sig, node = sig[new], node[new]
+        if not often and len(sig):
+            same = sig[1:] == sig[:-1]
+            keep = np.append(same, False) | np.append(False, same)
+            sig, node = sig[keep], node[keep]
+        parts.append(pa.table({"sig": pa.array(sig.view(np.int64)), "node": pa.array(node), "often": pa.array(np.full(len(sig), often))}))
+    return pa.concat_tables(parts)
+
+
 def _near(rule: Rule, a: np.ndarray, b: np.ndarray, size: np.ndarray, profile: np.ndarray) -> np.ndarray:
-    """Whether the profiles of sets a and b leave room for a link."""
+    """Whether sizes and profiles of sets a and b leave room for a link."""
     most = (rule.den - rule.num) * (size[a] + size[b]) // (rule.den + rule.num)
-    return np.abs(profile[a].astype(np.int16) - profile[b]).sum(1, dtype=np.int64) <= most
+    ok = np.flatnonzero(np.abs(size[a] - size[b]) <= most)
+    out = np.zeros(len(a), bool)
+    out[ok] = np.abs(profile[a[ok]].astype(np.int16) - profile[b[ok]]).sum(1, dtype=np.int64) <= most[ok]
+    return out
 
 
-def _agreeing(rule: Rule):
-    """Per bucket: (node, root) of sets that share a signature and may be linked; the members of popular signatures as they are."""
+def _clusters(rule: Rule):
+    """Per part: (set, cluster, sets of the cluster) for the sets that meet at a shingle and may be linked, directly or through others there."""
 
     def run(t: pa.Table) -> pa.Table:
-        bucket, n = t["bucket"][0].as_py(), 0
-        parts, tables = [], []
-        for i in range(t.num_rows):
-            lo, hi, at, ring, allow, node, size, profile = (np.frombuffer(t[c][i].as_buffer(), k) for c, k in _BLOCK.items())
-            parts.append((lo | hi.astype(np.uint64) << np.uint64(32), (at + np.uint32(n)).astype(np.int32), ring, allow))
-            tables.append((node, size.astype(np.int64), profile.reshape(-1, BINS)))
-            n += len(node)
-        sig, at, ring, allow = (np.concatenate(x) for x in zip(*parts))
-        node, size, profile = (np.concatenate(x) for x in zip(*tables))
-        del parts, tables, t, lo, hi
-        # one number for equal nodes of several partitions
-        _, same = np.unique(node, return_inverse=True)
-        order = np.argsort(same[at].astype(np.int32), kind="stable")
-        order = order[np.argsort(sig[order], kind="stable")]
-        sig, at, ring, allow = sig[order], at[order], ring[order], allow[order]
-        del order
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (same[at[1:]] != same[at[:-1]])
-        sig, at, ring, allow = sig[new], at[new], ring[new], allow[new]
+        sig, node, size = (t[c].to_numpy() for c in ("sig", "node", "size"))
+        order = np.lexsort((node, sig))
+        sig, node, size = sig[order], node[order], size[order]
+        profile = np.frombuffer(b"".join(t["profile"].to_pylist()), np.uint8).reshape(-1, BINS)[order]
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
         count = np.diff(np.append(start, len(sig)))
         cell = np.repeat(np.arange(len(start), dtype=np.int32), count)
         forest: list[tuple[np.ndarray, np.ndarray]] = []
 
         def folded() -> tuple[np.ndarray, np.ndarray]:
-            a, b = local_roots(*(np.concatenate(x) for x in zip(*forest))) if forest else (np.empty(0, np.int64),) * 2
-            return a[a != b], b[a != b]
+            return local_roots(*(np.concatenate(x) for x in zip(*forest))) if forest else (np.empty(0, np.int64),) * 2
 
         def pairs(a: np.ndarray, b: np.ndarray) -> None:
             ok = _near(rule, a, b, size, profile)
-            forest.append((node[a[ok]], node[b[ok]]))
+            forest.append((a[ok], b[ok]))
             if sum(len(x) for x, _ in forest) > FOLD:  # only a forest is kept
                 forest[:] = [folded()]
 
@@ -289,36 +271,39 @@ def _agreeing(rule: Rule):
         for d in range(1, int(min(16, count.max(initial=1)))):
             i = np.flatnonzero((cell[d:] == cell[:-d]) & few[d:])
             for k in range(0, len(i), 50_000):
-                pairs(at[i[k : k + 50_000]], at[i[k : k + 50_000] + d])
-        for c in np.flatnonzero((count > 16) & (count <= POPULAR)):
-            members = at[start[c] : start[c] + count[c]]
-            for k in range(0, len(members) - 1, 64):
-                x, y = np.triu_indices(min(64, len(members) - k), 1, len(members) - k)
-                pairs(members[k + x], members[k + y])
-        a, b = folded()
-        big = count[cell] > POPULAR
-        none = pa.nulls(len(a), pa.int32())
-        edges = pa.table({"u": pa.array(a), "v": pa.array(b), "ring": none, "allow": none})
-        key = (sig[big] | (np.uint64(bucket) << np.uint64(48))).view(np.int64)
-        return pa.concat_tables([edges, pa.table({"u": pa.array(node[at[big]]), "v": pa.array(key), "ring": pa.array(ring[big].astype(np.int32)), "allow": pa.array(allow[big].astype(np.int32))})])
+                pairs(i[k : k + 50_000], i[k : k + 50_000] + d)
+        for c in np.flatnonzero(count > 16):
+            for k in range(0, count[c] - 1, 64):
+                x, y = np.triu_indices(min(64, count[c] - k), 1, count[c] - k)
+                pairs(start[c] + k + x, start[c] + k + y)
+        at, root = folded()
+        _, which, n = np.unique(root, return_inverse=True, return_counts=True)
+        key = mixed(mixed(sig[root].view(np.uint64)) + node[root].view(np.uint64)).view(np.int64)
+        return pa.table({"node": pa.array(node[at]), "cluster": pa.array(key), "n": pa.array(n[which].astype(np.int64) if len(at) else np.empty(0, np.int64))})
 
     return run
 
 
-def _candidate_edges(found: DataFrame) -> DataFrame:
-    """Edges between sets that agree on a class.
+def regions(rule: Rule, met: DataFrame, reps: DataFrame) -> DataFrame:
+    """(region, node, home) for the sets that may have a link: their home region, and those where they are guests."""
+    cold = met.filter("NOT often").join(reps.select("node", F.col("n_shingles").alias("size"), "profile"), "node")
+    parts = max(12, met.count() // PART_ROWS + 1)
+    found = cold.withColumn("part", F.pmod(F.xxhash64("sig"), F.lit(parts))).groupBy("part").applyInArrow(_clusters(rule), "node long, cluster long, n long")
+    common = met.filter("often").select("node", F.col("sig").alias("cluster"))
+    counted = common.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1")
+    common = common.join(counted, "cluster").select("node", "cluster", "n")
+    rows = checkpointed(found.unionByName(common))
+    homes = rows.groupBy("node").agg(F.max(F.struct("n", "cluster")).alias("m")).select("node", F.col("m.cluster").alias("home"))
+    rows = checkpointed(rows.select("node", "cluster").join(homes, "node"))
+    # clusters with sets of several homes: each is a guest of the other homes
+    there = rows.select("cluster", F.col("home").alias("region")).distinct()
+    several = there.groupBy("cluster").agg(F.collect_list("region").alias("homes")).filter(F.size("homes") > 1)
+    guests = rows.join(several, "cluster").select("node", "home", F.explode("homes").alias("region")).filter("home <> region")
+    own = homes.select(F.col("home").alias("region"), "node", F.lit(True).alias("home"))
+    return checkpointed(own.unionByName(guests.select("region", "node", F.lit(False).alias("home")).distinct()))
 
-    Linked sets agree on more classes than either may leave out. So a set whose popular classes are within its allowance
-    leaves them out: it shares a rarer class with each of its partners. The others are joined within popular classes too.
-    """
-    found = checkpointed(found)
-    edges = found.filter("ring IS NULL").select("u", "v")
-    popular = found.filter("ring IS NOT NULL")
-    per_set = popular.groupBy("u", "ring").agg(F.count("*").alias("n"), F.max("allow").alias("allow"))
-    bound = per_set.filter((F.col("n") > F.col("allow")) | (F.col("allow") == KEEP_ALL)).select("u", "ring")
-    kept = popular.join(bound, ["u", "ring"], "left_semi").select("u", F.col("v").alias("cell"))
-    stars = kept.join(kept.groupBy("cell").agg(F.min("u").alias("v")), "cell").select("u", "v")
-    return edges.unionByName(stars.filter("u <> v").distinct())
+
+# -- the sets that take part
 
 
 def _slots(nodes: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -353,24 +338,35 @@ def _fetched(rule: Rule, bits, n_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(bits.value, np.uint8)
         for size, flat, keys in _distinct_sets(batches, rule.n):
+            node = _node(keys)
             ok = np.ones(len(keys), bool)
-            for s in _slots(_node(keys), n_bits):
+            for s in _slots(node, n_bits):
                 ok &= (held[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
-            ends = np.concatenate([[0], np.cumsum(size)])
-            i = np.flatnonzero(ok)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in i], pa.binary()), pa.array([flat[ends[k] : ends[k + 1]].tobytes() for k in i], pa.binary())], ["set_key", "shingles"])
+            if ok.any():
+                ends = np.concatenate([[0], np.cumsum(size[ok])]).astype(np.int32)
+                shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[np.repeat(ok, size)].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, u in zip(keys, ok) if u], pa.binary()), shingles], ["set_key", "shingles"])
 
     return run
 
 
+# -- joins inside a region
+
+
 class Cells:
-    """Sets of a region, with an index from shingle to sets, and the recursive join over them."""
+    """Sets of a task, with an index from shingle to sets, and the recursive join over them.
 
-    def __init__(self, rule: Rule, sets: list[np.ndarray]):
+    A set may be given as its difference from a common pivot, with its true size: the difference of two sets is that of
+    their differences. `home` marks the sets whose links are asked for.
+    """
+
+    def __init__(self, rule: Rule, sets: list[np.ndarray], size: np.ndarray | None = None, home: np.ndarray | None = None):
         self.rule = rule
-        self.size = np.array([len(s) for s in sets], np.int64)
+        self.given = np.array([len(s) for s in sets], np.int64)
+        self.size = self.given if size is None else size
+        self.home = np.ones(len(sets), bool) if home is None else home
         flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), self.size)
+        owner = np.repeat(np.arange(len(sets)), self.given)
         _, ids, n = np.unique(flat, return_inverse=True, return_counts=True)
         shared = n[ids] > 1  # a shingle of one set meets nothing
         ids, owner = ids[shared], owner[shared]
@@ -380,14 +376,17 @@ class Cells:
         self.n_ids = int(ids.max()) + 1 if len(ids) else 0
         self.owner = owner
 
-    def common(self, x: int, among: np.ndarray | None, index) -> np.ndarray:
-        """Shingles that x shares with each set of an index made by `indexed`."""
-        post, cuts, n = index
+    def common(self, x: int, members: np.ndarray, index) -> np.ndarray:
+        """Shingles that x shares with each of the members, of which `indexed` made the index."""
+        post, cuts = index
         ids = self.ids[self.starts[x] : self.starts[x + 1]]
         lengths = cuts[ids + 1] - cuts[ids]
-        total = int(lengths.sum())
-        at = np.repeat(cuts[ids] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(total)
-        return np.bincount(post[at], minlength=n)
+        at = np.repeat(cuts[ids] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum()))
+        both = np.bincount(post[at], minlength=len(members))
+        apart = self.given[x] + self.given[members] - 2 * both
+        c = (self.size[x] + self.size[members] - apart) // 2
+        c[members == x] = self.size[x]  # shingles that no other set has are not indexed
+        return c
 
     def indexed(self, members: np.ndarray):
         """Postings over the members only; positions are places in `members`."""
@@ -397,16 +396,16 @@ class Cells:
         use = here >= 0
         ids, here = self.ids[use], here[use]
         order = np.argsort(ids, kind="stable")
-        return here[order], np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=self.n_ids))]), len(members)
+        return here[order], np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=self.n_ids))])
 
-    def join(self, home: np.ndarray, guests: np.ndarray, found) -> None:
-        """Call found(x, ys) with all links of each home set among home and guests; guests are joined elsewhere."""
+    def join(self, home: np.ndarray, guests: np.ndarray, found) -> int:
+        """Call found(x, ys) with all links of each home set among home and guests, which are joined elsewhere; the number of cells made."""
         members = np.concatenate([home, guests])
         index = self.indexed(members)
         if len(members) > LEAF and len(home) > 1:
             k = min(MAX_PIVOTS, int(len(home) ** 0.5))
             pivots = home[np.linspace(0, len(home) - 1, k).astype(int)]
-            common = np.stack([self.common(int(p), None, index) for p in pivots], 1)
+            common = np.stack([self.common(int(p), members, index) for p in pivots], 1)
             distance = 1 - common / (self.size[members][:, None] + self.size[pivots][None, :] - common)
             nearest = distance.min(1)
             cell = distance[: len(home)].argmin(1)
@@ -416,153 +415,210 @@ class Cells:
             window = (distance <= nearest[:, None] + 2 * self.rule.reach + 1e-9) & (distance <= radius[None, :] + self.rule.reach + 1e-9)
             window[np.arange(len(home)), cell] = True
             if window.sum() < 3 * len(members) and window.sum(0).max() < 0.8 * len(members):
+                made = k
                 for j in range(k):
                     own = np.flatnonzero(cell == j)
                     if len(own):
                         other = window[:, j].copy()
                         other[own] = False
-                        self.join(home[own], members[other], found)
-                return
+                        made += self.join(home[own], members[other], found)
+                return made
         for x in home:
-            c = self.common(int(x), None, index)
+            c = self.common(int(x), members, index)
             ys = members[self.rule.linked(c, self.size[x], self.size[members])]
             found(int(x), ys[ys != x])
+        return 0
 
 
-def _joined_region(rule: Rule, sets: list[np.ndarray], rep: np.ndarray, copies: np.ndarray, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest rep of each set's component here, documents linked to it here). With blocks, only links across the two blocks count."""
-    cells = Cells(rule, sets)
-    comp, links = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+def _joined(rule: Rule, sets: list[np.ndarray], size: np.ndarray, home: np.ndarray, copies: np.ndarray, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(least place of each set's component here, documents linked to each home set). With blocks, only links across the two count."""
+    cells = Cells(rule, sets, size, home)
+    root, links = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+    edges: list[tuple[np.ndarray, np.ndarray]] = []
 
     def found(x: int, ys: np.ndarray) -> None:
         if block is not None:
             ys = ys[block[ys] != block[x]]
-        links[x] += copies[ys].sum()
-        roots = np.unique(np.append(comp[ys], comp[x]))
-        if len(roots) > 1:
-            comp[np.isin(comp, roots)] = roots[0]
-
-    everyone = np.arange(len(sets))
-    cells.join(everyone, everyone[:0], found)
-    least = np.full(len(sets), np.iinfo(np.int64).max)
-    np.minimum.at(least, comp, rep)
-    return least[comp], links
-
+        if len(ys):
+            links[x] += copies[ys].sum()
+            edges.append((np.full(len(ys), x), ys))
+            if sum(len(a) for a, _ in edges) > FOLD:
+                edges[:] = [local_roots(*(np.concatenate(e) for e in zip(*edges)))]
 
-def _region(rule: Rule):
-    def run(t: pa.Table) -> pa.Table:
-        keys = t["set_key"].to_pylist()
-        first = {k: i for i, k in reversed(list(enumerate(keys)))}
-        use = sorted(first.values())
-        t = t.take(pa.array(use))
-        sets = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
-        rep, copies = t["rep"].to_numpy(), t["copies"].to_numpy()
-        block = t["block"].to_numpy()  # -1: all links count
-        root, links = _joined_region(rule, sets, rep, copies, block if block[0] >= 0 else None)
-        return pa.table({"set_key": t["set_key"], "rep": t["rep"], "root": pa.array(root), "links": pa.array(links)})
+    cells.join(np.flatnonzero(home), np.flatnonzero(~home), found)
+    if edges:
+        at, least = local_roots(*(np.concatenate(e) for e in zip(*edges)))
+        root[at] = least
+    return root, links
 
-    return run
 
+_JOINED = "set_key binary, node long, root long, links long"
 
-_REGION_OUT = "set_key binary, rep long, root long, links long"
 
+def _each(rule: Rule, by: str, whole: bool):
+    """Joins each group of `by` in a batch of them: a whole region, or two blocks (or a block with itself) of a large one. A set counts once in a group."""
 
-def _giant_blocks(rule: Rule, giants, pivots):
-    """Copies of a giant region's sets for each pair of blocks it takes part in."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks_of, pivot_of = giants.value, pivots.value
-        rings = int(1 / rule.reach) + 2
-        for b in batches:
-            out: list[tuple] = []
-            for region, key, rep, copies, shingles in zip(*(b.column(c).to_pylist() for c in ("region", "set_key", "rep", "copies", "shingles"))):
-                s, p = np.frombuffer(shingles, np.uint64), np.frombuffer(pivot_of[region], np.uint64)
-                c = len(np.intersect1d(s, p, assume_unique=True))
-                ring = int((1 - c / (len(s) + len(p) - c)) / rule.reach)
-                n = blocks_of[region]
-                mine = ring * n + int.from_bytes(key[8:12], "little") % n
-                for other in range(max(0, ring - 1) * n, min(rings, ring + 2) * n):
-                    pair = f"{region}/{min(mine, other)}/{max(mine, other)}"
-                    out.append((pair, key, rep, copies, shingles, mine if other != mine else -1))
-            cols = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["pair", "set_key", "rep", "copies", "shingles", "block"])
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        group = t[by].to_numpy()
+        order = np.argsort(group, kind="stable")
+        t, group = t.take(pa.array(order)), group[order]
+        keys = t["set_key"].to_pylist()
+        lists = t["shingles"].combine_chunks()
+        flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        node, copies, size, block, other = (t[c].to_numpy() for c in ("node", "copies", "size", "block", "other"))
+        home = t["home"].to_numpy().astype(bool)
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(group))
+        at, roots, links = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            use = np.array(sorted({keys[i]: i for i in range(z - 1, a - 1, -1)}.values()))
+            here = home[use]
+            if not here.any():
+                continue
+            sets = [flat[ends[i] : ends[i + 1]] for i in use]
+            if whole and not here.all():
+                # the window: guests within the link distance of the pivot's region
+                pivot = np.unique(np.concatenate([s for s, h in zip(sets, here) if h]))
+                there = np.array([h or rule.den * int(np.isin(s, pivot, assume_unique=True).sum()) >= rule.num * len(s) for s, h in zip(sets, here)])
+                use, here, sets = use[there], here[there], [s for s, k in zip(sets, there) if k]
+            across = not whole and block[a] != other[a]
+            root, n = _joined(rule, sets, size[use], here, copies[use], block[use] if across else None)
+            at.append(use)
+            roots.append(node[use[root]])
+            links.append(np.where(here, n, 0))
+        rows = np.concatenate(at)
+        return pa.table({"set_key": pa.array([keys[i] for i in rows], pa.binary()), "node": pa.array(node[rows]), "root": pa.array(np.concatenate(roots)), "links": pa.array(np.concatenate(links))})
 
     return run
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for each row.
+def _distance(a: Column, b: Column) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return 1 - both / (F.size(a) + F.size(b) - both)
+
+
+def _large(rule: Rule, full: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links in regions of over REGION_SETS sets: Voronoi cells of document pivots, their blocks, and pairs of blocks that windows join."""
+    part = checkpointed(full.join(sizes.select("region"), "region", "left_semi").dropDuplicates(["region", "set_key"]))
+    salted = part.filter("home").withColumn("salt", F.pmod(F.xxhash64("set_key"), F.lit(REGION_PIVOTS)))
+    pivots = salted.groupBy("region", "salt").agg(F.min_by("shingles", "set_key").alias("p")).groupBy("region").agg(F.sort_array(F.collect_list("p")).alias("pivots"))
+    d = part.join(pivots, "region").withColumn("d", F.transform("pivots", lambda p: _distance(F.col("shingles"), p)))
+    d = d.withColumn("cell", F.array_position("d", F.array_min("d")).cast("int") - 1)
+    d = d.withColumn("window", F.filter(F.sequence(F.lit(0), F.size("d") - 1), lambda k: F.get("d", k) <= F.array_min("d") + F.lit(2 * rule.reach + 1e-9)))
+    # a set as its difference from the first pivot
+    first = F.get("pivots", F.lit(0))
+    d = d.withColumn("size", F.size("shingles").cast("long")).withColumn("shingles", F.concat(F.array_except("shingles", first), F.array_except(first, F.col("shingles"))))
+    d = checkpointed(d.drop("pivots", "d"))
+    blocks = d.groupBy("region", "cell").agg(F.ceil(F.count("*") / F.lit(max(1, REGION_SETS // 2))).cast("int").alias("n"))
+    per_region = blocks.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("blocks"))
+    d = d.join(per_region, "region")
+    place = lambda cell, k: cell * F.lit(1 << 24) + k
+    own = F.pmod(F.xxhash64("set_key", F.lit("block")), F.try_element_at("blocks", F.col("cell"))).cast("int")
+    d = d.withColumn("block", place(F.col("cell"), own).cast("long"))
+    reached = F.flatten(F.transform(F.filter("window", lambda c: F.map_contains_key("blocks", c)), lambda c: F.transform(F.sequence(F.lit(0), F.element_at("blocks", c) - 1), lambda k: place(c, k).cast("long"))))
+    d = d.select("region", "set_key", "node", "copies", "home", "size", "shingles", "block", F.explode(reached).alias("other"))
+    pair = d.withColumn("pair", F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")))
+    return pair.groupBy("pair").applyInArrow(_each(rule, "pair", False), _JOINED)
+
+
+def _linked(rule: Rule, present: DataFrame, members: DataFrame, reps: DataFrame) -> DataFrame:
+    """(set_key, node, root, links) of the sets that meet in a region: a linked set of the task, and links if it is a home set there."""
+    spark = present.sparkSession
+    n_nodes = members.count()
+    bits = FILTER_SEGMENT
+    while bits < min(MAX_FILTER_BITS, 24 * n_nodes):
+        bits *= 2
+    passed = spark.sparkContext.broadcast(node_filter(members, bits))
+    sets = present.mapInArrow(_fetched(rule, passed, bits), "set_key binary, shingles array<bigint>")
+    sizes = checkpointed(members.groupBy("region").agg(F.count("*").alias("n")))
+    large = sizes.filter(F.col("n") > REGION_SETS)
+    any_large = not large.isEmpty()
+    rows = members.join(reps.select("node", "set_key", "copies", "n_shingles"), "node")
+    full = sets.join(rows, "set_key")
+    small = full
+    if any_large:
+        full = checkpointed(full)
+        small = full.join(large.select("region"), "region", "left_anti")
+    shingles = reps.join(members, "node").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    batches = max(12, int(shingles) // BATCH_SHINGLES + 1)
+    small = small.select("set_key", "node", "copies", "home", F.col("n_shingles").alias("size"), "shingles", "region", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("other"))
+    out = small.withColumn("batch", F.pmod(F.xxhash64("region"), F.lit(batches))).groupBy("batch").applyInArrow(_each(rule, "region", True), _JOINED)
+    return out.unionByName(_large(rule, full, large)) if any_large else out
 
-    component_id is the smallest id reachable by links, n_links the number of other documents linked to this one (equal
-    sets included). Null texts count as empty; empty sets link with nothing and keep their own id. Rows without an id
-    get no component, and link nothing. Rows that repeat an id are each a document of that id. Other columns are
-    not read; an empty table gives no rows.
-    """
-    rule = rule or Rule()
+
+def _solved(docs: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, n_links for each row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    both = checkpointed(rows.mapInArrow(_described(rule.n), "doc_id long, n_shingles long, set_key binary, part int, hits binary"))
-    described = both.filter("part IS NULL").drop("part", "hits")
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("text_hash"))
+    both = checkpointed(rows.mapInArrow(_described(rule.n), _DESCRIBED))
+    described = both.filter("part IS NULL").select("doc_id", "text_hash", "n_shingles", "set_key")
     sketch = np.zeros((SKETCH_PARTS, SKETCH_SLOTS // SKETCH_PARTS // 8), np.uint8)
     for r in both.filter("part IS NOT NULL").select("part", "hits").groupBy("part").applyInArrow(_hot_part, "part int, bits binary").collect():  # SKETCH_PARTS rows
         sketch[r.part] = np.frombuffer(r.bits, np.uint8)
     hot = spark.sparkContext.broadcast(sketch.tobytes())
-    named = described.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    reps = checkpointed(named.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    named = both.filter("doc_id IS NOT NULL AND n_shingles > 0")
+    reps = checkpointed(named.groupBy("set_key", "node", "n_shingles", "profile").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     total = reps.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("s")).first().s
-    buckets = min(1 << 16, max(12, int(0.35 * total) // BUCKET_SIGNATURES + 1))
+    buckets = max(12, int(total * rule.reach) // BUCKET_SIGNATURES + 1)
     present = rows.filter("doc_id IS NOT NULL").select("text")
-    blocks = present.mapInArrow(_signature_blocks(rule, buckets, hot), "bucket int, " + ", ".join(f"{c} binary" for c in _BLOCK))
-    found = blocks.groupBy("bucket").applyInArrow(_agreeing(rule), "u long, v long, ring int, allow int")
-    regions = checkpointed(components(_candidate_edges(found)))
-    sizes = regions.groupBy("root").count()
-    n_nodes = regions.count()
-    bits = FILTER_SEGMENT
-    while bits < min(MAX_FILTER_BITS, 24 * n_nodes):
-        bits *= 2
-    passed = spark.sparkContext.broadcast(node_filter(regions, bits))
-    members = reps.withColumn("node", _node_column()).join(regions.withColumnRenamed("root", "region"), "node").select("set_key", "rep", "copies", "region")
-    sets = present.mapInArrow(_fetched(rule, passed, bits), "set_key binary, shingles binary")
-    giant_from = max(REGION_SETS, n_nodes // GIANTS)
-    giant = sizes.filter(F.col("count") > giant_from).collect()  # fewer than GIANTS rows
-    full = sets.join(members, "set_key")
-    if giant:
-        full = checkpointed(full)
-        names = F.broadcast(spark.createDataFrame([(r.root,) for r in giant], "region long"))
-        part = full.join(names, "region")
-        small = full.join(names, "region", "left_anti")
-        firsts = part.groupBy("region").agg(F.min_by("shingles", "set_key").alias("shingles")).collect()
-        blocks = spark.sparkContext.broadcast({r.root: -(-r["count"] // (REGION_SETS // 2)) for r in giant})
-        pivots = spark.sparkContext.broadcast({r.region: bytes(r.shingles) for r in firsts})
-        cut = part.dropDuplicates(["set_key"]).select("region", "set_key", "rep", "copies", "shingles").mapInArrow(_giant_blocks(rule, blocks, pivots), "pair string, set_key binary, rep long, copies long, shingles binary, block long")
-        pieces = checkpointed(cut.groupBy("pair").applyInArrow(_region(rule), _REGION_OUT))
-        links = pieces.groupBy("set_key").agg(F.min("rep").alias("rep"), F.sum("links").alias("links"))
-        roots = components(pieces.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-        giants = links.join(roots, links["rep"] == roots["node"], "left").select("set_key", F.coalesce("root", "rep").alias("root"), "links")
-    else:
-        small, giants = full, None
-    solved = small.withColumn("block", F.lit(-1).cast("long")).groupBy("region").applyInArrow(_region(rule), _REGION_OUT).select("set_key", "root", "links")
-    solved = solved.unionByName(giants) if giants is not None else solved
-    known = checkpointed(reps.join(solved, "set_key", "left").select("set_key", F.least(F.coalesce("root", "rep"), "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    blocks = present.mapInArrow(_signature_blocks(rule, buckets, hot), "bucket int, often boolean, sig binary, node binary")
+    met = checkpointed(blocks.groupBy("bucket").applyInArrow(_met, "sig long, node long, often boolean"))
+    members = regions(rule, met, reps)
+    joined = checkpointed(_linked(rule, present, members, reps))
+    links = joined.groupBy("set_key").agg(F.sum("links").alias("links"))
+    roots = components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    known = reps.select("set_key", "node", "rep", "copies").join(links, "set_key", "left").join(roots, "node", "left")
+    known = checkpointed(known.withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1))
+    least = known.filter("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least"))
+    known = known.join(least, "root", "left").select("set_key", F.coalesce("least", "rep").alias("least"), "links")
+    named_ = F.col("doc_id").isNotNull()
     out = described.join(known, "set_key", "left")
-    named = F.col("doc_id").isNotNull()
-    return out.select("doc_id", "n_shingles", F.when(named, F.coalesce("root", "doc_id")).alias("component_id"), F.when(named, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(named_, F.coalesce("least", "doc_id")).alias("component_id"), F.when(named_, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
 
 
-def _node_column():
-    """The node number of `set_key`: its first eight bytes, least significant first, as a signed number."""
-    byte = lambda i: F.conv(F.hex(F.expr(f"substring(set_key, {i + 1}, 1)")), 16, 10).cast("long")
-    out = byte(0)
-    for i in range(1, 8):
-        out = out.bitwiseOR(F.shiftleft(byte(i), 8 * i))
-    return out
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for each row.
+
+    component_id is the smallest id reachable by links, n_links the number of other documents linked to this one (equal
+    sets included). Null texts count as empty; empty sets link with nothing and keep their own id. Rows without an id
+    get no component, and link nothing. Rows that repeat an id are each a document of that id. Other columns are
+    not read; an empty table gives no rows.
+    """
+    return _solved(docs, key, text, rule or Rule()).drop("text_hash")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule | None = None) -> DataFrame:
-    """The rows of `docs`, all columns, whose id is the smallest of its component; rows without an id stay."""
-    found = jaccard_components(docs, key, text, rule)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[f"`{key}`"].cast("long") == gone["_gone"], "left_anti")
+    """The rows of `docs`, all columns, less near duplicates: of each component the row with the smallest id stays.
+
+    Rows are judged by their own text: where an id occurs with several texts, each is a document. Of rows that repeat an
+    id with the same text one stays, as of rows without an id that repeat a text; rows without an id are otherwise not
+    compared, and those without words all stay. Null texts count as empty. An empty table gives no rows.
+    """
+    found = _solved(docs, key, text, rule or Rule()).select(F.xxhash64("doc_id", "text_hash").alias("key"), "doc_id", "component_id", "n_shingles")
+    found = found.groupBy("key").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("component_id") < F.col("doc_id"), F.lit(False))).alias("gone"), F.max(F.col("doc_id").isNull() & (F.col("n_shingles") == 0)).alias("blank"))
+    marked = checkpointed(found.filter("gone OR n > 1 AND NOT blank").select("key", "gone"))
+    bits = FILTER_SEGMENT
+    while bits < min(MAX_FILTER_BITS, 24 * marked.count()):
+        bits *= 2
+    held = docs.sparkSession.sparkContext.broadcast(node_filter(marked.select(F.col("key").alias("node")), bits))
+
+    @F.pandas_udf("boolean")
+    def marked_maybe(keys):
+        on, ok = np.frombuffer(held.value, np.uint8), np.ones(len(keys), bool)
+        for s in _slots(keys.to_numpy(), bits):
+            ok &= (on[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
+        return type(keys)(ok)
+
+    # only rows that the filter marks are shuffled; the rest pass straight through
+    own, gone = free_name(docs, "_key"), free_name(docs, "_gone")
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.withColumn(own, F.xxhash64(F.col(f"`{key}`").cast("long"), F.xxhash64(t)))
+    suspects = rows.filter(marked_maybe(own)).join(marked.select(F.col("key").alias(own), F.col("gone").alias(gone)), own, "left")
+    single = suspects.filter(F.col(gone).isNull())
+    repeated = suspects.filter(~F.col(gone)).dropDuplicates([own])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.filter(~marked_maybe(own)).select(*columns).unionByName(single.select(*columns)).unionByName(repeated.select(*columns))
 
 
 def op8_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
