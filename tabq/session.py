@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +28,28 @@ def pin(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or what setCheckpointDir has set.
+
+    On a local master without either a folder is made, and removed when the process ends; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    if there := sc.getConf().get("spark.checkpoint.dir"):
+        return there
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if sc.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="tabq-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    sc.setCheckpointDir(own)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder; a folder of its own only where none is set."""
-    sc = df.sparkSession.sparkContext
+    """Cut the lineage with reliable files in the shared folder; Spark removes them with the frame where it is told to clean checkpoints."""
+    sc, there = df.sparkSession.sparkContext, shared_dir(df.sparkSession)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tabq-checkpoint-"))
+        sc.setCheckpointDir(there)
     return df.checkpoint(eager=True)
