@@ -71,6 +71,7 @@ class Translator:
         self.tables, self.recurse = tables, recurse
         self.ctes: list[dict[str, Query | N]] = [{}]
         self.names = itertools.count()
+        self.plain_in = False  # where NULL and false are alike: in the conjuncts and disjuncts of a condition
         self.agg = None  # in an aggregating core: (group expressions, how a bare column is read)
 
     # -- queries
@@ -248,7 +249,7 @@ class Translator:
                 items.append((label, it.expr))
                 if it.alias:
                     scope.aliases.setdefault(it.alias.lower(), it.expr)
-        where = V.truth(self.expr(n.where, scope)) if n.where is not None else None
+        where = self.condition(n.where, scope) if n.where is not None else None
         exprs = [e for _, e in items] + [t.expr for t in order] + ([n.having] if n.having is not None else [])
         special = [x for x in walk(exprs) if x.kind == "func" and x.over is not None and (w := self.window_of(x.over, windows)).frame is not None and (w.frame.unit == "groups" or w.frame.exclude)]
         if special:
@@ -266,7 +267,7 @@ class Translator:
             self.agg = ({g.sql: g for g in groups}, self.bare_reader(exprs, scope))
         try:
             out = [V.typed(self.expr(e, scope)) for _, e in items]
-            having = V.truth(self.expr(n.having, scope)) if n.having is not None else None
+            having = self.condition(n.having, scope) if n.having is not None else None
             cols = [Col(name, replace(e, sql=f"_c{i}", lit=None)) for i, ((name, _), e) in enumerate(zip(items, out))]
             keys, extra = [], []
             for t in order:
@@ -383,7 +384,7 @@ class Translator:
                         s.hidden.add(k)
                 on = " AND ".join(conds)
             else:
-                on = V.truth(self.expr(n.on, scope)) if n.on is not None else None
+                on = self.condition(n.on, scope) if n.on is not None else None
             if on is None:
                 if n.how == "inner":
                     return f"{left} CROSS JOIN {right}"
@@ -487,7 +488,21 @@ class Translator:
             return literal(n.name)
         raise SqlError(f"no such column: {n.table + '.' if n.table else ''}{n.name}")
 
+    def condition(self, n: N, scope: Scope) -> str:
+        """A condition that rows pass if it is true."""
+        held, self.plain_in = self.plain_in, True
+        try:
+            return V.truth(self.expr(n, scope))
+        finally:
+            self.plain_in = held
+
     def expr(self, n: N, scope: Scope) -> E:
+        if self.plain_in and n.kind not in ("and", "or", "insub"):
+            self.plain_in = False
+            try:
+                return self.expr(n, scope)
+            finally:
+                self.plain_in = True
         if self.agg is not None and n.kind not in ("int", "real", "str", "null", "blob"):
             groups, bare = self.agg
             if not is_aggregate(n) and not (n.kind == "func" and n.over is not None) and n.kind not in ("scalar", "exists", "insub"):
@@ -579,6 +594,13 @@ class Translator:
         return E(f"(NOT {s})" if n.neg else s, "bool")
 
     def e_insub(self, n, scope):
+        plain_in, self.plain_in = self.plain_in, False
+        try:
+            return self.in_query(n, scope, plain_in)
+        finally:
+            self.plain_in = plain_in
+
+    def in_query(self, n, scope, plain_in: bool) -> E:
         q = self.query(n.body, scope)
         left = n.e.items if n.e.kind == "row" else [n.e]
         if len(left) != len(q.cols):
@@ -596,7 +618,12 @@ class Translator:
         head = xs[0] if len(xs) == 1 else f"({', '.join(xs)})"
         plain = all(i == f"_c{k} AS _i{k}" for k, i in enumerate(items))
         body = q.sql if plain else f"SELECT {', '.join(items)} FROM ({q.sql})"
-        return E(f"({head} {'NOT ' if n.neg else ''}IN ({body}))", "bool")
+        if plain_in or len(xs) > 1:
+            return E(f"({head} {'NOT ' if n.neg else ''}IN ({body}))", "bool")
+        # as a value it is NULL where a NULL among the rows, or on the left, leaves it open
+        null = f"SELECT 1 FROM (SELECT {items[0]} FROM ({q.sql})) WHERE _i0 IS NULL"
+        open_ = f"EXISTS ({null}) OR {head} IS NULL AND EXISTS ({body})"
+        return E(f"(CASE WHEN {head} IN ({body}) THEN {'false' if n.neg else 'true'} WHEN {open_} THEN NULL ELSE {'true' if n.neg else 'false'} END)", "bool")
 
     def e_exists(self, n, scope):
         return E(f"({'NOT ' if n.neg else ''}EXISTS ({self.query(n.body, scope).sql}))", "bool")
@@ -757,6 +784,10 @@ class Translator:
         rowid = next((s.rowid for s in scope.sources if s.rowid), None)
         if name in ("group_concat", "string_agg"):
             x, sep = V.text(args[0]).sql, V.text(args[1]).sql if len(args) > 1 else "','"
+            if n.distinct and rowid and not n.order:
+                # in the order of first occurrence
+                rows = f"collect_list(if({x} IS NULL, NULL, named_struct('i', {rowid}, 'x', {x})))\x01"
+                return E(f"if(count({x})\x01 = 0, NULL, array_join(array_distinct(transform(array_sort({rows}), e -> e.x)), {sep}))", "text")
             if n.distinct:
                 return E(f"listagg(DISTINCT {x}, {sep}) WITHIN GROUP (ORDER BY {x})\x01", "text")
             order = order or (f"{rowid} ASC" if rowid and n.over is None else None)
@@ -824,7 +855,9 @@ class Translator:
             else:
                 text = f" {frame.unit.upper()} BETWEEN {lo} AND {hi}"
             if frame.exclude:
-                return self.excluding(n, args, spec + text, frame.exclude, marks, kind)
+                peers = f"{self.partition_order(N('window', base=None, partition=w.partition, order=[], frame=None), scope)}, {marks[0]}" if w.partition else f"PARTITION BY {marks[0]}"
+                less = self.subtracting(n, args, spec + text, frame, peers, marks, kind)
+                return less or self.excluding(n, args, spec + text, frame.exclude, marks, kind)
         elif n.name in ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile", "lag", "lead") and not w.order:
             spec = f"{spec} ORDER BY {self.row_order(scope)}".strip() if n.name in ("row_number", "ntile", "lag", "lead") else f"{spec} ORDER BY 1".strip()
         over = f" OVER ({spec}{text})"
@@ -854,6 +887,34 @@ class Translator:
             return f"nth_value({x.sql}, {V.integer(args[1]).lit})", x.type
         return f"{name}({x.sql})", x.type
 
+    def subtracting(self, n, args: list[E], window: str, frame: N, peers: str, marks: tuple[str, str], kind: str) -> E | None:
+        """Frames with EXCLUDE for counts, and for sums of integers: the whole frame less what is excluded, in constant space a row."""
+        x = V.typed(args[0]) if args else E("1L", "int")
+        if n.name not in ("count", "sum", "avg", "total") or (n.name != "count" and x.type != "int"):
+            return None
+        place = {"unbounded preceding": -1, "unbounded following": 1, "current": 0}
+        at = lambda b: place[b[0]] if b[1] is None else (-1 if b[0] == "preceding" else 1) * self.expr(b[1], Scope()).lit
+        here = at(frame.lo) <= 0 <= at(frame.hi)  # the current row, and but for ROWS its peers, lie in the frame
+        near = f"{peers} ORDER BY {marks[1]} ROWS {window.rsplit(' ROWS ', 1)[1]}" if frame.unit == "rows" else peers
+
+        def less(over, own: str) -> str:
+            out = over(window)
+            if frame.exclude != "current" and (here or frame.unit == "rows"):
+                out += f" - {over(near)}"
+            if frame.exclude != "group" and here:
+                out += f" {'+' if frame.exclude == 'ties' else '-'} {own}"
+            return f"({out})"
+
+        if n.name == "count" and (n.star or not args):
+            return E(less(lambda spec: f"count(1) OVER ({spec})", "1L"), "int")
+        count = less(lambda spec: f"count({x.sql}) OVER ({spec})", f"if({x.sql} IS NULL, 0L, 1L)")
+        if n.name == "count":
+            return E(count, "int")
+        total = less(lambda spec: f"coalesce(sum({x.sql}) OVER ({spec}), 0L)", f"coalesce({x.sql}, 0L)")
+        if n.name == "sum":
+            return E(f"if({count} > 0, {total}, NULL)", "int")
+        return E(f"cast({total} as double)" if n.name == "total" else f"if({count} > 0, cast({total} as double) / {count}, NULL)", "real")
+
     def excluding(self, n, args: list[E], window: str, exclude: str, marks: tuple[str, str], kind: str) -> E:
         """Frames with EXCLUDE: the frame's rows are gathered with their peer and row numbers and filtered."""
         g, r = marks

@@ -12,15 +12,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .dialect import values as V
-from .dialect.parser import N, parse
-from .dialect.translate import ROWID, Col, Query, Scope, Source, Table, Translator
+from .dialect.parser import N, parse, walk
+from .dialect.translate import ROWID, ROWIDS, Col, Query, Scope, Source, Table, Translator
 from .errors import SqlError, TabqError
 from .functions import python
 from .session import checkpointed, pin
 from .sources.delimited import read_delimited, with_rowid
 
 _fresh = itertools.count()
-MAX_ROUNDS = 100_000
+MAX_ROUNDS, COMPACT = 100_000, 12
+
+
+#: Aggregates that follow the order of rows where none is given.
+ORDER_AWARE = {"group_concat", "string_agg", "json_group_array", "json_group_object", "jsonb_group_array", "jsonb_group_object"}
+
+
+def needs_rowid(tree: N) -> bool:
+    """Whether a statement names row numbers, or depends on the order of rows without an order of its own."""
+    nodes = list(walk(tree))
+    named = {k.lower(): w for x in nodes if x.kind == "core" for k, w in x.windows.items()}
+    nodes += [y for w in named.values() for y in walk(w)]
+
+    def ordered(w: N) -> bool:
+        seen = set()
+        while not w.order and w.base is not None and w.base.lower() in named and w.base.lower() not in seen:
+            seen.add(w.base.lower())
+            w = named[w.base.lower()]
+        return bool(w.order)
+
+    for x in nodes:
+        if x.kind == "col" and x.name.lower() in ROWIDS:
+            return True
+        if x.kind == "func" and x.over is None and x.name in ORDER_AWARE and not x.order:
+            return True
+        if x.kind == "func" and x.over is not None and x.name in ("row_number", "ntile", "lag", "lead") and not ordered(x.over):
+            return True
+    return False
 
 
 def _kind(t: T.DataType) -> str:
@@ -102,9 +129,9 @@ class Engine:
         df = self.sql(query)
         return "" if df is None else df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
-    def _translator(self, query: str) -> Translator:
+    def _translator(self, tree: N) -> Translator:
         # row numbers cost a count of rows a partition, so only queries that may need them get them
-        rowid = bool(re.search(r"\b(?:rowid|oid|_rowid_|group_concat|string_agg|jsonb?_group_(?:array|object)|row_number|ntile|lag|lead)\b", query, re.I))
+        rowid = needs_rowid(tree)
         return Translator({n: self._table(n, rowid) for n in self.frames}, self._recurse)
 
     def _compat(self, query: str) -> DataFrame | None:
@@ -114,7 +141,7 @@ class Engine:
         if tree.kind == "explain":
             text = self._explained(tree, query)
             return self.spark.createDataFrame([(x,) for x in text.splitlines()], "detail string")
-        tr = self._translator(query)
+        tr = self._translator(tree)
         if tree.kind == "pragma":
             if tree.name != "table_info":
                 return None
@@ -137,7 +164,7 @@ class Engine:
         seen = self.spark.sql(first)
         seen = checkpointed(seen.distinct() if distinct else seen)
         fresh, total = seen, seen.count()
-        for _ in range(MAX_ROUNDS):
+        for k in range(MAX_ROUNDS):
             if limit is not None and total >= limit:
                 break
             view = f"tabq_work_{next(_fresh)}"
@@ -152,6 +179,8 @@ class Engine:
             if n == 0:
                 break
             seen, total = seen.unionByName(fresh), total + n
+            if k % COMPACT == COMPACT - 1:
+                seen = checkpointed(seen)  # one scan again, in place of one a round
         else:
             raise SqlError(f"recursion did not end after {MAX_ROUNDS} rounds")
         if limit is not None:

@@ -302,7 +302,9 @@ def _moment(a: E) -> str:
     if a.type in ("int", "real"):
         return f"timestamp_millis(cast(round(({number(a).sql} - 2440587.5D) * 86400000D) as bigint))"
     t = text(a).sql
-    return f"try_cast(if({t} rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}', {t}, if({t} rlike '^[0-9]{{2}}:[0-9]{{2}}', concat('2000-01-01 ', {t}), NULL)) as timestamp)"
+    # day 29 to 31 of a shorter month runs into the next one
+    over = f"if({t} rlike '^[0-9]{{4}}-[0-9]{{2}}-(29|30|31)', timestampadd(DAY, cast(substring({t}, 9, 2) as int) - 1, try_cast(concat(substring({t}, 1, 8), '01', substring({t}, 11)) as timestamp)), NULL)"
+    return f"coalesce(try_cast(if({t} rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}', {t}, if({t} rlike '^[0-9]{{2}}:[0-9]{{2}}', concat('2000-01-01 ', {t}), NULL)) as timestamp), {over})"
 
 
 def _months(ts: str, n: int) -> str:

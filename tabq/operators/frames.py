@@ -35,10 +35,12 @@ def recursive_union(start: DataFrame, step, rounds: int = 10_000) -> DataFrame:
     from ..session import checkpointed
 
     seen = fresh = checkpointed(start.distinct())
-    for _ in range(rounds):
+    for k in range(rounds):
         on = [F.col(f"n.`{c}`").eqNullSafe(F.col(f"s.`{c}`")) for c in seen.columns]
         fresh = checkpointed(step(fresh).toDF(*seen.columns).distinct().alias("n").join(seen.alias("s"), on, "left_anti"))
         if fresh.isEmpty():
             return seen
         seen = seen.unionByName(fresh)
+        if k % 12 == 11:
+            seen = checkpointed(seen)  # one scan again, in place of one a round
     raise ValueError(f"recursion did not end after {rounds} rounds")

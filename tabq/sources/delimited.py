@@ -14,6 +14,8 @@ from . import infer as I
 from .scanner import block_records, ends_inside, records
 
 ROWID = "__rowid"
+#: Characters of a record over block edges, which is put together by the driver; beyond that a quote is taken to be unterminated.
+MAX_OPEN = 256 << 20
 
 
 @dataclass
@@ -101,6 +103,8 @@ def _quoted_cells(spark: SparkSession, path, delimiter: str) -> DataFrame:
         if r.kind == 1:
             at, text = open_.pop(r.file, (None, ""))
             text += r.cells[0]
+            if len(text) > MAX_OPEN:
+                raise CsvError(f"a quoted field is open for over {MAX_OPEN} characters: unterminated quoted field")
             if ends_inside(text.split("\n")[:-1], delimiter, False):
                 open_[r.file] = (at, text)
             else:

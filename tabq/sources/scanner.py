@@ -7,7 +7,9 @@ second pass reads each block from there. Only a record cut by a block's edge com
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 from ..errors import CsvError
 
@@ -69,14 +71,43 @@ def records(text: str, delimiter: str = ",") -> Iterator[list[str]]:
         raise CsvError(f"row {n + 1}: unterminated quoted field") from None
 
 
+@lru_cache(16)
+def _line(delimiter: str) -> tuple[re.Pattern, re.Pattern]:
+    """A line of whole fields, and one field with the delimiter before it: a quoted run and what follows it, or plain text."""
+    d = re.escape(delimiter)
+    quoted, plain = '"(?:[^"]|"")*+"(?!")', f'(?!")[^{d}]*+'
+    return re.compile(f"(?:{quoted}[^{d}]*+|{plain})(?:{d}(?:{quoted}[^{d}]*+|{plain}))*+"), re.compile(f'(?:^|{d})(?:"((?:[^"]|"")*+)"([^{d}]*+)|({plain}))')
+
+
+def whole_line(line: str, delimiter: str) -> list[str] | None:
+    """The fields of a line that begins and ends outside of quotes, as the scanner has them; None if it does not, or has a rare form."""
+    if line.endswith("\r"):
+        line = line[:-1]
+    if '"' not in line:
+        return line.replace("\r", "").split(delimiter)
+    if "\r" in line or delimiter == '"':
+        return None
+    whole, field = _line(delimiter)
+    if not whole.fullmatch(line):
+        return None
+    return [p if p or not (q or t) else q.replace('""', '"') + t for q, t, p in field.findall(line)]
+
+
 def ends_inside(lines: list[str], delimiter: str, inside: bool) -> bool:
     """Whether the scanner is within quotes after these lines."""
-    s = Scanner(delimiter)
-    s.state = "quoted" if inside else "start"
     for line in lines:
+        if '"' not in line:
+            continue
+        if "\r" not in line and delimiter != '"':
+            # within quotes a line reads as if a quote stood before it
+            inside = not _line(delimiter)[0].fullmatch(f'"{line}' if inside else line)
+            continue
+        s = Scanner(delimiter)
+        s.state = "quoted" if inside else "start"
         for _ in s.feed(line + "\n"):
             pass
-    return s.state == "quoted"
+        inside = s.state == "quoted"
+    return inside
 
 
 def block_records(lines: list[str], delimiter: str, inside: bool) -> tuple[str | None, list[list[str]], str | None]:
@@ -86,15 +117,30 @@ def block_records(lines: list[str], delimiter: str, inside: bool) -> tuple[str |
         s = Scanner(delimiter)
         s.state = "quoted"
         for i, line in enumerate(lines):
+            if '"' not in line:
+                continue  # nothing ends within it
             if any(True for _ in s.feed(line + "\n")):
                 head, start = "\n".join(lines[: i + 1]) + "\n", i + 1
                 break
         else:
             return "\n".join(lines) + "\n", [], None
-    out, s, since = [], Scanner(delimiter), start
-    for i in range(start, len(lines)):
-        for r in s.feed(lines[i] + "\n"):
-            out.append(r)
-            since = i + 1
-    tail = "\n".join(lines[since:]) + "\n" if since < len(lines) else None
-    return head, out, tail
+    out, i = [], start
+    while i < len(lines):
+        fields = whole_line(lines[i], delimiter)
+        if fields is not None:
+            out.append(fields)
+            i += 1
+            continue
+        s, since = Scanner(delimiter), i  # a record with line breaks in it, or a rare form
+        found = None
+        while i < len(lines) and found is None:
+            line = lines[i]
+            if s.state == "quoted" and '"' not in line:
+                s.field.append(line + "\n")
+            else:
+                found = next(iter(list(s.feed(line + "\n"))), None)
+            i += 1
+        if found is None:
+            return head, out, "\n".join(lines[since:]) + "\n"
+        out.append(found)
+    return head, out, None
