@@ -2,8 +2,10 @@
 
 A word pair with count c is entered at levels 1 .. 1 + floor(log2 c); a count is read by probing level after level
 until one is missing. The filter is made region by region from pre-aggregated counts of the whole training corpus,
-so its size follows the corpus. What is broadcast at once is bounded: filter and word counts are cut into slices of
-at most SLICE_MB, and beyond one slice the texts are read once a slice, carrying what was found before.
+so its size follows the corpus. What a worker holds at once is bounded: filter and word counts are cut into slices of
+at most SLICE_MB. A pair lies in one slice of the filter, so the passes over several slices do not need each other: each
+adds up the pairs of its slice, every pair is probed once, and only sums by document are shuffled. What is repeated for
+a slice is reading the words of the texts.
 """
 
 from __future__ import annotations
@@ -88,7 +90,7 @@ def _pair_blocks(regions: int):
         def out():
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            region = (keys >> np.uint64(48)).astype(np.int64) * regions >> 16  # rises with the key
+            region = _region(keys, regions)
             cuts = np.searchsorted(region, np.arange(regions + 1))
             rows = [(r, keys[a:b] & _LOW, counts[a:b]) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
             yield pa.RecordBatch.from_arrays(
@@ -114,6 +116,11 @@ def _pair_blocks(regions: int):
     return run
 
 
+def _region(keys: np.ndarray, regions: int) -> np.ndarray:
+    """The filter region of each hash; it rises with the hash."""
+    return ((keys >> np.uint64(32)) * np.uint64(regions) >> np.uint64(32)).astype(np.int64)
+
+
 def _bases(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and step of a level's probes."""
     a = mixed(keys + np.uint64(level * int(GOLDEN) & 0xFFFFFFFFFFFFFFFF))
@@ -151,10 +158,11 @@ def _packed_words(t: pa.Table) -> pa.Table:
 
 
 class Model:
-    """Slices of the filter and of the word counts, and the corpus totals. Slices are broadcast one at a time."""
+    """Broadcast slices of the filter and of the word counts, and the corpus totals."""
 
-    def __init__(self, regions: int, filters: list, counts: list, tokens: int, distinct: int, texts: int):
-        self.regions, self.filters, self.counts = regions, filters, counts
+    def __init__(self, regions: int, filters: list, starts: list[int], counts: list, tokens: int, distinct: int, texts: int):
+        #: `starts` has the first region of each slice of the filter
+        self.regions, self.filters, self.starts, self.counts = regions, filters, starts, counts
         self.tokens, self.distinct, self.texts = tokens, distinct, texts
 
 
@@ -165,10 +173,10 @@ def _joined_words(rows: list) -> tuple[bytes, bytes, str]:
     return b"".join(r.h for r in rows), n, "<u8" if wide else "<u4"
 
 
-def _joined_regions(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+def _joined_regions(rows: list) -> tuple:
     """Regions, the bytes at which their bits begin, their bits' numbers, and the bits."""
     sizes = np.array([len(r.bits) for r in rows], np.int64)
-    return np.array([r.region for r in rows]), np.cumsum(sizes) - sizes, sizes * 8, b"".join(r.bits for r in rows)
+    return np.array([r.region for r in rows], np.int64), np.cumsum(sizes) - sizes, sizes * 8, b"".join(r.bits for r in rows)
 
 
 def train(texts: DataFrame) -> Model:
@@ -180,21 +188,23 @@ def train(texts: DataFrame) -> Model:
     # parts are ranges of the unsigned hash
     part = (F.shiftrightunsigned(F.col("h"), 40) * parts / F.lit(1 << 24)).cast("int")
     packed = counts.withColumn("part", part).groupBy("part").applyInArrow(_packed_words, "part int, h binary, n binary")
-    regions = min(1 << 16, max(MIN_REGIONS, int(total["tokens"]) // REGION_TOKENS + 1))
+    regions = max(MIN_REGIONS, int(total["tokens"]) // REGION_TOKENS + 1)
     filters = texts.mapInArrow(_pair_blocks(regions), "region int, hi binary, lo binary, many binary, times binary").groupBy("region").applyInArrow(_region_filter, "region int, n long, bits binary")
-    sent_words, sent_bits = [], []
+    sent_words, sent_bits, starts = [], [], []
     for sent, df, size, join in ((sent_words, packed, lambda r: len(r.h) + len(r.n), _joined_words), (sent_bits, filters, lambda r: len(r.bits), _joined_regions)):
-        # one slice at a time is on the driver
+        # the driver puts together one slice at a time
         held, total_size = [], 0
         for r in checkpointed(df).orderBy(df.columns[0]).toLocalIterator():
             if held and total_size + size(r) > SLICE_MB << 20:
                 sent.append(sc.broadcast(join(held)))
                 held, total_size = [], 0
+            if sent is sent_bits and not held:
+                starts.append(r.region)
             held.append(r)
             total_size += size(r)
         sent.append(sc.broadcast(join(held)))
         del held
-    return Model(regions, sent_bits, sent_words, int(total["tokens"]), int(total["distinct"]), int(total["texts"]))
+    return Model(regions, sent_bits, starts, sent_words, int(total["tokens"]), int(total["distinct"]), int(total["texts"]))
 
 
 def _look_up(held: tuple, hashes: np.ndarray, into: np.ndarray) -> None:
@@ -215,7 +225,7 @@ def _probe(held: tuple, regions: int, pairs: np.ndarray, into: np.ndarray) -> No
     blob = np.frombuffer(bits, np.uint8)
     place = np.full(regions, -1)
     place[there] = np.arange(len(there))
-    place = place[(pairs >> np.uint64(48)).astype(np.int64) * regions >> 16]
+    place = place[_region(pairs, regions)]
     i = np.flatnonzero(place >= 0)
     keys, start, size, level = pairs[i] & _LOW, starts[place[i]], sizes[place[i]].astype(np.uint64), 0
     while len(i):
@@ -229,48 +239,60 @@ def _probe(held: tuple, regions: int, pairs: np.ndarray, into: np.ndarray) -> No
         into[i] = level
 
 
-def _pass(model: dict, words_slice, filter_slice, last: bool):
+def _counted(words_slice):
+    """Texts with what is known of their tokens' counts so far, for models of several slices of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in slices(b):
+                who, token, _, hashes = _sequences(s.column("text"))
+                count = _known(s, len(token))
+                found = np.full(len(hashes), -1, np.int64)
+                _look_up(words_slice.value, hashes, found)
+                count = np.where(found[token] >= 0, found[token], count)
+                cuts = np.searchsorted(who, np.arange(s.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("text"), pa.array([count[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:])], pa.binary())], ["doc_id", "text", "counts"])
+
+    return run
+
+
+def _known(s: pa.RecordBatch, n: int) -> np.ndarray:
+    if "counts" not in s.schema.names:
+        return np.zeros(n, np.int64)
+    return np.frombuffer(b"".join(s.column("counts").to_pylist()), np.int64).copy()
+
+
+def _pass(model: dict, words_slice, filter_slice, lo: int, hi: int, first_pass: bool):
+    """The sums of each text over the pairs in regions lo to hi, which a slice of the filter has; counts and the base with the first pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_tokens, distinct, texts = model["tokens"], model["distinct"], model["texts"]
         for b in batches:
             for s in slices(b):
                 who, token, first, hashes = _sequences(s.column("text"))
                 n = s.num_rows
-                count, level = np.zeros(len(token), np.int64), np.zeros(len(token), np.uint8)
-                if "state" in s.schema.names and len(state := b"".join(x or b"" for x in s.column("state").to_pylist())):
-                    state = np.frombuffer(state, np.dtype([("c", "<i8"), ("q", "u1")]))
-                    count, level = state["c"].copy(), state["q"].copy()
+                count = _known(s, len(token))
                 if words_slice is not None:
-                    found = np.full(len(hashes), -1, np.int64)
+                    found = np.zeros(len(hashes), np.int64)
                     _look_up(words_slice.value, hashes, found)
-                    count = np.where(found[token] >= 0, found[token], count)
-                if filter_slice is not None:
-                    _probe(filter_slice.value, model["regions"], _pairs(token, first, hashes), level)
-                ids = s.column("doc_id")
-                if not last:
-                    state = np.empty(len(token), np.dtype([("c", "<i8"), ("q", "u1")]))
-                    state["c"], state["q"] = count, level
-                    cuts = np.searchsorted(who, np.arange(n + 1))
-                    yield pa.RecordBatch.from_arrays([ids, s.column("text"), pa.array([state[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:])], pa.binary())], ["doc_id", "text", "state"])
-                    continue
+                    count = found[token]
+                pairs = _pairs(token, first, hashes)
+                region = _region(pairs, model["regions"])
+                mine = (region >= lo) & (region < hi)
+                level = np.zeros(int(mine.sum()), np.uint8)
+                _probe(filter_slice.value, model["regions"], pairs[mine], level)
                 single = (count + 1.0) / (n_tokens + distinct + 1.0)
                 before = np.empty(len(token), np.int64)
                 before[1:] = count[:-1]
                 before[first] = texts
                 # a pair can't be more frequent than its words; that also drops most false positives
                 seen = np.where(level > 0, 2.0 ** np.maximum(level.astype(np.int64) - 1, 0), 0.0)
-                seen = np.minimum(seen, np.minimum(count, before))
-                p = (seen + PRIOR * single) / (before + PRIOR)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids,
-                        pa.array(np.bincount(who, minlength=n)),
-                        pa.array(np.bincount(who[count > 0], minlength=n)),
-                        pa.array(np.bincount(who, np.log10(single), n)),
-                        pa.array(np.bincount(who, np.log10(p), n)),
-                    ],
-                    ["doc_id", "n_tokens", "n_known", "base_score", "score"],
-                )
+                seen = np.minimum(seen, np.minimum(count[mine], before[mine]))
+                p = (seen + PRIOR * single[mine]) / (before[mine] + PRIOR)
+                sums = [np.bincount(who, minlength=n), np.bincount(who[count > 0], minlength=n), np.bincount(who, np.log10(single), n)]
+                if not first_pass:
+                    sums = [x * 0 for x in sums]
+                yield pa.RecordBatch.from_arrays([*[s.column(c) for c in model["keys"]], *map(pa.array, sums), pa.array(np.bincount(who[mine], np.log10(p), n))], [*model["keys"], "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -289,15 +311,25 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
 def apply_model(rows: DataFrame, model: Model) -> DataFrame:
     kind = dict(rows.dtypes)["doc_id"]
-    plain = {"regions": model.regions, "tokens": model.tokens, "distinct": model.distinct, "texts": model.texts}
-    passes = max(len(model.counts), len(model.filters))
-    for k in range(passes):
-        last = k == passes - 1
-        step = _pass(plain, model.counts[k] if k < len(model.counts) else None, model.filters[k] if k < len(model.filters) else None, last)
-        rows = rows.mapInArrow(step, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double" if last else f"doc_id {kind}, text string, state binary")
-        if not last:
-            rows = checkpointed(rows)
-    out = rows.withColumn("held_out", held_out("doc_id", MODULUS, REMAINDER)).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    for words_slice in model.counts if len(model.counts) > 1 else ():
+        rows = checkpointed(rows.mapInArrow(_counted(words_slice), f"doc_id {kind}, text string, counts binary"))
+    passes, keys = len(model.filters), ["doc_id"]
+    if passes > 1:
+        # rows of one id and text score alike, so they need no number of their own
+        rows, keys = rows.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64("text", F.lit(1))), ["doc_id", "h1", "h2"]
+    plain = {"regions": model.regions, "tokens": model.tokens, "distinct": model.distinct, "texts": model.texts, "keys": keys}
+    schema = f"doc_id {kind}, {'h1 long, h2 long, ' if passes > 1 else ''}n_tokens long, n_known long, base_score double, score double"
+    words_slice = model.counts[0] if len(model.counts) == 1 else None
+    bounds = [0, *model.starts[1:], model.regions]
+    parts = [rows.mapInArrow(_pass(plain, words_slice, f, bounds[k], bounds[k + 1], k == 0), schema) for k, f in enumerate(model.filters)]
+    out = parts[0]
+    if passes > 1:
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        times = F.count("*") / passes
+        out = out.groupBy(*keys).agg(times.cast("int").alias("times"), *[(F.sum(c) / times).cast(k).alias(c) for c, k in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"))])
+        out = out.withColumn("time", F.explode(F.sequence(F.lit(1), "times")))
+    out = out.withColumn("held_out", held_out("doc_id", MODULUS, REMAINDER)).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
