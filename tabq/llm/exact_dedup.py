@@ -2,7 +2,8 @@
 
 Pass 1 counts, up to two, how many rows fall on each of two slots per hash. A row can have an equal elsewhere only
 if both its slots were hit twice. Pass 2 sends those rows through a shuffle on the full digest and lets all others
-straight through. The filter's size follows the row count up to MAX_SLOTS; a fuller filter only shuffles more rows.
+straight through. The filter's size follows the row count: beyond MAX_SLOTS it is made in slices of the hash, each over
+its own rows, so that a worker never holds more than one slice and the filter stays as sparse at any size.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mixed, table
+from .common import checkpointed, mixed, stored, table
 
 #: Slots of the filter: one bit each once it is built, so at most 32 MB are sent to a worker.
 MIN_SLOTS, MAX_SLOTS, SLOTS_PER_ROW, SEGMENT = 1 << 18, 1 << 28, 16, 1 << 16
@@ -90,16 +91,24 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     spark = docs.sparkSession
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.xxhash64(t).alias("h"), F.col(f"`{key}`").cast("long").alias("doc_id"), F.unhex(F.sha2(t.cast("binary"), 256)).alias("digest"))
-    n_slots = MIN_SLOTS
-    while n_slots < min(MAX_SLOTS, SLOTS_PER_ROW * docs.count()):
+    wanted, n_slots = SLOTS_PER_ROW * docs.count(), MIN_SLOTS
+    slices = max(1, -(-wanted // MAX_SLOTS))
+    while n_slots < min(MAX_SLOTS, wanted // slices):
         n_slots *= 2
-    bits = spark.sparkContext.broadcast(repeated_filter(rows.select("h"), n_slots))
-    flagged = checkpointed(rows.mapInArrow(_flag(bits, n_slots), "doc_id long, digest binary, maybe boolean"))
+    parts = [rows]
+    if slices > 1:
+        rows = stored(rows.withColumn("slice", F.pmod(F.xxhash64("h"), F.lit(slices)).cast("int")), by="slice")
+        parts = [rows.filter(F.col("slice") == k).drop("slice") for k in range(slices)]
+    flags = [part.mapInArrow(_flag(spark.sparkContext.broadcast(repeated_filter(part.select("h"), n_slots)), n_slots), "doc_id long, digest binary, maybe boolean") for part in parts]
+    flagged = flags[0]
+    for part in flags[1:]:
+        flagged = flagged.unionByName(part)
+    flagged = checkpointed(flagged)
     alone = flagged.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
     shared = flagged.filter("maybe").drop("maybe")
     groups = shared.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     total = shared.count()
-    hot = groups.filter(F.col("group_size") * HOT_SHARE > F.lit(total) * 1).filter("group_size > 1").collect()  # fewer than HOT_SHARE rows
+    hot = groups.filter(F.col("group_size") * HOT_SHARE > F.lit(total)).filter("group_size > 1").collect()  # fewer than HOT_SHARE rows
     hot = F.broadcast(spark.createDataFrame(hot, groups.schema))
     cold = shared.join(hot.select("digest"), "digest", "left_anti")
     columns = ["doc_id", "keep_id", "group_size", "digest"]
