@@ -43,7 +43,7 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, key: str = "doc_id", text: st
     grown = [*weights, sum(weights) / len(weights)]
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), (F.octet_length(t) + 16).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), rendezvous(k, weights).alias("shard"), rendezvous(k, grown).alias("grown_shard"))
     cells = max(4, docs.count() // (n_shards * CELL_ROWS) + 1)
-    rows = rows.withColumn("_hash", F.xxhash64(F.col("doc_id").cast("string"), F.lit("slot"))).withColumn("_cell", F.pmod(F.col("_hash"), F.lit(cells)).cast("int"))
+    rows = rows.withColumn("_hash", F.xxhash64(F.col("doc_id").cast("string"), "text_crc32", F.lit("slot"))).withColumn("_cell", F.pmod(F.col("_hash"), F.lit(cells)).cast("int"))
     counts = rows.groupBy("shard", "_cell").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     order = Window.partitionBy("shard", "_cell").orderBy("_hash", "doc_id", "text_crc32", "size")
@@ -52,7 +52,10 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, key: str = "doc_id", text: st
 
 
 def sharded_rows(docs: DataFrame, n_shards: int = SHARDS, key: str = "doc_id", weights: list[float] | None = None, column: str = "shard") -> DataFrame:
-    """The rows of `docs`, all columns, with their shard in `column` (which replaces one of that name); no shuffle."""
+    """The rows of `docs`, all columns, with their shard in `column` (which replaces one of that name); no shuffle.
+
+    Rows with equal ids, and all rows without an id, share a shard; texts are not read. An empty table gives no rows.
+    """
     k = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
     return docs.withColumn(column, rendezvous(k, weights or [1.0] * n_shards))
 
