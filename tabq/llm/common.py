@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, shared_dir  # noqa: F401
+
 #: Texts are worked on in slices of about so many bytes, so that memory does not follow the batch size.
 SLICE_BYTES = 2 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -21,34 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or what setCheckpointDir has set. A folder of its own only on a local master."""
-    sc = spark.sparkContext
-    if there := sc.getConf().get("spark.checkpoint.dir"):
-        return there
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    if not sc.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tabq-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with reliable files in the shared folder; Spark removes them when the frame is gone, if it is told to clean checkpoints."""
-    sc, there = df.sparkSession.sparkContext, shared_dir(df.sparkSession)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(there)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write a frame as Parquet in the shared folder and read it again."""
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write a frame as Parquet in the shared folder, in a folder for each value of `by`, and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    df.write.parquet(path, partitionBy=by)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def free_name(df: DataFrame, name: str) -> str:

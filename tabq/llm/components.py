@@ -44,7 +44,7 @@ def _with_least(edges: DataFrame, around: DataFrame, total: int) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of `edges` (long columns u, v): root is the smallest node of its component."""
+    """(node, root) for every node of `edges` (long columns u, v): root is the smallest node of its component. Unsettled after `rounds`, it raises."""
 
     def state(e: DataFrame):
         r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -63,5 +63,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
