@@ -174,6 +174,15 @@ def _char(args):
     return E(f"concat({', '.join(one(integer(a).sql) for a in args)})", "text")
 
 
+def _soundex(args):
+    """The first letter and three digits; unlike Spark's own, any letter without a digit parts equal ones."""
+    x = f"regexp_replace({text(args[0]).sql}, '^[^A-Za-z]+', '')"
+    out = f"translate(regexp_replace(upper({x}), '[^A-Z]', 'A'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202')"
+    for d in range(7):
+        out = f"regexp_replace({out}, '{d}+', '{d}')"
+    return E(f"if(coalesce({x}, '') = '', '?000', concat(upper(substring({x}, 1, 1)), rpad(substring(replace(substring({out}, 2), '0', ''), 1, 3), 3, '0')))", "text")
+
+
 def glob_regex(pattern: str) -> str:
     out, i = ["(?s)^"], 0
     while i < len(pattern):
@@ -430,7 +439,7 @@ FUNCTIONS = {
     "quote": _quote,
     "zeroblob": lambda a: E(f"unhex(repeat('00', cast({integer(a[0]).sql} as int)))", "blob"),
     "randomblob": lambda a: E(f"substring(unhex(repeat(replace(uuid(), '-', ''), cast({integer(a[0]).sql} as int) div 16 + 1)), 1, cast({integer(a[0]).sql} as int))", "blob"),
-    "soundex": lambda a: E(f"if({text(a[0]).sql} rlike '^[A-Za-z]', soundex({text(a[0]).sql}), '?000')", "text"),
+    "soundex": _soundex,
     "like": lambda a: like(a[0], a[1], a[2] if len(a) > 2 else None),
     "glob": lambda a: glob(a[0], a[1]),
     "typeof": _typeof,

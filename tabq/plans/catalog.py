@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import re
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import cli
 from ..engine import Engine
 from ..operators import frames
-from ..sinks import line_frame
+from ..session import shared_dir
+from ..sinks import csv_lines, json_frame, line_frame
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -27,6 +30,14 @@ def engine(spark: SparkSession, sf_dir: str, sql: str) -> Engine:
     return e
 
 
+def _soundex_sql(x: str) -> str:
+    """The code in the oracle's SQL: letters to digits, runs to one, the first and all zeros dropped."""
+    out = f"translate(regexp_replace(upper({x}), '[^A-Z]', 'A', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202')"
+    for d in range(7):
+        out = f"regexp_replace({out}, '{d}+', '{d}', 'g')"
+    return f"upper(substr({x}, 1, 1)) || rpad(substr(replace(substr({out}, 2), '0', ''), 1, 3), 3, '0')"
+
+
 # name: (compat SQL, the same for the oracle; None: the same text)
 SQL: dict[str, tuple[str, str | None]] = {
     # scans and sources
@@ -67,16 +78,18 @@ SQL: dict[str, tuple[str, str | None]] = {
     "join_inner": ("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey", None),
     "join_left": ("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'", None),
     "join_right": ("SELECT c_custkey, o_orderkey FROM (SELECT * FROM orders WHERE o_orderstatus = 'P') o RIGHT JOIN customer ON o.o_custkey = c_custkey", None),
-    "join_full": ("SELECT a.c_custkey AS a, b.c_custkey AS b FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) b ON a.c_custkey = b.c_custkey", None),
+    "join_full": ("SELECT a.k AS a, b.k AS b FROM (SELECT c_custkey AS k FROM customer) a FULL JOIN (SELECT c_custkey * 2 AS k FROM customer) b ON a.k = b.k", None),
     "join_cross": ("SELECT r_name, n_name FROM region CROSS JOIN nation", None),
     "join_natural": ("SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation) NATURAL JOIN (SELECT n_regionkey AS k, n_name AS b FROM nation)", "SELECT CAST(x.n_nationkey AS BIGINT) AS k, x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y ON x.n_nationkey = y.n_regionkey"),
     "join_using": ("SELECT k, a, b FROM (SELECT c_custkey AS k, c_name AS a FROM customer) x LEFT JOIN (SELECT s_suppkey AS k, s_name AS b FROM supplier) y USING (k)", "SELECT c_custkey AS k, c_name AS a, s_name AS b FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey"),
     "join_self_theta": ("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", None),
-    "join_range": ("SELECT p_partkey, lo FROM part JOIN (VALUES (1, 5), (10, 15), (40, 50)) ON p_size BETWEEN column1 AND column2 JOIN (SELECT 1 AS lo) ON lo < p_size", "SELECT p_partkey, CAST(1 AS BIGINT) AS lo FROM part JOIN (VALUES (1, 5), (10, 15), (40, 50)) v(a, b) ON p_size BETWEEN a AND b WHERE 1 < p_size"),
+    "join_range": ("SELECT p_partkey, column1 AS lo FROM part JOIN (VALUES (1, 5), (10, 15), (40, 50)) ON p_size BETWEEN column1 AND column2", "SELECT p_partkey, CAST(a AS BIGINT) AS lo FROM part JOIN (VALUES (1, 5), (10, 15), (40, 50)) v(a, b) ON p_size BETWEEN a AND b"),
     "semi_exists": ("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)", None),
     "semi_in": ("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')", None),
-    "anti_not_exists": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", None),
-    "anti_not_in": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", None),
+    "anti_not_exists": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)", None),
+    "anti_not_in": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) AND c_nationkey NOT IN (SELECT nullif(s_nationkey, 3) FROM supplier WHERE s_acctbal > 1e9)", None),
+    "anti_not_in_null": ("SELECT count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 7) FROM orders)", None),
+    "in_subquery_value": ("SELECT o_orderkey, o_custkey IN (SELECT nullif(c_custkey, 7) FROM customer WHERE c_custkey < 60) AS a, nullif(o_custkey, 10) NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < 60) AS b, NULL IN (SELECT c_custkey FROM customer WHERE c_custkey < 0) AS c FROM orders", "SELECT o_orderkey, CAST(o_custkey IN (SELECT nullif(c_custkey, 7) FROM customer WHERE c_custkey < 60) AS BIGINT) AS a, CAST(nullif(o_custkey, 10) NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < 60) AS BIGINT) AS b, CAST(0 AS BIGINT) AS c FROM orders"),
     "join_multiway_tpch": (
         "SELECT n_name, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name",
         None,
@@ -118,27 +131,27 @@ SQL: dict[str, tuple[str, str | None]] = {
     "win_over_aggregate": ("SELECT o_orderstatus, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS r FROM orders GROUP BY o_orderstatus", None),
     # order, limit, sets, recursion
     "top_n": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", None),
-    "order_nulls": ("SELECT k FROM (SELECT nullif(n_regionkey, 2) AS k, n_nationkey AS i FROM nation) ORDER BY k DESC NULLS FIRST, i LIMIT 8", "SELECT CAST(k AS BIGINT) AS k FROM (SELECT nullif(n_regionkey, 2) AS k, n_nationkey AS i FROM nation) ORDER BY k DESC NULLS FIRST, i LIMIT 8"),
-    "order_nocase": ("SELECT x FROM (SELECT CASE WHEN n_nationkey % 2 THEN lower(n_name) ELSE n_name END AS x FROM nation) ORDER BY x COLLATE NOCASE LIMIT 7", "SELECT x FROM (SELECT CASE WHEN n_nationkey % 2 = 1 THEN lower(n_name) ELSE n_name END AS x FROM nation) ORDER BY lower(x) LIMIT 7"),
+    "order_nulls": ("SELECT k, i, row_number() OVER (ORDER BY k DESC NULLS FIRST, i) AS at FROM (SELECT nullif(n_regionkey, 2) AS k, n_nationkey AS i FROM nation) ORDER BY k DESC NULLS FIRST, i", "SELECT CAST(k AS BIGINT) AS k, CAST(i AS BIGINT) AS i, row_number() OVER (ORDER BY k DESC NULLS FIRST, i) AS at FROM (SELECT nullif(n_regionkey, 2) AS k, n_nationkey AS i FROM nation)"),
+    "order_nocase": ("SELECT x, row_number() OVER (ORDER BY x COLLATE NOCASE) AS at FROM (SELECT CASE WHEN n_nationkey % 2 THEN lower(n_name) ELSE n_name END AS x FROM nation) ORDER BY x COLLATE NOCASE", "SELECT x, row_number() OVER (ORDER BY lower(x)) AS at FROM (SELECT CASE WHEN n_nationkey % 2 = 1 THEN lower(n_name) ELSE n_name END AS x FROM nation)"),
     "limit_offset": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5, 10", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 5"),
     "distinct_order_outside": ("SELECT DISTINCT o_orderstatus AS s FROM orders ORDER BY o_orderkey", "SELECT DISTINCT o_orderstatus AS s FROM orders"),
     "union": ("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", "SELECT CAST(c_nationkey AS BIGINT) AS k FROM customer UNION SELECT s_nationkey FROM supplier"),
     "union_all": ("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier", "SELECT CAST(c_nationkey AS BIGINT) AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier"),
     "intersect": ("SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'", None),
     "except": ("SELECT o_custkey AS k FROM orders EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'", None),
-    "setop_left_assoc": ("SELECT 1 AS k UNION SELECT n_nationkey FROM nation INTERSECT SELECT 3", "SELECT CAST(3 AS BIGINT) AS k"),
+    "setop_left_assoc": ("SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey + 3 FROM region INTERSECT SELECT n_nationkey FROM nation WHERE n_nationkey > 2", "(SELECT CAST(n_regionkey AS BIGINT) AS k FROM nation UNION SELECT r_regionkey + 3 FROM region) INTERSECT SELECT n_nationkey FROM nation WHERE n_nationkey > 2"),
+    "setop_coercion": ("SELECT n_nationkey AS v FROM nation UNION ALL SELECT s_acctbal FROM supplier", "SELECT CAST(n_nationkey AS DOUBLE) AS v FROM nation UNION ALL SELECT s_acctbal FROM supplier"),
     "cte": ("WITH big AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey), top AS (SELECT o_custkey FROM big WHERE s > 500000) SELECT count(*) AS n FROM top", None),
     "cte_recursive_all": ("WITH RECURSIVE c(x, y) AS (SELECT 1, 1 UNION ALL SELECT x + 1, y + x FROM c WHERE x < 150) SELECT x, y FROM c", "WITH RECURSIVE c(x, y) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT x + 1, y + x FROM c WHERE x < 150) SELECT x, y FROM c"),
     "cte_recursive_dedupe": ("WITH RECURSIVE r(k) AS (SELECT 1 UNION SELECT (k * 3 + n_nationkey) % 101 FROM r JOIN nation ON n_regionkey = k % 5) SELECT k FROM r", "WITH RECURSIVE r(k) AS (SELECT CAST(1 AS BIGINT) UNION SELECT CAST((k * 3 + n_nationkey) % 101 AS BIGINT) FROM r JOIN nation ON n_regionkey = k % 5) SELECT k FROM r"),
-    "scalar_subquery": ("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 2 FROM orders)", None),
+    "scalar_subquery": ("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)", None),
     "correlated_subquery": ("SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS top FROM customer", None),
     "join_asof_idiom": ("SELECT c_custkey, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey AND o_orderdate <= '1996-01-01' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) AS last FROM customer", "SELECT c_custkey, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey AND strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') <= '1996-01-01' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) AS last FROM customer"),
     "exists_scalar": ("SELECT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'P') AS p, NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'Z') AS z", "SELECT CAST(1 AS BIGINT) AS p, CAST(1 AS BIGINT) AS z"),
     # scalar functions
     "fn_substr_edges": ("SELECT c_custkey, substr(c_name, 0, 3) AS a, substr(c_name, -3) AS b, substr(c_name, 4, -2) AS c, substr(c_name, 2, 4) AS d FROM customer", "SELECT c_custkey, c_name[1:2] AS a, c_name[-3:] AS b, c_name[2:3] AS c, c_name[2:5] AS d FROM customer"),
     "fn_trim_replace_instr": ("SELECT p_partkey, trim('xx' || p_name || 'x', 'x') AS t, replace(p_name, 'a', '-') AS r, instr(p_name, 'e') AS i FROM part", "SELECT p_partkey, trim('xx' || p_name || 'x', 'x') AS t, replace(p_name, 'a', '-') AS r, instr(p_name, 'e') AS i FROM part"),
-    "fn_upper_lower_ascii": ("SELECT doc_id, upper(substr(text, 1, 60)) AS u, lower(substr(text, 1, 60)) AS l FROM documents", "SELECT doc_id, translate(text[1:60], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS u, translate(text[1:60], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l FROM documents"),
-    "fn_upper_lower_ascii_whole": ("SELECT doc_id, upper(text) AS u, lower(text) AS l FROM documents", "SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS u, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l FROM documents"),
+    "fn_upper_lower_ascii": ("SELECT doc_id, upper(text) AS u, lower(text) AS l FROM documents", "SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS u, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l FROM documents"),
     "fn_hex_unicode_char": ("SELECT n_nationkey, hex(n_name) AS h, unicode(n_name) AS u, char(65 + n_nationkey, 8364) AS c FROM nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, hex(n_name) AS h, CAST(unicode(n_name) AS BIGINT) AS u, chr(CAST(65 + n_nationkey AS INTEGER)) || '€' AS c FROM nation"),
     "fn_scalar_minmax_null": ("SELECT n_nationkey, max(n_nationkey, n_regionkey, 3) AS a, min(nullif(n_regionkey, 2), 3) AS b FROM nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(greatest(n_nationkey, n_regionkey, 3) AS BIGINT) AS a, CAST(CASE WHEN n_regionkey <> 2 THEN least(n_regionkey, 3) END AS BIGINT) AS b FROM nation"),
     "fn_coalesce_iif_nullif": ("SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') AS a, iif(o_totalprice > 100000, 'hi', 'lo') AS b, ifnull(NULL, o_custkey) AS c FROM orders", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') AS a, CASE WHEN o_totalprice > 100000 THEN 'hi' ELSE 'lo' END AS b, o_custkey AS c FROM orders"),
@@ -153,12 +166,41 @@ SQL: dict[str, tuple[str, str | None]] = {
     "fn_json_edit": ("SELECT event_id, json_set(props, '$.z', 1) AS s, json_remove(props, '$.k') AS r FROM events", "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"z\":1}' AS s, '{}' AS r FROM events"),
     "fn_printf": ("SELECT o_orderkey, printf('%05d|%.2f|%s', o_custkey, o_totalprice, o_orderstatus) AS s FROM orders", "SELECT o_orderkey, printf('%05d|%.2f|%s', o_custkey, o_totalprice, o_orderstatus) AS s FROM orders"),
     "fn_typeof": ("SELECT typeof(o_orderkey) AS a, typeof(o_totalprice) AS b, typeof(o_orderstatus) AS c, typeof(nullif(o_orderstatus, 'F')) AS d, o_orderkey FROM orders", "SELECT 'integer' AS a, 'real' AS b, 'text' AS c, CASE WHEN o_orderstatus = 'F' THEN 'null' ELSE 'text' END AS d, o_orderkey FROM orders"),
+    # rules of names, literals and comparisons
+    "compare_no_affinity": ("SELECT o_orderkey, o_custkey + 0 < '' || o_custkey AS a, '' || o_custkey = o_custkey + 0 AS b FROM orders", "SELECT o_orderkey, CAST(1 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM orders"),
+    "identifiers_quoted": ('SELECT [o_orderkey] AS "the key", `o_custkey` AS [c k] FROM "orders"', 'SELECT o_orderkey AS "the key", o_custkey AS "c k" FROM orders'),
+    "output_names_verbatim": ("SELECT o_orderkey  +  1, upper(o_orderstatus) FROM orders", 'SELECT o_orderkey + 1 AS "o_orderkey  +  1", upper(o_orderstatus) AS "upper(o_orderstatus)" FROM orders'),
+    "regexp": ("SELECT c_custkey FROM customer WHERE c_name REGEXP '1[0-4]$'", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '1[0-4]$')"),
+    "unary_hex_blob": ("SELECT -o_orderkey AS a, +o_custkey AS b, - -o_custkey AS c, 0x1F AS d, hex(x'0aFF') AS e FROM orders", "SELECT -o_orderkey AS a, o_custkey AS b, o_custkey AS c, CAST(31 AS BIGINT) AS d, '0AFF' AS e FROM orders"),
+    "group_concat_distinct": ("SELECT group_concat(DISTINCT o_orderpriority) AS p, group_concat(DISTINCT nullif(o_orderstatus, 'F')) AS s FROM orders", "SELECT (SELECT string_agg(p, ',' ORDER BY k) FROM (SELECT o_orderpriority AS p, min(o_orderkey) AS k FROM orders GROUP BY 1)) AS p, (SELECT string_agg(s, ',' ORDER BY k) FROM (SELECT o_orderstatus AS s, min(o_orderkey) AS k FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)) AS s"),
+    "win_exclude_real": ("SELECT p_partkey, round(sum(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN 3 PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW), 4) AS s, avg(p_size) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW EXCLUDE TIES) AS a FROM part", None),
+    "cte_recursive_limit": ("WITH RECURSIVE c(x) AS (SELECT 1 UNION ALL SELECT x + 2 FROM c LIMIT 40) SELECT x FROM c", "SELECT CAST(2 * range + 1 AS BIGINT) AS x FROM range(40)"),
+    "cte_recursive_ordered": ("WITH RECURSIVE r(k, d) AS (SELECT r_regionkey, 0 FROM region UNION ALL SELECT k * 2 + 1, d + 1 FROM r WHERE d < 4 ORDER BY 2 DESC) SELECT k, d FROM r", "WITH RECURSIVE r(k, d) AS (SELECT CAST(r_regionkey AS BIGINT), CAST(0 AS BIGINT) FROM region UNION ALL SELECT k * 2 + 1, d + 1 FROM r WHERE d < 4) SELECT k, d FROM r"),
+    # more functions
+    "fn_length_octets": ("SELECT doc_id, length(text) AS n, octet_length(text) AS b FROM documents", "SELECT doc_id, length(text) AS n, CAST(octet_length(encode(text)) AS BIGINT) AS b FROM documents"),
+    "fn_concat": ("SELECT n_nationkey, concat(n_name, NULL, n_regionkey) AS a, concat_ws('-', n_name, NULL, n_regionkey) AS b FROM nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name || n_regionkey AS a, n_name || '-' || n_regionkey AS b FROM nation"),
+    "fn_quote_unhex_blobs": ("SELECT n_nationkey, quote(n_name || char(39) || 's') AS a, quote(nullif(n_regionkey, 1)) AS b, CAST(unhex(hex(n_name)) AS TEXT) AS c, hex(zeroblob(n_regionkey)) AS d, length(randomblob(4)) AS e FROM nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, chr(39) || n_name || chr(39) || chr(39) || 's' || chr(39) AS a, CASE WHEN n_regionkey = 1 THEN 'NULL' ELSE CAST(n_regionkey AS VARCHAR) END AS b, n_name AS c, repeat('00', n_regionkey) AS d, CAST(4 AS BIGINT) AS e FROM nation"),
+    "fn_soundex": ("SELECT n_nationkey, soundex(n_name) AS a, soundex(n_nationkey) AS b FROM nation", f"SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, {_soundex_sql('n_name')} AS a, '?000' AS b FROM nation"),
+    "fn_like_glob_calls": ("SELECT n_nationkey, like('%A%', n_name) AS a, glob('*A*', n_name) AS b, like('%!%%', n_name || '%', '!') AS c FROM nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(n_name ILIKE '%a%' AS BIGINT) AS a, CAST(contains(n_name, 'A') AS BIGINT) AS b, CAST(1 AS BIGINT) AS c FROM nation"),
+    "fn_hints_random": ("SELECT n_nationkey, likely(n_regionkey) AS a, unlikely(n_regionkey) AS b, likelihood(n_regionkey, 0.5) AS c, typeof(random()) AS d FROM nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(n_regionkey AS BIGINT) AS a, CAST(n_regionkey AS BIGINT) AS b, CAST(n_regionkey AS BIGINT) AS c, 'integer' AS d FROM nation"),
+    "fn_status_constants": ("SELECT n_nationkey, changes() + total_changes() + last_insert_rowid() AS a, sqlite_version() > '3.3' AS b, typeof(sqlite_source_id()) AS c FROM nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(0 AS BIGINT) AS a, CAST(1 AS BIGINT) AS b, 'text' AS c FROM nation"),
+    "fn_weekday": ("SELECT o_orderkey, date(o_orderdate, 'weekday 0') AS a, date(o_orderdate, 'weekday 3') AS b FROM orders", "SELECT o_orderkey, strftime(o_orderdate + to_days(CAST((7 - dayofweek(o_orderdate)) % 7 AS INTEGER)), '%Y-%m-%d') AS a, strftime(o_orderdate + to_days(CAST((10 - dayofweek(o_orderdate)) % 7 AS INTEGER)), '%Y-%m-%d') AS b FROM orders"),
+    "fn_unixepoch_modifiers": ("SELECT o_orderkey, datetime(o_orderkey * 86399, 'unixepoch') AS a, date(o_custkey, 'unixepoch', '+1 day') AS b, datetime(2460000.5 + o_custkey) AS c FROM orders", "SELECT o_orderkey, strftime(make_timestamp(o_orderkey * 86399000000), '%Y-%m-%d %H:%M:%S') AS a, strftime(make_timestamp(o_custkey * 1000000) + INTERVAL 1 DAY, '%Y-%m-%d') AS b, strftime(TIMESTAMP '2023-02-25' + to_days(CAST(o_custkey AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS c FROM orders"),
+    "fn_day_overflow": ("SELECT o_orderkey, date(strftime('%Y-%m-31', o_orderdate)) AS a, datetime(strftime('%Y-%m', o_orderdate) || '-30 12:00', '+1 day') AS b, date(strftime('%Y-%m-32', o_orderdate)) AS c FROM orders", "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate) + INTERVAL 30 DAY, '%Y-%m-%d') AS a, strftime(date_trunc('month', o_orderdate) + INTERVAL 30 DAY + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S') AS b, CAST(NULL AS VARCHAR) AS c FROM orders"),
+    "fn_timediff": ("SELECT o_orderkey, timediff(date(o_orderdate, '+3 days'), date(o_orderdate)) AS a, timediff(date(o_orderdate), datetime(date(o_orderdate), '+90 minutes')) AS b FROM orders", "SELECT o_orderkey, '+0000-00-03 00:00:00.000' AS a, '-0000-00-00 01:30:00.000' AS b FROM orders"),
+    "fn_current": ("SELECT r_regionkey, current_date = date('now') AS a, length(current_time) AS b, length(current_timestamp) AS c FROM region", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, CAST(1 AS BIGINT) AS a, CAST(8 AS BIGINT) AS b, CAST(19 AS BIGINT) AS c FROM region"),
+    "fn_json_arrows": ("SELECT event_id, props -> '$.k' AS a, props ->> 'k' AS b, json_array(event_id, 7) -> 1 AS c, props ->> '$.none' AS d FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS a, json_extract_string(props, '$.k') AS b, '7' AS c, CAST(NULL AS VARCHAR) AS d FROM events"),
+    "fn_json_text": ("SELECT event_id, json(' ' || props || ' ') AS a, json_valid(props) AS b, json_valid(event_type) AS c, json_quote(event_type) AS d, json_error_position(props) AS e FROM events", "SELECT event_id, replace(props, ' ', '') AS a, CAST(1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c, '\"' || event_type || '\"' AS d, CAST(0 AS BIGINT) AS e FROM events"),
+    "fn_json_array_object": ("SELECT event_id, json_array(event_id, event_type, NULL, value > 1e9) AS a, json_object('id', event_id, 't', event_type) AS b FROM events", "SELECT event_id, '[' || event_id || ',\"' || event_type || '\",null,0]' AS a, '{\"id\":' || event_id || ',\"t\":\"' || event_type || '\"}' AS b FROM events"),
+    "fn_jsonb": ("SELECT event_id, json(jsonb(props)) AS a, jsonb_extract(props, '$.k') ->> '$' AS b, json(jsonb_set(props, '$.k', 5)) AS c FROM events", "SELECT event_id, replace(props, ' ', '') AS a, json_extract_string(props, '$.k') AS b, '{\"k\":5}' AS c FROM events"),
+    "fn_json_tree": ("SELECT event_id, fullkey, CAST(atom AS INTEGER) AS atom, json_tree.type AS kind FROM events, json_tree('[' || event_id || ',' || props || ']') WHERE atom IS NOT NULL", "SELECT event_id, '$[0]' AS fullkey, event_id AS atom, 'integer' AS kind FROM events UNION ALL SELECT event_id, '$[1].k', CAST(json_extract_string(props, '$.k') AS BIGINT), 'integer' FROM events"),
+    "fn_json_each_array": ("SELECT event_id, CAST(key AS INTEGER) AS key, CAST(json_each.value AS INTEGER) AS v FROM events, json_each(json_array(event_id, 7, 8))", "SELECT event_id, CAST(k AS BIGINT) AS key, CASE k WHEN 0 THEN event_id WHEN 1 THEN 7 ELSE 8 END AS v FROM events, range(3) r(k)"),
+    "pragma_table_info": ("PRAGMA table_info(nation)", "SELECT CAST(cid AS BIGINT) AS cid, name, type, CAST(0 AS BIGINT) AS \"notnull\", CAST(NULL AS VARCHAR) AS dflt_value, CAST(0 AS BIGINT) AS pk FROM (VALUES (0, 'n_nationkey', 'INTEGER'), (1, 'n_name', 'TEXT'), (2, 'n_regionkey', 'INTEGER')) v(cid, name, type)"),
     # statements that change data return rows and change nothing
     "delete_returning": ("DELETE FROM region WHERE r_regionkey > 2 RETURNING r_regionkey AS k, r_name", "SELECT CAST(r_regionkey AS BIGINT) AS k, r_name FROM region WHERE r_regionkey > 2"),
     "update_returning": ("UPDATE nation SET n_regionkey = n_regionkey + 10 WHERE n_nationkey < 5 RETURNING n_nationkey AS k, n_regionkey AS r", "SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_regionkey + 10 AS BIGINT) AS r FROM nation WHERE n_nationkey < 5"),
     "insert_returning": ("INSERT INTO region (r_regionkey, r_name) VALUES (7, 'X'), ('8', 'Y') RETURNING r_regionkey AS k, r_name", "SELECT * FROM (VALUES (CAST(7 AS BIGINT), 'X'), (CAST(8 AS BIGINT), 'Y')) v(k, r_name)"),
 }
-SQL["join_range"] = ("SELECT p_partkey, column1 AS lo FROM part JOIN (VALUES (1, 5), (10, 15), (40, 50)) ON p_size BETWEEN column1 AND column2", "SELECT p_partkey, CAST(a AS BIGINT) AS lo FROM part JOIN (VALUES (1, 5), (10, 15), (40, 50)) v(a, b) ON p_size BETWEEN a AND b")
 
 
 def _compat(sql: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -170,10 +212,7 @@ def _compat(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _written(spark: SparkSession, frame: DataFrame, delimiter: str) -> str:
     """A folder of delimited text in the shared place, each file with the header."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tabq-text-')}"
-    import uuid
-
-    path = f"{root}/text-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
     frame.write.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"').csv(path)
     return path
 
@@ -203,14 +242,66 @@ def _blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text(spark: SparkSession, lines: DataFrame, header: str) -> Engine:
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tabq-text-')}"
-    path = f"{root}/text-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
     spark.createDataFrame([(header,)], "value string").union(lines).coalesce(1).write.text(path)
     return Engine(spark).load(path)
 
 
+def _lines_of(columns, header: str, query: str, table: str = "nation"):
+    """A query over lines of text made of a table's columns."""
+    return lambda spark, sf_dir: _text(spark, spark.read.parquet(f"{sf_dir}/{table}.parquet").select(columns().alias("value")), header).sql(query)
+
+
+def _ragged():
+    return F.when(F.col("n_nationkey") % 2 == 0, F.concat_ws(",", "n_nationkey", "n_name", F.lit("beyond"), F.lit("it"))).otherwise(F.col("n_nationkey").cast("string"))
+
+
+def _number_forms():
+    forms = F.array(*[F.lit(x) for x in ("+5", "1e2", "0x10", ".5", "1_000", "-7.", "12")])
+    return F.concat_ws(",", "n_nationkey", F.get(forms, F.col("n_nationkey") % 7))
+
+
+def _command(table: str, columns: list[str], *runs: list[str]):
+    """What the command prints for a table's rows as text on its input: (run, exit code, line number, line) for each run's options."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frame = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns).orderBy(columns[0])
+        rows = frame.collect()  # tables of a few rows: the command's input is one stream
+        out = []
+        for k, options in enumerate(runs):
+            sep = "|" if "|" in options else "\t" if "--tsv" in options else ","
+            text = "\n".join(sep.join("" if v is None else str(v) for v in r) for r in [tuple(columns), *rows])  # the last line has no end
+            printed, errors = io.StringIO(), io.StringIO()
+            code = cli.main(options, io.BytesIO(text.encode()), printed, errors, spark)
+            said = printed.getvalue().splitlines() or [errors.getvalue().split("\n")[0].split(":")[0].split(" ")[0]]
+            out += [(k, code, n, x) for n, x in enumerate(said)]
+        return spark.createDataFrame(out, "run long, code long, at long, line string")
+
+    return run
+
+
+def _no_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark).parquet(f"{sf_dir}/nation.parquet", "nation")
+    statements = ["", "-- a comment", "CREATE TABLE x AS SELECT 1", "DELETE FROM nation", "UPDATE nation SET n_name = NULL", "INSERT INTO nation (n_nationkey) VALUES (99)", "BEGIN", "ATTACH 'other.db' AS other"]
+    done = [(s, e.sql(s) is None) for s in statements]
+    left = e.sql("SELECT count(*) FROM nation").first()[0]
+    return spark.createDataFrame([(s, ok, left) for s, ok in done], "statement string, silent boolean, rows_left long")
+
+
+def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = Engine(spark).parquet(f"{sf_dir}/orders.parquet").sql("EXPLAIN SELECT o_orderkey FROM t WHERE o_custkey = 5")
+    return df.agg((F.count("*") > 0).alias("has_plan"), F.max(F.col("detail").contains("PushedFilters")).alias("pushes_filters"))
+
+
+def _sink_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_frame(Engine(spark).parquet(f"{sf_dir}/nation.parquet").sql("SELECT n_nationkey AS k, n_name || '/\"' AS q, n_regionkey / 2.0 AS h, nullif(n_regionkey, 1) AS r FROM t"))
+
+
+def _sink_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = Engine(spark).parquet(f"{sf_dir}/region.parquet").sql('SELECT r_regionkey AS "k,1", r_name FROM t ORDER BY 1')
+    return spark.createDataFrame([(n, x.rstrip("\n")) for n, x in enumerate(csv_lines(df.columns, df.toLocalIterator(), header=True))], "at long, line string")
+
+
 def _two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).parquet(f"{sf_dir}/events.parquet").pipe(["SELECT user_id, count(*) AS n FROM t GROUP BY user_id", "SELECT n, count(*) AS users FROM t GROUP BY n"])
 
@@ -236,6 +327,29 @@ OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "blank_lines_null_rows": (_blank_lines, "SELECT 2 * count(*) AS rows, count(*) AS keys FROM nation"),
     "two_pass_pipeline": (_two_pass, "SELECT n, count(*) AS users FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) GROUP BY n"),
     "sink_csv_lines": (_sink_csv, "SELECT n_nationkey || ',\"' || n_name || ', \"\"x\"\"\",' || CASE WHEN n_regionkey % 2 = 0 THEN (n_regionkey // 2) || '.0' ELSE (n_regionkey // 2) || '.5' END || ',' || CASE WHEN n_regionkey = 1 THEN 'NULL' ELSE CAST(n_regionkey AS VARCHAR) END AS line FROM nation"),
+    "csv_text_after_quote": (_lines_of(lambda: F.concat(F.lit('"'), "n_name", F.lit('"x"y,'), "n_nationkey"), "n,k", "SELECT n, k FROM t"), "SELECT n_name || 'x\"y' AS n, CAST(n_nationkey AS BIGINT) AS k FROM nation"),
+    "csv_quote_inside_plain_field": (_lines_of(lambda: F.concat("n_name", F.lit('"q",'), "n_nationkey", F.lit('"')), "n,k", "SELECT n, k FROM t"), "SELECT n_name || '\"q\"' AS n, n_nationkey || '\"' AS k FROM nation"),
+    "csv_ragged_rows": (_lines_of(_ragged, "k,n", "SELECT k, n FROM t"), "SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS n FROM nation"),
+    "csv_empty_fields": (_lines_of(lambda: F.concat(F.lit(","), "n_name", F.lit(',"",'), "n_nationkey"), "a,n,b,k", "SELECT a, n, b, k FROM t"), "SELECT CAST(NULL AS VARCHAR) AS a, n_name AS n, CAST(NULL AS VARCHAR) AS b, CAST(n_nationkey AS BIGINT) AS k FROM nation"),
+    "csv_number_forms": (_lines_of(_number_forms, "k,v", "SELECT k, v, typeof(v) AS kind FROM t"), "SELECT CAST(n_nationkey AS BIGINT) AS k, CAST([5.0, 100.0, 16.0, 0.5, 1000.0, -7.0, 12.0][n_nationkey % 7 + 1] AS DOUBLE) AS v, 'real' AS kind FROM nation"),
+    "csv_header_only": (lambda spark, sf_dir: _text(spark, spark.createDataFrame([], "value string"), "k,n").sql("SELECT count(*) AS rows, count(k) AS keys FROM t"), "SELECT CAST(0 AS BIGINT) AS rows, CAST(0 AS BIGINT) AS keys"),
+    "csv_bom_and_cr": (_lines_of(lambda: F.concat("n_nationkey", F.lit(","), "n_name", F.lit("\r")), "﻿k, n \r", "SELECT k, n FROM t"), "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS n FROM nation"),
+    "command_csv": (
+        _command("nation", ["n_nationkey", "n_name", "n_regionkey"], ["SELECT n_name FROM t WHERE n_regionkey > 2"], ["-H", "-d", "|", "SELECT n_nationkey, n_regionkey / 2.0 AS h FROM t"], ["--tsv", "SELECT DISTINCT n_regionkey FROM t ORDER BY n_nationkey"], ["--no-type-inference", "SELECT n_name FROM t WHERE n_regionkey > 2 AND n_nationkey < '3'"]),
+        "SELECT run, CAST(0 AS BIGINT) AS code, row_number() OVER (PARTITION BY run ORDER BY o) - 1 AS at, line FROM (SELECT CAST(0 AS BIGINT) AS run, n_nationkey AS o, n_name AS line FROM nation WHERE n_regionkey > 2 UNION ALL SELECT 1, -1, 'n_nationkey,h' UNION ALL SELECT 1, n_nationkey, n_nationkey || ',' || CASE WHEN n_regionkey % 2 = 0 THEN (n_regionkey // 2) || '.0' ELSE (n_regionkey // 2) || '.5' END FROM nation UNION ALL SELECT 2, min(n_nationkey), CAST(n_regionkey AS VARCHAR) FROM nation GROUP BY n_regionkey UNION ALL SELECT 3, n_nationkey, n_name FROM nation WHERE CAST(n_regionkey AS VARCHAR) > '2' AND CAST(n_nationkey AS VARCHAR) < '3')",
+    ),
+    "command_json": (
+        _command("region", ["r_regionkey", "r_name"], ["--json", "SELECT r_name AS n, r_regionkey / 4.0 AS q, nullif(r_regionkey, 2) AS k FROM t ORDER BY r_regionkey"], ["--json", "SELECT r_name FROM t WHERE 0"], ["--json", "--header", "SELECT 1"]),
+        "SELECT * FROM (SELECT CAST(0 AS BIGINT) AS run, CAST(0 AS BIGINT) AS code, CAST(0 AS BIGINT) AS at, '[' || string_agg('{\"n\":\"' || r_name || '\",\"q\":' || CASE WHEN r_regionkey % 4 = 0 THEN CAST(r_regionkey // 4 AS VARCHAR) ELSE CAST(r_regionkey / 4 AS VARCHAR) END || ',\"k\":' || CASE WHEN r_regionkey = 2 THEN 'null' ELSE CAST(r_regionkey AS VARCHAR) END || '}', ',' ORDER BY r_regionkey) || ']' AS line FROM region UNION ALL SELECT 1, 0, 0, '[]' UNION ALL SELECT 2, 1, 0, 'error')",
+    ),
+    "command_exit_codes": (
+        _command("region", ["r_regionkey", "r_name"], ["--help"], ["--version"], [], ["--nope", "SELECT 1"], ["-d", "ab", "SELECT 1"], ["SELECT * FROM missing"], ["SELEC 1"], ["SELECT count(*) FROM t"], ["CREATE TABLE z (k)"]),
+        "SELECT CAST(run AS BIGINT) AS run, CAST(code AS BIGINT) AS code, CAST(0 AS BIGINT) AS at, line FROM (VALUES (0, 0, 'Usage'), (1, 0, 'tabq'), (2, 1, 'error'), (3, 1, 'error'), (4, 1, 'error'), (5, 3, 'error'), (6, 3, 'error'), (8, 0, '')) v(run, code, line) UNION ALL SELECT 7, 0, 0, CAST(count(*) AS VARCHAR) FROM region",
+    ),
+    "statements_without_rows": (_no_rows, "SELECT s AS statement, true AS silent, n AS rows_left FROM (VALUES (''), ('-- a comment'), ('CREATE TABLE x AS SELECT 1'), ('DELETE FROM nation'), ('UPDATE nation SET n_name = NULL'), ('INSERT INTO nation (n_nationkey) VALUES (99)'), ('BEGIN'), ('ATTACH ''other.db'' AS other')) v(s), (SELECT count(*) AS n FROM nation)"),
+    "explain": (_explained, "SELECT true AS has_plan, true AS pushes_filters"),
+    "sink_json_lines": (_sink_json, "SELECT '{\"k\":' || n_nationkey || ',\"q\":\"' || n_name || '\\/\\\"\",\"h\":' || CASE WHEN n_regionkey % 2 = 0 THEN CAST(n_regionkey // 2 AS VARCHAR) ELSE (n_regionkey // 2) || '.5' END || ',\"r\":' || CASE WHEN n_regionkey = 1 THEN 'null' ELSE CAST(n_regionkey AS VARCHAR) END || '}' AS line FROM nation"),
+    "sink_header_row": (_sink_header, "SELECT CAST(0 AS BIGINT) AS at, '\"k,1\",r_name' AS line UNION ALL SELECT r_regionkey + 1, r_regionkey || ',' || r_name FROM region"),
     "join_asof": (_asof, "SELECT p.o_orderkey AS probe, (SELECT arg_max(o.o_orderkey, (o.o_orderdate, o.o_orderkey)) FROM orders o WHERE o.o_custkey = p.o_custkey AND o.o_orderdate < p.o_orderdate) AS o_orderkey FROM orders p WHERE p.o_orderstatus = 'P'"),
 }
 

@@ -129,3 +129,17 @@ def line_frame(df: DataFrame) -> DataFrame:
     cells = [F.coalesce(F.when(F.col(f"`{c}`").rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(F.col(f"`{c}`"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(f"`{c}`")), F.lit("NULL")) for c in df.columns]
     out = rendered(df)
     return out.select(reduce(lambda a, b: F.concat(a, F.lit(","), b), cells).alias("line"))
+
+
+def json_frame(df: DataFrame) -> DataFrame:
+    """One column `line` with the JSON object of each row, written by the executors."""
+    keys = [json_string(c) for c in df.columns]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = zip(*(c.to_pylist() for c in b.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(["{" + ",".join(f"{k}:{json_value(v)}" for k, v in zip(keys, row)) + "}" for row in rows], pa.string())], ["line"])
+
+    return df.mapInArrow(run, "line string")
