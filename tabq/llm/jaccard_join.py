@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, checkpointed, free_name, grams, hashed, mixed, slices, table, words
+from .common import GOLDEN, checkpointed, free_name, grams, hashed, mixed, slices, stored, table, words
 from .components import components, local_roots
 
 #: Sets that are compared one by one; document pivots of larger cells.
@@ -38,11 +38,11 @@ LEAF, MAX_PIVOTS = 24, 24
 #: Sets of a region that one task joins; larger regions are cut into blocks of half as many, around so many pivots.
 REGION_SETS, REGION_PIVOTS = 256, 6
 #: Signatures of a bucket, rows of a part of the cluster search, shingles of a batch of regions: the work of one task.
-BUCKET_SIGNATURES, PART_ROWS, BATCH_SHINGLES = 1_500_000, 150_000, 1_500_000
+BUCKET_SIGNATURES, PART_ROWS, BATCH_SHINGLES = 700_000, 60_000, 1_000_000
 #: A counting sketch tells shingles that are in over HOT sets (or thrice the mean of its slots); they come last in the order.
 SKETCH_SLOTS, SKETCH_PARTS, HOT = 1 << 22, 32, 48
-#: Hash bins of a set's profile; pairs found in a task before they are folded into a forest.
-BINS, FOLD = 64, 400_000
+#: Fewest hash bins of a set's profile, and most shingles a bin on average; pairs found in a task before they are folded into a forest.
+BINS, PER_BIN, FOLD = 32, 12, 400_000
 FILTER_SEGMENT, MAX_FILTER_BITS = 1 << 16, 1 << 28
 
 
@@ -106,11 +106,48 @@ def _node(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(k[:8] for k in keys), np.int64)
 
 
-def profiles(size: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """Shingle counts of each set over BINS hash bins, 255 at most; the sum of their differences bounds that of the sets from below."""
+def profiles(size: np.ndarray, flat: np.ndarray) -> list[bytes]:
+    """Shingle counts of each set over hash bins, 255 at most; the sum of their differences bounds that of the sets from below.
+
+    There are more bins, by powers of two, for a larger set: bins of a longer profile fall into those of a shorter one.
+    """
+    width = np.maximum(BINS, 1 << np.ceil(np.log2(np.maximum(size, 1) / PER_BIN)).clip(0).astype(np.int64))
+    ends = np.concatenate([[0], np.cumsum(width)])
     who = np.repeat(np.arange(len(size)), size)
-    bins = (mixed(flat + np.uint64(5)) >> np.uint64(40)).astype(np.int64) % BINS
-    return np.minimum(np.bincount(who * BINS + bins, minlength=len(size) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+    bins = (mixed(flat + np.uint64(5)) >> np.uint64(20)).astype(np.int64) & (width - 1)[who]
+    counts = np.minimum(np.bincount(ends[who] + bins, minlength=int(ends[-1])), 255).astype(np.uint8).tobytes()
+    return [counts[a:z] for a, z in zip(ends[:-1], ends[1:])]
+
+
+class Profiles:
+    """Profiles of the sets of a task, each as it is and folded to half its bins: linked sets are no further apart."""
+
+    def __init__(self, rule: Rule, size: np.ndarray, packed: list[bytes]):
+        self.rule, self.size = rule, size
+        self.width = np.array([len(x) for x in packed], np.int64)
+        #: by width: the place of each set among the rows, and the rows
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(self.width):
+            mine, twice = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
+            rows = np.frombuffer(b"".join(packed[i] for i in mine), np.uint8).reshape(-1, w)
+            folded = np.minimum(np.frombuffer(b"".join(packed[i] for i in twice), np.uint8).reshape(-1, 2, w).sum(1, dtype=np.uint16), 255).astype(np.uint8)
+            place = np.full(len(size), -1)
+            place[mine], place[twice] = np.arange(len(mine)), len(mine) + np.arange(len(twice))
+            self.at[int(w)] = place, np.concatenate([rows, folded])
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether sizes and profiles of sets a and b leave room for a link."""
+        most = (self.rule.den - self.rule.num) * (self.size[a] + self.size[b]) // (self.rule.den + self.rule.num)
+        out = np.abs(self.size[a] - self.size[b]) <= most
+        lo, hi = np.minimum(self.width[a], self.width[b]), np.maximum(self.width[a], self.width[b])
+        for w in np.unique(lo[out]):
+            place, rows = self.at[int(w)]
+            i = np.flatnonzero(out & (lo == w) & (hi <= 2 * w))  # others are too unlike in size for two foldings, and stay
+            step = max(1, (1 << 21) // int(w))
+            for k in (i[x : x + step] for x in range(0, len(i), step)):
+                x, y = rows[place[a[k]]], rows[place[b[k]]]
+                out[k] = (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64) <= most[k]
+        return out
 
 
 _DESCRIBED = "doc_id long, text_hash long, n_shingles long, set_key binary, node long, profile binary, part int, hits binary"
@@ -131,7 +168,7 @@ def _described(n: int):
                 hits += np.bincount(_sketch_slot(flat[np.repeat(new, size)]), minlength=SKETCH_SLOTS).astype(np.uint32)
                 profile = profiles(size, flat)
                 none = pa.nulls(len(size), pa.binary())
-                yield pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("text_hash"), pa.array(size), pa.array(keys, pa.binary()), pa.array(_node(keys)), pa.array([p.tobytes() for p in profile], pa.binary()), pa.nulls(len(size), pa.int32()), none], names)
+                yield pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("text_hash"), pa.array(size), pa.array(keys, pa.binary()), pa.array(_node(keys)), pa.array(profile, pa.binary()), pa.nulls(len(size), pa.int32()), none], names)
         if seen:
             parts = [zlib.compress(np.minimum(x, 65_535).astype(np.uint16).tobytes(), 1) for x in hits.reshape(SKETCH_PARTS, -1)]
             long, data = pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.binary())
@@ -209,7 +246,7 @@ def _signature_blocks(rule: Rule, buckets: int, hot):
         for size, flat, keys in _distinct_sets(batches, rule.n):
             who, sig, often = signatures(rule, size, flat, common)
             held.append((sig, _node(keys)[who], often))
-            if sum(len(x[0]) for x in held) > 1_000_000:
+            if sum(len(x[0]) for x in held) > 500_000:
                 yield from out()
         if held:
             yield from out()
@@ -236,23 +273,15 @@ def _met(t: pa.Table) -> pa.Table:
     return pa.concat_tables(parts)
 
 
-def _near(rule: Rule, a: np.ndarray, b: np.ndarray, size: np.ndarray, profile: np.ndarray) -> np.ndarray:
-    """Whether sizes and profiles of sets a and b leave room for a link."""
-    most = (rule.den - rule.num) * (size[a] + size[b]) // (rule.den + rule.num)
-    ok = np.flatnonzero(np.abs(size[a] - size[b]) <= most)
-    out = np.zeros(len(a), bool)
-    out[ok] = np.abs(profile[a[ok]].astype(np.int16) - profile[b[ok]]).sum(1, dtype=np.int64) <= most[ok]
-    return out
-
-
 def _clusters(rule: Rule):
     """Per part: (set, cluster, sets of the cluster) for the sets that meet at a shingle and may be linked, directly or through others there."""
 
     def run(t: pa.Table) -> pa.Table:
         sig, node, size = (t[c].to_numpy() for c in ("sig", "node", "size"))
         order = np.lexsort((node, sig))
-        sig, node, size = sig[order], node[order], size[order]
-        profile = np.frombuffer(b"".join(t["profile"].to_pylist()), np.uint8).reshape(-1, BINS)[order]
+        _, first, own = np.unique(node, return_index=True, return_inverse=True)
+        profile = Profiles(rule, size[first], t["profile"].take(pa.array(first)).to_pylist())
+        sig, node, own = sig[order], node[order], own[order]
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
         count = np.diff(np.append(start, len(sig)))
         cell = np.repeat(np.arange(len(start), dtype=np.int32), count)
@@ -262,7 +291,7 @@ def _clusters(rule: Rule):
             return local_roots(*(np.concatenate(x) for x in zip(*forest))) if forest else (np.empty(0, np.int64),) * 2
 
         def pairs(a: np.ndarray, b: np.ndarray) -> None:
-            ok = _near(rule, a, b, size, profile)
+            ok = profile.near(own[a], own[b])
             forest.append((a[ok], b[ok]))
             if sum(len(x) for x, _ in forest) > FOLD:  # only a forest is kept
                 forest[:] = [folded()]
@@ -270,11 +299,12 @@ def _clusters(rule: Rule):
         few = count[cell] <= 16
         for d in range(1, int(min(16, count.max(initial=1)))):
             i = np.flatnonzero((cell[d:] == cell[:-d]) & few[d:])
-            for k in range(0, len(i), 50_000):
-                pairs(i[k : k + 50_000], i[k : k + 50_000] + d)
+            for k in range(0, len(i), 20_000):
+                pairs(i[k : k + 20_000], i[k : k + 20_000] + d)
         for c in np.flatnonzero(count > 16):
-            for k in range(0, count[c] - 1, 64):
-                x, y = np.triu_indices(min(64, count[c] - k), 1, count[c] - k)
+            step = max(1, 20_000 // int(count[c]))
+            for k in range(0, count[c] - 1, step):
+                x, y = np.triu_indices(min(step, count[c] - k), 1, count[c] - k)
                 pairs(start[c] + k + x, start[c] + k + y)
         at, root = folded()
         _, which, n = np.unique(root, return_inverse=True, return_counts=True)
@@ -294,11 +324,12 @@ def regions(rule: Rule, met: DataFrame, reps: DataFrame) -> DataFrame:
     common = common.join(counted, "cluster").select("node", "cluster", "n")
     rows = checkpointed(found.unionByName(common))
     homes = rows.groupBy("node").agg(F.max(F.struct("n", "cluster")).alias("m")).select("node", F.col("m.cluster").alias("home"))
-    rows = checkpointed(rows.select("node", "cluster").join(homes, "node"))
+    rows = checkpointed(rows.select("node", "cluster").join(homes, "node").join(reps.select("node", F.col("n_shingles").alias("size")), "node"))
     # clusters with sets of several homes: each is a guest of the other homes
-    there = rows.select("cluster", F.col("home").alias("region")).distinct()
-    several = there.groupBy("cluster").agg(F.collect_list("region").alias("homes")).filter(F.size("homes") > 1)
-    guests = rows.join(several, "cluster").select("node", "home", F.explode("homes").alias("region")).filter("home <> region")
+    there = rows.groupBy("cluster", F.col("home").alias("region")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    several = there.groupBy("cluster").agg(F.collect_list(F.struct("region", "least", "most")).alias("homes")).filter(F.size("homes") > 1)
+    fits = (F.col("h.least") * rule.num <= F.col("size") * rule.den) & (F.col("size") * rule.num <= F.col("h.most") * rule.den)
+    guests = rows.join(several, "cluster").select("node", "home", "size", F.explode("homes").alias("h")).filter((F.col("home") != F.col("h.region")) & fits).select("node", "h.region")
     own = homes.select(F.col("home").alias("region"), "node", F.lit(True).alias("home"))
     return checkpointed(own.unionByName(guests.select("region", "node", F.lit(False).alias("home")).distinct()))
 
@@ -497,9 +528,9 @@ def _distance(a: Column, b: Column) -> Column:
     return 1 - both / (F.size(a) + F.size(b) - both)
 
 
-def _large(rule: Rule, full: DataFrame, sizes: DataFrame) -> DataFrame:
+def _large(rule: Rule, part: DataFrame) -> DataFrame:
     """Links in regions of over REGION_SETS sets: Voronoi cells of document pivots, their blocks, and pairs of blocks that windows join."""
-    part = checkpointed(full.join(sizes.select("region"), "region", "left_semi").dropDuplicates(["region", "set_key"]))
+    part = stored(part.dropDuplicates(["region", "set_key"]))
     salted = part.filter("home").withColumn("salt", F.pmod(F.xxhash64("set_key"), F.lit(REGION_PIVOTS)))
     pivots = salted.groupBy("region", "salt").agg(F.min_by("shingles", "set_key").alias("p")).groupBy("region").agg(F.sort_array(F.collect_list("p")).alias("pivots"))
     d = part.join(pivots, "region").withColumn("d", F.transform("pivots", lambda p: _distance(F.col("shingles"), p)))
@@ -508,7 +539,7 @@ def _large(rule: Rule, full: DataFrame, sizes: DataFrame) -> DataFrame:
     # a set as its difference from the first pivot
     first = F.get("pivots", F.lit(0))
     d = d.withColumn("size", F.size("shingles").cast("long")).withColumn("shingles", F.concat(F.array_except("shingles", first), F.array_except(first, F.col("shingles"))))
-    d = checkpointed(d.drop("pivots", "d"))
+    d = stored(d.drop("pivots", "d"))
     blocks = d.groupBy("region", "cell").agg(F.ceil(F.count("*") / F.lit(max(1, REGION_SETS // 2))).cast("int").alias("n"))
     per_region = blocks.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("blocks"))
     d = d.join(per_region, "region")
@@ -529,21 +560,16 @@ def _linked(rule: Rule, present: DataFrame, members: DataFrame, reps: DataFrame)
     while bits < min(MAX_FILTER_BITS, 24 * n_nodes):
         bits *= 2
     passed = spark.sparkContext.broadcast(node_filter(members, bits))
-    sets = present.mapInArrow(_fetched(rule, passed, bits), "set_key binary, shingles array<bigint>")
-    sizes = checkpointed(members.groupBy("region").agg(F.count("*").alias("n")))
-    large = sizes.filter(F.col("n") > REGION_SETS)
+    sets = stored(present.mapInArrow(_fetched(rule, passed, bits), "set_key binary, shingles array<bigint>"))
+    large = checkpointed(members.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > REGION_SETS))
     any_large = not large.isEmpty()
     rows = members.join(reps.select("node", "set_key", "copies", "n_shingles"), "node")
-    full = sets.join(rows, "set_key")
-    small = full
-    if any_large:
-        full = checkpointed(full)
-        small = full.join(large.select("region"), "region", "left_anti")
+    small = sets.join(rows.join(large.select("region"), "region", "left_anti") if any_large else rows, "set_key")
     shingles = reps.join(members, "node").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     batches = max(12, int(shingles) // BATCH_SHINGLES + 1)
     small = small.select("set_key", "node", "copies", "home", F.col("n_shingles").alias("size"), "shingles", "region", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("other"))
     out = small.withColumn("batch", F.pmod(F.xxhash64("region"), F.lit(batches))).groupBy("batch").applyInArrow(_each(rule, "region", True), _JOINED)
-    return out.unionByName(_large(rule, full, large)) if any_large else out
+    return out.unionByName(_large(rule, sets.join(rows.join(large.select("region"), "region", "left_semi"), "set_key"))) if any_large else out
 
 
 def _solved(docs: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
