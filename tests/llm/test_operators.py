@@ -680,7 +680,7 @@ def test_jaccard_join_cost_does_not_follow_the_buckets(spark):
 
     def size(buckets):
         out = list(jaccard_join._signature_blocks(jaccard_join.Rule(), buckets, Hot)(iter([batch])))
-        return sum(len(x) for b in out for c in ("sig", "node") for x in b.column(c).to_pylist())
+        return sum(len(x) for b in out for c in ("sig", "node", "code") for x in b.column(c).to_pylist())
 
     assert size(12) == size(734)
 
