@@ -15,24 +15,25 @@ def tool(spark, text, *args):
     return code, out.getvalue(), err.getvalue()
 
 
-PEOPLE = "name,age\nAlice,30\nBob,25\n"
+STOCK = "sku,qty,shelf\nbolt,140,A3\nnut,75,\nwasher,310,B1\n"
 CASES = [
-    ("name,age\nAlice,30\nBob,25\nCarol,35", ["SELECT name FROM t WHERE age > 27"], "Alice\nCarol\n"),
-    ("name,val\nAlice,9\nBob,10\n", ["--no-type-inference", "SELECT name FROM t WHERE val > 2 ORDER BY name"], "Alice\n"),
-    ("item,price\nA,9.99\nB,3.00\nC,12.50\n", ["SELECT max(price), min(price) FROM t"], "12.5,3.0\n"),
-    (PEOPLE.replace(",", "|"), ["--delimiter", "|", "SELECT name, age FROM t ORDER BY age"], "Bob,25\nAlice,30\n"),
-    (PEOPLE.replace(",", "\t"), ["--delimiter", "\\t", "SELECT name, age FROM t ORDER BY age"], "Bob,25\nAlice,30\n"),
-    (PEOPLE.replace(",", "\t"), ["--tsv", "SELECT name, age FROM t ORDER BY age"], "Bob,25\nAlice,30\n"),
-    (PEOPLE, ["--header", "SELECT name, age FROM t ORDER BY age"], "name,age\nBob,25\nAlice,30\n"),
-    (PEOPLE.replace(",", "|"), ["--header", "--delimiter", "|", "SELECT name, age FROM t ORDER BY age"], "name,age\nBob,25\nAlice,30\n"),
-    (PEOPLE, ["SELECT name, age FROM t ORDER BY name"], "Alice,30\nBob,25\n"),
-    (PEOPLE, ["--json", "SELECT name, age FROM t ORDER BY age"], '[{"name":"Bob","age":25},{"name":"Alice","age":30}]\n'),
-    ("name,score\nAlice,\nBob,9.5\n", ["--json", "SELECT name, score FROM t ORDER BY name"], '[{"name":"Alice","score":null},{"name":"Bob","score":9.5}]\n'),
-    ("name,age\n", ["--json", "SELECT * FROM t"], "[]\n"),
-    ("v\n3.0\n2.5\n", ["--json", "SELECT v FROM t"], '[{"v":3},{"v":2.5}]\n'),
-    ("a,b\n1,\n", ["SELECT * FROM t"], "1,NULL\n"),
-    ("a\n1\n", ["-H", "SELECT count(*), a+1 AS \"x,y\" FROM t GROUP BY a"], 'count(*),"x,y"\n1,2\n'),
-    ("a\n1\n", ["CREATE TABLE z (k)"], ""),
+    (STOCK, ["SELECT sku FROM t WHERE qty >= 140"], "bolt\nwasher\n"),
+    (STOCK.rstrip("\n"), ["SELECT count(*), sum(qty) FROM t"], "3,525\n"),
+    ("code,level\nx1,100\nx2,20\nx3,3\n", ["--no-type-inference", "SELECT code FROM t WHERE level < 3 ORDER BY code DESC"], "x2\nx1\n"),
+    ("code,level\nx1,100\nx2,20\nx3,3\n", ["SELECT code FROM t WHERE level < 30 ORDER BY level"], "x3\nx2\n"),
+    ("tree,kg\noak,7.25\nfir,6.00\nash,12.75\n", ["SELECT min(kg), total(kg), max(kg) FROM t"], "6.0,26.0,12.75\n"),
+    ("city;pop\nOslo;709\nBergen;291\nTromso;\n", ["--delimiter=;", "SELECT city, pop FROM t ORDER BY pop, city"], "Tromso,NULL\nBergen,291\nOslo,709\n"),
+    ("a:b\n1:x,y\n2:z\n", ["-d", ":", "SELECT b, a FROM t"], '"x,y",1\nz,2\n'),
+    ("k\tv\tw\nq\t\t3\np\t4\t\n", ["--delimiter", "\\t", "SELECT k, v, w FROM t ORDER BY k"], "p,4,NULL\nq,NULL,3\n"),
+    ("k\tv\tw\nq\t\t3\np\t4\t\n", ["--tsv", "SELECT w IS NULL, k || v FROM t ORDER BY 1"], "0,NULL\n1,p4\n"),
+    (STOCK, ["--header", "SELECT shelf, qty / 10 AS tens FROM t ORDER BY sku DESC"], "shelf,tens\nB1,31\nNULL,7\nA3,14\n"),
+    ("u|v\n5|6\n", ["-H", "--delimiter", "|", "SELECT v - u, * FROM t"], "v - u,u,v\n1,5,6\n"),
+    (STOCK, ["--json", "SELECT sku, shelf, qty * 0.5 AS half FROM t WHERE qty < 200 ORDER BY qty"], '[{"sku":"nut","shelf":null,"half":37.5},{"sku":"bolt","shelf":"A3","half":70}]\n'),
+    ("only\n", ["--json", "SELECT only FROM t"], "[]\n"),
+    ("w\n-4.0\n0.125\n\n", ["--json", "SELECT w FROM t"], '[{"w":-4},{"w":0.125},{"w":null}]\n'),
+    ("p,q,r\n,,z\n", ["SELECT * FROM t"], "NULL,NULL,z\n"),
+    ("m\n8\n8\n", ["-H", 'SELECT count(*), m - 1 AS "less;, one" FROM t GROUP BY m'], 'count(*),"less;, one"\n2,7\n'),
+    ("m\n8\n", ["CREATE TABLE other (z)"], ""),
 ]
 
 
@@ -48,12 +49,12 @@ def test_codes(spark):
     assert code == 0 and "tabq" in err
     assert tool(spark, "")[0] == 1
     assert tool(spark, "a\n1\n", "--nope", "SELECT 1")[0] == 1
-    assert tool(spark, PEOPLE, "--json", "--header", "SELECT * FROM t")[0] == 1
-    assert tool(spark, PEOPLE, "--json", "--tsv", "SELECT * FROM t")[0] == 1
-    assert tool(spark, PEOPLE, "-d", "ab", "SELECT 1")[0] == 1
+    assert tool(spark, STOCK, "--json", "--header", "SELECT * FROM t")[0] == 1
+    assert tool(spark, STOCK, "--json", "--tsv", "SELECT * FROM t")[0] == 1
+    assert tool(spark, STOCK, "-d", "ab", "SELECT 1")[0] == 1
     assert tool(spark, "", "SELECT 1")[0] == 2
     assert tool(spark, 'a\n"x\n', "SELECT 1")[0] == 2
-    code, out, err = tool(spark, "a\n1\n", "SELECT * FROM nonexistent")
+    code, out, err = tool(spark, "a\n1\n", "SELECT * FROM nowhere")
     assert code == 3 and err.startswith("error:")
     assert tool(spark, "a\n9223372036854775807\n1\n", "SELECT sum(a) FROM t")[0] == 3
 

@@ -206,6 +206,21 @@ SELECT region, sum(id) AS s, sum(sum(id)) OVER (ORDER BY region) AS run FROM t G
 SELECT id, (SELECT name FROM t b WHERE b.id = a.id + 1 ORDER BY b.id LIMIT 1) FROM t a ORDER BY id
 SELECT id, (SELECT name FROM t b WHERE b.price < a.price AND b.id <> a.id ORDER BY b.price DESC, b.id DESC LIMIT 1) FROM t a ORDER BY id
 SELECT id, (SELECT k FROM u WHERE u.k > a.age ORDER BY k LIMIT 1) FROM t a ORDER BY id
+SELECT id, age IN (SELECT k FROM u), age NOT IN (SELECT k FROM u), age IN (SELECT k FROM u WHERE k > 1000), 3 IN (SELECT 3 UNION SELECT NULL) FROM t ORDER BY id
+SELECT id FROM t WHERE (age IN (SELECT k FROM u)) IS NULL ORDER BY id
+SELECT id FROM t WHERE NOT (age IN (SELECT k FROM u)) ORDER BY id
+SELECT id FROM t WHERE age IN (SELECT k FROM u) OR price > 50 ORDER BY id
+SELECT group_concat(DISTINCT status), group_concat(DISTINCT region) FROM t
+SELECT region, group_concat(DISTINCT age) FROM t GROUP BY region ORDER BY region
+SELECT group_concat(DISTINCT name) FILTER (WHERE id > 100) FROM t
+SELECT id, sum(age) OVER (ORDER BY age GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP), sum(age) OVER (ORDER BY age GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE TIES), count(age) OVER (ORDER BY age GROUPS BETWEEN 1 PRECEDING AND 1 PRECEDING EXCLUDE GROUP) FROM t ORDER BY id
+SELECT id, avg(age) OVER (PARTITION BY region ORDER BY age ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE TIES), total(age) OVER (ORDER BY age ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING EXCLUDE GROUP), sum(age) OVER (ORDER BY age ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING EXCLUDE CURRENT ROW) FROM t ORDER BY id
+SELECT id, count(*) OVER (ORDER BY region RANGE BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE GROUP), sum(id) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) FROM t ORDER BY id
+SELECT soundex('Robert'), soundex('Ashcraft'), soundex('Tymczak'), soundex(''), soundex('12'), soundex('a'), soundex(NULL)
+SELECT date('2023-02-31', '+1 day'), strftime('%j', '2023-02-30'), date('2023-02-32')
+WITH RECURSIVE c(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM c WHERE x < 20 ORDER BY 1 DESC) SELECT count(*), sum(x) FROM c
+WITH RECURSIVE c(x) AS (SELECT 0 UNION SELECT (x + 1) % 40 FROM c) SELECT count(*), max(x) FROM c
+SELECT 'row_number' || id, lag(id) OVER (ORDER BY id) FROM t ORDER BY id
 """.strip().splitlines()
 
 

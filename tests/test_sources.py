@@ -7,25 +7,26 @@ import pytest
 from tabq.errors import CsvError, SqlError, UsageError
 from tabq.sources import infer
 from tabq.sources.delimited import check_delimiter, read_delimited, with_rowid
-from tabq.sources.scanner import block_records, ends_inside, records
+from tabq.sources.scanner import Scanner, block_records, ends_inside, records, whole_line
 
 SCANS = [
-    ("a,b,c\n1,2,3\n", ",", [["a", "b", "c"], ["1", "2", "3"]]),
-    ('"hello, world",42\n', ",", [["hello, world", "42"]]),
-    ('"say ""hello""",done\n', ",", [['say "hello"', "done"]]),
-    ('id,text\n1,"line one\nline two"\n', ",", [["id", "text"], ["1", "line one\nline two"]]),
-    ("a,b\r\n1,2\r\n", ",", [["a", "b"], ["1", "2"]]),
-    (",middle,\n", ",", [["", "middle", ""]]),
-    ("x,y", ",", [["x", "y"]]),
-    ('"value"', ",", [["value"]]),
-    ('"",b\n', ",", [["", "b"]]),
-    ("", ",", []),
-    ("a|b|c\n1|2|3\n", "|", [["a", "b", "c"], ["1", "2", "3"]]),
-    ("name\tage\nAlice\t30\n", "\t", [["name", "age"], ["Alice", "30"]]),
-    ('a\n"ab"cd\n', ",", [["a"], ["abcd"]]),
-    ("a,b\nx\ry,1\n", ",", [["a", "b"], ["xy", "1"]]),
-    ('e"f,"g\rh"\r\n', ",", [['e"f', "g\rh"]]),
-    ("a\n\nb\n", ",", [["a"], [""], ["b"]]),
+    ("q,w\n7,8\n9,0\n", ",", [["q", "w"], ["7", "8"], ["9", "0"]]),
+    ('5,"left, right",\n', ",", [["5", "left, right", ""]]),
+    ('"""",""""""\n', ",", [['"', '""']]),
+    ('"up\n\ndown",k\n1,"a\rb"\n', ",", [["up\n\ndown", "k"], ["1", "a\rb"]]),
+    ("m;n\r\n\r\n3;4\r\n", ";", [["m", "n"], [""], ["3", "4"]]),
+    (";;\n", ";", [["", "", ""]]),
+    ("tail", ",", [["tail"]]),
+    ('h\n"end"', ",", [["h"], ["end"]]),
+    ('"","",""\n', ",", [["", "", ""]]),
+    ("", "|", []),
+    ('r|"s|t"|u\n', "|", [["r", "s|t", "u"]]),
+    ("é\tß\n\tø\n", "\t", [["é", "ß"], ["", "ø"]]),
+    ('"cl"osed,"no"t"e"\n', ",", [["closed", 'not"e"']]),
+    ("o\rne,t\r\rwo\n", ",", [["one", "two"]]),
+    ('5" pipe,"a\r"\r\n', ",", [['5" pipe', "a\r"]]),
+    ("\n\nz\n", ",", [[""], [""], ["z"]]),
+    ('\r"q,1"\r\r,2\n', ",", [["q,1", "2"]]),
 ]
 
 
@@ -65,6 +66,24 @@ def test_blocks_compose_to_the_whole_scan():
         assert got == want
 
 
+def test_fast_lines_are_those_of_the_scanner():
+    r = random.Random(8)
+    some = 0
+    for k in range(20_000):
+        d = r.choice(",;|^-]")
+        line = "".join(r.choice(["a", "b", d, d, '"', '"', "\r"] if k % 2 else ["a", d, '"', '""']) for _ in range(r.randrange(12)))
+        fast = whole_line(line, d)
+        if fast is not None:
+            some += 1
+            assert [fast] == list(records(line + "\n", d)), (line, d)
+        for inside in (False, True):
+            s = Scanner(d)
+            s.state = "quoted" if inside else "start"
+            list(s.feed(line + "\n"))
+            assert ends_inside([line], d, inside) == (s.state == "quoted"), (line, d, inside)
+    assert some > 5000
+
+
 def test_encode_and_scan_round_trip():
     r = random.Random(2)
     for _ in range(200):
@@ -104,7 +123,7 @@ def load(spark, tmp_path, text, **options):
 
 
 def test_load_rules(spark, tmp_path):
-    assert load(spark, tmp_path, "name,age\nAlice,30\nBob,25") == ([("name", "text"), ("age", "int")], [("Alice", 30), ("Bob", 25)])
+    assert load(spark, tmp_path, "bird,eggs\nwren,6\nowl,4") == ([("bird", "text"), ("eggs", "int")], [("wren", 6), ("owl", 4)])
     assert load(spark, tmp_path, "a,b\n1,2\n\n3,4\n")[1] == [(1, 2), (None, None), (3, 4)]
     assert load(spark, tmp_path, "a,b\n1\n1,2,3\n")[1] == [(1, None), (1, 2)]
     assert load(spark, tmp_path, b"\xef\xbb\xbfa\n1\n")[0] == [("a", "int")]
@@ -112,7 +131,7 @@ def test_load_rules(spark, tmp_path):
     assert load(spark, tmp_path, "a,b\n1,\n2,\n") == ([("a", "int"), ("b", "text")], [(1, None), (2, None)])
     assert load(spark, tmp_path, 'a,b\n"x","1\n2"\n"",3\n') == ([("a", "text"), ("b", "text")], [("x", "1\n2"), (None, "3")])
     assert load(spark, tmp_path, "a\n1_000\n0x10\n-0x1\ninf\n")[1] == [(1000.0,), (16.0,), (-1.0,), (float("inf"),)]
-    assert load(spark, tmp_path, "name|v\nA|9\nB|10\n", delimiter="|", infer=False)[1] == [("A", "9"), ("B", "10")]
+    assert load(spark, tmp_path, "part|v\nrim|12\nhub|3\n", delimiter="|", infer=False)[1] == [("rim", "12"), ("hub", "3")]
     assert load(spark, tmp_path, 'a"b\n1"2\n', delimiter='"')[0] == [("a", "int"), ("b", "int")]
     assert load(spark, tmp_path, "a,b\n") == ([("a", "text"), ("b", "text")], [])
     for text, message in (("", "empty input"), ('a\n"x\n', "row 2: unterminated"), ("a,,b\n", "row 1: empty column name")):
@@ -130,6 +149,21 @@ def test_cells_that_break_the_type_after_the_sample(spark, tmp_path):
     assert load(spark, tmp_path, "a\n" + ints + "abc\n", dirty="null")[1][-1] == (None,)
 
 
+def test_an_open_quote_is_bounded(spark, tmp_path, monkeypatch):
+    from tabq.sources import delimited
+
+    monkeypatch.setattr(delimited, "MAX_OPEN", 2000)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        with pytest.raises(CsvError, match="unterminated"):
+            load(spark, tmp_path, 'a,b\n1,"open\n' + "2,x\n" * 3000)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_quoted_text_over_block_edges(spark, tmp_path):
     """Small splits, so that records with line breaks lie over several blocks."""
     r = random.Random(3)
