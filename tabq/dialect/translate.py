@@ -6,7 +6,7 @@ import itertools
 from dataclasses import dataclass, field, replace
 
 from ..errors import SqlError
-from ..functions import scalar
+from ..functions import python, scalar
 from . import values as V
 from .parser import N, walk
 from .values import E, literal
@@ -424,8 +424,10 @@ class Translator:
     def table_function(self, n: N, scope: Scope) -> str:
         if n.name in ("json_each", "json_tree"):
             kinds = dict(key="text", value="json", type="text", atom="json", id="int", parent="int", fullkey="text", path="text")
-            doc = V.text(self.expr(n.args[0], scope)).sql
-            root = V.text(self.expr(n.args[1], scope)).sql if len(n.args) > 1 else "'$'"
+            given = [self.expr(a, scope) for a in n.args]
+            if all(isinstance(a.lit, str) for a in given):
+                return self.placed(self.json_values(n.name, *(a.lit for a in given)), n.alias or n.name, scope)
+            doc, root = V.text(given[0]).sql, V.text(given[1]).sql if len(given) > 1 else "'$'"
             alias = (n.alias or n.name).lower()
             own = f"{alias}__{next(self.names)}"
             cols = [Col(c, E(f"{V.name(own)}.{V.name(c)}", k)) for c, k in kinds.items()]
@@ -441,6 +443,21 @@ class Translator:
             return self.placed(q, n.alias or n.name, scope)
         raise SqlError(f"no such table-valued function: {n.name}")
 
+    def json_values(self, name: str, doc: str, root: str = "$") -> Query:
+        """The rows of a constant document; keys, values and atoms have their own type where all rows share it."""
+        try:
+            rows = list(python.json_rows(doc, root, name == "json_tree"))
+        except ValueError as e:
+            raise SqlError(str(e)) from None
+        heads, cols = ("key", "value", "type", "atom", "id", "parent", "fullkey", "path"), []
+        for i, c in enumerate(heads):
+            kinds = {type(r[i]) for r in rows if r[i] is not None}
+            kind = "int" if c in ("id", "parent") or kinds and kinds <= {int, bool} else "real" if kinds == {float} else "json" if c in ("value", "atom") and kinds != {str} else "text"
+            cols.append(Col(c, E(f"_c{i}", kind)))
+        cell = lambda v, k: f"cast(NULL as {V.SPARK[k]})" if v is None else V.cast_to(literal(int(v) if isinstance(v, bool) else v), k).sql if k in ("int", "real") else V.string(python.json_text(v))
+        body = ", ".join("(" + ", ".join(cell(v, c.e.type) for v, c in zip(r, cols)) + ")" for r in rows or [(None,) * 8])
+        return Query(f"SELECT * FROM VALUES {body} AS v({', '.join(f'_c{i}' for i in range(8))})" + ("" if rows else " WHERE false"), cols)
+
     def table_info(self, table: str) -> Query:
         t = self.tables.get(table.lower())
         kinds = {"int": "INTEGER", "real": "REAL", "text": "TEXT", "blob": "BLOB"}

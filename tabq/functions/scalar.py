@@ -7,6 +7,7 @@ import re
 from ..dialect import values as V
 from ..dialect.values import E, integer, literal, number, real, string, text, value
 from ..errors import SqlError
+from . import python
 
 UDF_PREFIX = "tabq_"
 
@@ -242,7 +243,20 @@ def json_quote(a: E) -> str:
     return f"coalesce({text(a).sql}, 'null')"
 
 
+def _constant(j: E, path: str) -> E | None:
+    """What a constant document has at a path, as the value it is; None if it has to be found when the query runs."""
+    try:
+        v = python.find(python._load(j.lit), path)
+    except ValueError:
+        return None
+    if v is None or v is python._MISSING:
+        return V.NULL
+    return literal(int(v) if isinstance(v, bool) else v) if isinstance(v, (bool, int, float, str)) else E(string(python._dump(v)), "json")
+
+
 def _json_extract(args):
+    if len(args) == 2 and isinstance(args[0].lit, str) and isinstance(args[1].lit, str) and (found := _constant(args[0], args[1].lit)) is not None:
+        return found
     if len(args) == 2:
         return E(f"get_json_object({text(args[0]).sql}, {text(args[1]).sql})", "json")
     parts = [f"coalesce({UDF_PREFIX}json_arrow({text(args[0]).sql}, {text(p).sql}), 'null')" for p in args[1:]]
@@ -263,6 +277,8 @@ def _path(p: E) -> str:
 def arrow(j: E, p: E, quoted: bool) -> E:
     if quoted:
         return E(f"{UDF_PREFIX}json_arrow({text(j).sql}, {_path(p)})", "text")
+    if isinstance(j.lit, str) and isinstance(p.lit, (str, int)) and (found := _constant(j, p.lit if isinstance(p.lit, str) and p.lit.startswith("$") else f"$[{p.lit}]" if isinstance(p.lit, int) and p.lit >= 0 else f"$.{p.lit}")) is not None:
+        return found
     return E(f"get_json_object({text(j).sql}, {_path(p)})", "json")
 
 
