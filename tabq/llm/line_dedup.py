@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, table
+from .common import checkpointed, free_name, slices, table
 
 MIN_SITES, SKETCH_BITS = 10, 10
 #: Lines whose estimate is within so many standard errors (and BAND sites at least) of the threshold are counted exactly.
@@ -102,13 +102,16 @@ def _strip(removed, text: str, first: bool, count: str):
     return run
 
 
-def remove_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, count: str = "_removed_lines") -> DataFrame:
-    """The rows of `docs`, all columns, without boilerplate lines; `count` has the number of lines removed.
+def remove_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, count: str | None = None) -> DataFrame:
+    """The rows of `docs`, all columns, without boilerplate lines; the last column has the number of lines removed.
+
+    It is named `count`; without a name, _removed_lines with as many underscores behind it as make it a new name.
 
     Lines are compared without blanks at their ends; blank lines stay. Null texts stay null. Rows without a site add no
     site, but lose boilerplate lines too. A line repeated within one site counts that site once. Empty tables stay empty.
     """
-    if count in docs.columns:
+    count = count or free_name(docs, "_removed_lines")
+    if count.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"a column is named {count}; pass another name for the count")
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{count}` long"
     for k, chunk in enumerate(_chunks(boilerplate(docs, text, site, min_sites))):
@@ -120,8 +123,8 @@ def line_report(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """doc_id, n_lines, n_removed, clean_sha256 for each row; see remove_lines. Null texts have no lines and the digest of the empty text."""
     rows = docs.select("doc_id", "text", "source").withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"))
     rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")))
-    out = remove_lines(rows, min_sites=min_sites)
-    return out.select("doc_id", "n_lines", F.col("_removed_lines").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
+    out = remove_lines(rows, min_sites=min_sites, count="n_removed")
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
 
 
 def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:

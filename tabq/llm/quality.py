@@ -201,7 +201,12 @@ def _kept(model: dict, column: str):
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose score is 0.5 or more."""
+    """The rows of `docs`, all columns, whose score is 0.5 or more (see `quality_scores`).
+
+    Null texts are judged as empty ones; equal texts and repeated rows stay or go alike, rows without an id too; no other
+    column is read, whatever its name. With no training labels every row stays, with bad ones only none does. An empty
+    table stays empty.
+    """
     return docs.mapInArrow(_kept(fit(docs, labels), "text"), docs.schema)
 
 

@@ -78,3 +78,49 @@ def test_stages(spark, tables, tmp_path):
     ran = corpus_pipeline.run(spark, d).collect()
     assert sorted((x.doc_id, x.shard) for x in ran) == sorted((x.doc_id, x.shard) for x in frame.collect())
     assert math.isclose(len(ran), len(ids))
+
+
+def odd_documents(spark, d, docs):
+    """Repeated rows, rows without an id or text, and columns with the names that the stages use inside."""
+    text = {i: t for i, t, *_ in docs}
+    rows = [(i, t, lang, s, n) for i, t, lang, s, n in docs[:120]]
+    rows += [rows[0], rows[0], (None, text[1], "en", "s1", 1), (None, text[1], "en", "s1", 1), (None, None, None, None, None), (777, "", "en", "s0", 0), (778, None, "en", None, None), (779, "word " * 40_000, "en", "s2", 0)]
+    wide = [(*r, "x", 1.5, 7, 8, 9, True) for r in rows]
+    names = "doc_id long, text string, lang string, source string, n_chars long, set_key string, score double, mark long, _key long, shard_ long, d boolean"
+    return rows, spark.createDataFrame(wide, names).repartition(3)
+
+
+def test_stages_on_odd_rows_and_columns(spark, tables, tmp_path):
+    d, docs, _, bench = tables
+    rows, frame = odd_documents(spark, d, docs)
+    columns, n = frame.columns, frame.count()
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, frame, d).write.parquet(f"{tmp_path}/odd{k}")
+        out = spark.read.parquet(f"{tmp_path}/odd{k}")
+        assert out.columns == (columns if name != "sharding" else [*columns, "shard"])
+        got = collections.Counter((x.doc_id, x.text) for x in out.collect())
+        before = collections.Counter((x.doc_id, x.text) for x in frame.collect())
+        if name in ("quality", "decontamination"):  # by text alone: all of a kind stay, or none
+            assert all(got[x] in (0, c) for x, c in before.items()) and set(got) <= set(before)
+        elif name == "near_duplicates":  # one of repeated rows, but rows without words all stay
+            assert all(c == 1 or not (x[1] or "").split() for x, c in got.items())
+            assert all(got[x] == c for x, c in before.items() if not (x[1] or "").split() and x[0] is None)
+        elif name == "mixing":
+            assert max(got.values()) <= 3 * max(before.values()) and set(got) <= set(before)
+        else:
+            assert got == before
+        frame = out
+
+
+def test_stages_on_empty_tables(spark, tables, tmp_path):
+    d, *_ = tables
+    none = spark.read.parquet(f"{d}/documents.parquet").filter("doc_id < 0")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, d)
+        assert out.count() == 0 and out.columns[:5] == none.columns
+    empty = f"{tmp_path}/empty"
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{d}/{t}.parquet").limit(0).write.parquet(f"{empty}/{t}.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+    docs = spark.read.parquet(f"{d}/documents.parquet")  # without labels or benchmark every document stays
+    assert corpus_pipeline.quality_stage(spark, docs, empty).count() == docs.count() == corpus_pipeline.decontamination_stage(spark, docs, empty).count()
