@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CsvError, UsageError
+from ..session import shared_dir
 from . import infer as I
-from .scanner import block_records, ends_inside, records
+from .scanner import block_records, ends_both, ends_inside, records
 
 ROWID = "__rowid"
 #: Characters of a record over block edges, which is put together by the driver; beyond that a quote is taken to be unterminated.
@@ -70,12 +72,16 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list
 
 
 def _quoted_cells(spark: SparkSession, path, delimiter: str) -> DataFrame:
-    """file, start, n, cells for each record of text with quotes; exact for quotes over line and block ends."""
+    """file, start, n, cells for each record of text with quotes; exact for quotes over line and block ends.
+
+    Records are parsed once, into Parquet in the shared folder: header, sample, type check and queries read them there.
+    """
     blocks = _blocks(_lines(spark, path))
 
     def states(batches):
         for f, s, lines in _grouped(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([s], pa.int64()), pa.array([ends_inside(lines, delimiter, False)]), pa.array([ends_inside(lines, delimiter, True)])], ["file", "start", "a", "b"])
+            a, b = ends_both(lines, delimiter)
+            yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([s], pa.int64()), pa.array([a]), pa.array([b])], ["file", "start", "a", "b"])
 
     inside: dict[tuple[str, int], bool] = {}
     files: dict[str, bool] = {}
@@ -93,7 +99,9 @@ def _quoted_cells(spark: SparkSession, path, delimiter: str) -> DataFrame:
             cells = rows + [[x] for x in (head, tail) if x is not None]
             yield pa.RecordBatch.from_arrays([pa.array([f] * len(cells)), pa.array([s] * len(cells), pa.int64()), pa.array(list(range(1, len(cells) + 1)), pa.int64()), pa.array(kinds, pa.int32()), pa.array(cells, pa.list_(pa.string()))], ["file", "start", "n", "kind", "cells"])
 
-    parsed = blocks.mapInArrow(read, "file string, start long, n long, kind int, cells array<string>")
+    there = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    blocks.mapInArrow(read, "file string, start long, n long, kind int, cells array<string>").write.parquet(there)
+    parsed = spark.read.parquet(there)
     whole = parsed.filter("kind = 0").drop("kind")
     if not any(inside.values()) and not any(files.values()):
         return whole

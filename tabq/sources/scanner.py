@@ -110,6 +110,18 @@ def ends_inside(lines: list[str], delimiter: str, inside: bool) -> bool:
     return inside
 
 
+def ends_both(lines: list[str], delimiter: str) -> tuple[bool, bool]:
+    """Whether the scanner is within quotes after these lines, from outside and from within; most often one line makes it the same."""
+    a, b = False, True
+    for i, line in enumerate(lines):
+        if '"' in line:
+            a, b = ends_inside([line], delimiter, a), ends_inside([line], delimiter, b)
+            if a == b:
+                a = ends_inside(lines[i + 1 :], delimiter, a)
+                return a, a
+    return a, b
+
+
 def block_records(lines: list[str], delimiter: str, inside: bool) -> tuple[str | None, list[list[str]], str | None]:
     """(text that completes the record begun before, whole records, text of a record left open)."""
     head, start = None, 0

@@ -7,7 +7,7 @@ import pytest
 from tabq.errors import CsvError, SqlError, UsageError
 from tabq.sources import infer
 from tabq.sources.delimited import check_delimiter, read_delimited, with_rowid
-from tabq.sources.scanner import Scanner, block_records, ends_inside, records, whole_line
+from tabq.sources.scanner import Scanner, block_records, ends_both, ends_inside, records, whole_line
 
 SCANS = [
     ("q,w\n7,8\n9,0\n", ",", [["q", "w"], ["7", "8"], ["9", "0"]]),
@@ -49,6 +49,7 @@ def test_blocks_compose_to_the_whole_scan():
         except CsvError:
             continue
         lines = text.split("\n")[:-1]
+        assert ends_both(lines, ",") == (ends_inside(lines, ",", False), ends_inside(lines, ",", True))
         got, inside, open_, at = [], False, None, 0
         while at < len(lines):
             n = r.randrange(1, 5)
