@@ -222,30 +222,35 @@ def signatures(rule: Rule, size: np.ndarray, flat: np.ndarray, hot: np.ndarray)
     return owner[use], flat[use], common[use]
 
 
+def _size_code(size: np.ndarray) -> np.ndarray:
+    """Sizes in steps of half a percent, rounded down."""
+    return np.floor(np.log(size) / np.log(1.005)).astype(np.uint16)
+
+
 def _signature_blocks(rule: Rule, buckets: int, hot):
-    """Blocks of shingles and sets by bucket: a rare shingle's sets go to one bucket, a common one's to any."""
+    """Blocks of shingles, sets and their sizes by bucket: a rare shingle's sets go to one bucket, a common one's to any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.frombuffer(hot.value, np.uint8)
         held: list[tuple[np.ndarray, ...]] = []
 
         def out():
-            sig, node, often = (np.concatenate(x) for x in zip(*held))
+            sig, node, code, often = (np.concatenate(x) for x in zip(*held))
             held.clear()
             spread = mixed(np.where(often, sig + node.view(np.uint64), sig) ^ GOLDEN) >> np.uint64(32)
             place = (spread * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) * 2 + often
             order = np.argsort(place, kind="stable")
-            place, sig, node = place[order], sig[order], node[order]
+            place, sig, node, code = place[order], sig[order], node[order], code[order]
             cuts = np.append(np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])), len(place)) if len(place) else np.zeros(1, np.int64)
             pieces = list(zip(cuts[:-1], cuts[1:]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(place[a]) >> 1 for a, _ in pieces], pa.int32()), pa.array([bool(place[a] & 1) for a, _ in pieces], pa.bool_()), *[pa.array([x[a:z].tobytes() for a, z in pieces], pa.binary()) for x in (sig, node)]],
-                ["bucket", "often", "sig", "node"],
+                [pa.array([int(place[a]) >> 1 for a, _ in pieces], pa.int32()), pa.array([bool(place[a] & 1) for a, _ in pieces], pa.bool_()), *[pa.array([x[a:z].tobytes() for a, z in pieces], pa.binary()) for x in (sig, node, code)]],
+                ["bucket", "often", "sig", "node", "code"],
             )
 
         for size, flat, keys in _distinct_sets(batches, rule.n):
             who, sig, often = signatures(rule, size, flat, common)
-            held.append((sig, _node(keys)[who], often))
+            held.append((sig, _node(keys)[who], _size_code(size)[who], often))
             if sum(len(x[0]) for x in held) > 500_000:
                 yield from out()
         if held:
@@ -254,23 +259,28 @@ def _signature_blocks(rule: Rule, buckets: int, hot):
     return run
 
 
-def _met(t: pa.Table) -> pa.Table:
-    """Per bucket: (shingle, set) where a rare shingle has two sets or more, and of all common shingles."""
-    parts = []
-    for often in (False, True):
-        rows = t.filter(pc.equal(t["often"], often))
-        sig, node = (np.frombuffer(b"".join(rows[c].to_pylist()), k) for c, k in (("sig", np.uint64), ("node", np.int64)))
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])  # a set of several partitions
-        sig, node = sig[new], node[new]
-        if not often and len(sig):
-            same = sig[1:] == sig[:-1]
-            keep = np.append(same, False) | np.append(False, same)
-            sig, node = sig[keep], node[keep]
-        parts.append(pa.table({"sig": pa.array(sig.view(np.int64)), "node": pa.array(node), "often": pa.array(np.full(len(sig), often))}))
-    return pa.concat_tables(parts)
+def _met(rule: Rule):
+    """Per bucket: (shingle, set) where a rare shingle has another set of a like size, and of all common shingles."""
+    apart = int(np.ceil(np.log(rule.den / rule.num) / np.log(1.005))) + 1
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = []
+        for often in (False, True):
+            rows = t.filter(pc.equal(t["often"], often))
+            sig, node, code = (np.frombuffer(b"".join(rows[c].to_pylist()), k) for c, k in (("sig", np.uint64), ("node", np.int64), ("code", np.uint16)))
+            order = np.lexsort((node, code, sig))
+            sig, node, code = sig[order], node[order], code[order].astype(np.int64)
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])  # a set of several partitions
+            sig, node, code = sig[new], node[new], code[new]
+            if not often and len(sig):
+                like = (sig[1:] == sig[:-1]) & (code[1:] - code[:-1] <= apart)
+                keep = np.append(like, False) | np.append(False, like)
+                sig, node = sig[keep], node[keep]
+            parts.append(pa.table({"sig": pa.array(sig.view(np.int64)), "node": pa.array(node), "often": pa.array(np.full(len(sig), often))}))
+        return pa.concat_tables(parts)
+
+    return run
 
 
 def _clusters(rule: Rule):
@@ -307,9 +317,13 @@ def _clusters(rule: Rule):
                 x, y = np.triu_indices(min(step, count[c] - k), 1, count[c] - k)
                 pairs(start[c] + k + x, start[c] + k + y)
         at, root = folded()
-        _, which, n = np.unique(root, return_inverse=True, return_counts=True)
-        key = mixed(mixed(sig[root].view(np.uint64)) + node[root].view(np.uint64)).view(np.int64)
-        return pa.table({"node": pa.array(node[at]), "cluster": pa.array(key), "n": pa.array(n[which].astype(np.int64) if len(at) else np.empty(0, np.int64))})
+        order = np.argsort(root, kind="stable")
+        at, root = at[order], root[order]
+        first = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]])) if len(root) else np.empty(0, np.int64)
+        n = np.diff(np.append(first, len(root)))
+        # a cluster is named by its sets: those that meet at many shingles are one cluster
+        key = mixed(np.add.reduceat(mixed(node[at].view(np.uint64)), first) + n.astype(np.uint64)).view(np.int64) if len(at) else np.empty(0, np.int64)
+        return pa.table({"node": pa.array(node[at]), "cluster": pa.array(np.repeat(key, n)), "n": pa.array(np.repeat(n, n).astype(np.int64))})
 
     return run
 
@@ -322,9 +336,11 @@ def regions(rule: Rule, met: DataFrame, reps: DataFrame) -> DataFrame:
     common = met.filter("often").select("node", F.col("sig").alias("cluster"))
     counted = common.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1")
     common = common.join(counted, "cluster").select("node", "cluster", "n")
-    rows = checkpointed(found.unionByName(common))
-    homes = rows.groupBy("node").agg(F.max(F.struct("n", "cluster")).alias("m")).select("node", F.col("m.cluster").alias("home"))
-    rows = checkpointed(rows.select("node", "cluster").join(homes, "node").join(reps.select("node", F.col("n_shingles").alias("size")), "node"))
+    # a row a set: its clusters, each once, of which the largest is its home
+    of_set = found.unionByName(common).groupBy("node").agg(F.collect_set(F.struct("n", "cluster")).alias("c"))
+    of_set = of_set.select("node", F.array_max("c")["cluster"].alias("home"), F.transform("c", lambda x: x["cluster"]).alias("clusters"))
+    of_set = checkpointed(of_set.join(reps.select("node", F.col("n_shingles").alias("size")), "node"))
+    homes, rows = of_set.select("node", "home"), of_set.select("node", "home", "size", F.explode("clusters").alias("cluster"))
     # clusters with sets of several homes: each is a guest of the other homes
     there = rows.groupBy("cluster", F.col("home").alias("region")).agg(F.min("size").alias("least"), F.max("size").alias("most"))
     several = there.groupBy("cluster").agg(F.collect_list(F.struct("region", "least", "most")).alias("homes")).filter(F.size("homes") > 1)
@@ -439,15 +455,18 @@ class Cells:
             common = np.stack([self.common(int(p), members, index) for p in pivots], 1)
             distance = 1 - common / (self.size[members][:, None] + self.size[pivots][None, :] - common)
             nearest = distance.min(1)
-            cell = distance[: len(home)].argmin(1)
+            # a set that shares nothing with any pivot is as far from all: such sets are a cell of their own, the last
+            cell = np.where(nearest[: len(home)] < 1, distance[: len(home)].argmin(1), k)
             # a partner of a home set of cell p lies within the cell's radius and the link distance of p, and no
             # farther from p than from its own nearest pivot by over twice the link distance
+            reach = self.rule.reach + 1e-9
             radius = np.array([distance[: len(home)][cell == j, j].max(initial=-1.0) for j in range(k)])
-            window = (distance <= nearest[:, None] + 2 * self.rule.reach + 1e-9) & (distance <= radius[None, :] + self.rule.reach + 1e-9)
+            window = (distance <= nearest[:, None] + 2 * reach) & (distance <= radius[None, :] + reach)
+            window = np.concatenate([window, (nearest >= 1 - reach)[:, None]], 1)
             window[np.arange(len(home)), cell] = True
             if window.sum() < 3 * len(members) and window.sum(0).max() < 0.8 * len(members):
-                made = k
-                for j in range(k):
+                made = k + 1
+                for j in range(k + 1):
                     own = np.flatnonzero(cell == j)
                     if len(own):
                         other = window[:, j].copy()
@@ -588,8 +607,8 @@ def _solved(docs: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
     total = reps.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("s")).first().s
     buckets = max(12, int(total * rule.reach) // BUCKET_SIGNATURES + 1)
     present = rows.filter("doc_id IS NOT NULL").select("text")
-    blocks = present.mapInArrow(_signature_blocks(rule, buckets, hot), "bucket int, often boolean, sig binary, node binary")
-    met = checkpointed(blocks.groupBy("bucket").applyInArrow(_met, "sig long, node long, often boolean"))
+    blocks = present.mapInArrow(_signature_blocks(rule, buckets, hot), "bucket int, often boolean, sig binary, node binary, code binary")
+    met = checkpointed(blocks.groupBy("bucket").applyInArrow(_met(rule), "sig long, node long, often boolean"))
     members = regions(rule, met, reps)
     joined = checkpointed(_linked(rule, present, members, reps))
     links = joined.groupBy("set_key").agg(F.sum("links").alias("links"))

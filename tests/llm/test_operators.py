@@ -629,45 +629,54 @@ def test_jaccard_join_recursion_is_exact(monkeypatch):
     assert got == want
 
 
-def test_jaccard_join_on_documents_makes_regions_and_cells(spark):
-    """On the tables' documents: homes and guests, windows around the homes' union, Voronoi cells of documents in a region."""
+@pytest.mark.parametrize("which", ["documents", "near copies"])
+def test_jaccard_join_makes_regions_and_cells(spark, monkeypatch, which):
+    """Homes and guests, windows around the homes' union, Voronoi cells of documents: on the tables' documents, and on many near copies."""
     import os
 
-    d = "/root/testdata/sf0.01"
+    import pyarrow as pa
+
+    d = "/root/testdata/sf0.1"
     if not os.path.isdir(d):
         pytest.skip("no tables here")
     rule = jaccard_join.Rule()
-    texts = [r.text for r in spark.read.parquet(f"{d}/documents.parquet").select("text").distinct().collect()]
-    import pyarrow as pa
-
+    texts = [r.text for r in spark.read.parquet(f"{d}/documents.parquet").select("text").distinct().collect()] if which == "documents" else sorted({t for _, t, _ in near_copies() if t and t != "A"})
     ends, flat = jaccard_join.shingle_sets(pa.array(texts, pa.string()), rule.n)
-    size, sets = np.diff(ends), [flat[a:z] for a, z in zip(ends[:-1], ends[1:])]
-    keys = jaccard_join.set_keys(ends, flat)
+    size, keys = np.diff(ends), jaccard_join.set_keys(ends, flat)
     node = jaccard_join._node(keys)
     at = {int(x): k for k, x in enumerate(node)}
     who, sig, often = jaccard_join.signatures(rule, size, flat, np.zeros(jaccard_join.SKETCH_SLOTS // 8, np.uint8))
     assert not often.any() and (np.bincount(who, minlength=len(size)) == np.minimum(rule.prefix(size), size)).all()
-    count = collections.Counter(sig.tolist())
-    met = spark.createDataFrame([(int(np.uint64(s).view(np.int64)), int(node[w]), False) for w, s in zip(who, sig) if count[int(s)] > 1], "sig long, node long, often boolean")
+    _, cell, count = np.unique(sig, return_inverse=True, return_counts=True)
+    met = spark.createDataFrame([(int(s), int(node[w]), False) for s, w in zip(sig.view(np.int64)[count[cell] > 1], who[count[cell] > 1])], "sig long, node long, often boolean")
     reps = spark.createDataFrame([(int(x), int(n), bytearray(p)) for x, n, p in zip(node, size, jaccard_join.profiles(size, flat))], "node long, n_shingles long, profile binary")
     got = jaccard_join.regions(rule, met, reps).collect()
-    homes = {r.node: r.region for r in got if r.home}
+    homes = {at[r.node]: r.region for r in got if r.home}
+    there = {(at[r.node], r.region) for r in got}
+    assert len(set(homes.values())) > (200 if which == "documents" else 5) and len(there) == len(got)
+    assert which == "documents" or sum(not r.home for r in got) > 10
+    some = sorted(homes)
+    sets = [flat[ends[x] : ends[x + 1]] for x in some]
+
+    def links(leaf):
+        monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+        out = set()
+        made = jaccard_join.Cells(rule, sets).join(np.arange(len(sets)), np.arange(0), lambda x, ys: out.update((some[x], some[y]) for y in ys))
+        return made, out
+
+    none, plain = links(1 << 40)
+    made, found = links(jaccard_join.MAX_PIVOTS)
+    assert none == 0 and found == plain and len(plain) > 20
     union = collections.defaultdict(set)
     for x, region in homes.items():
-        union[region] |= set(sets[at[x]].tolist())
-    there = {(r.node, r.region) for r in got}
-    links = [(i, j) for i in range(len(sets)) for j in range(i) if size[j] * 100 >= size[i] * 85 and size[i] * 100 >= size[j] * 85 and rule.linked(np.array(len(np.intersect1d(sets[i], sets[j], assume_unique=True))), size[i], size[j])] if len(sets) < 1500 else []
-    assert links
-    for i, j in links:  # each partner is in the other's home region, within the link distance of its pivot
-        for a, b in ((i, j), (j, i)):
-            region = homes[int(node[a])]
-            assert (int(node[b]), region) in there
-            assert 100 * len(union[region] & set(sets[b].tolist())) >= 85 * size[b]
-    # documents as pivots: the near copies of a table cut into Voronoi cells, with the links of a plain comparison
-    near = sorted({x for e in links for x in e})
-    cells, found = jaccard_join.Cells(rule, [sets[x] for x in near]), set()
-    made = cells.join(np.arange(len(near)), np.arange(0), lambda x, ys: found.update((near[x], near[y]) for y in ys))
-    assert made > 1 and found == {e for i, j in links for e in ((i, j), (j, i))}
+        union[region] |= set(flat[ends[x] : ends[x + 1]].tolist())
+    for a, b in plain:  # each partner is in the other's home region, within the link distance of its pivot
+        assert (b, homes[a]) in there and 100 * len(union[homes[a]].intersection(flat[ends[b] : ends[b + 1]].tolist())) >= 85 * size[b]
+    # clusters of documents that do part: the most linked ones and a few of their neighbours
+    near = [x for x, _ in collections.Counter(a for a, _ in plain).most_common(60)]
+    cells, out = jaccard_join.Cells(rule, [flat[ends[x] : ends[x + 1]] for x in near]), set()
+    made = cells.join(np.arange(len(near)), np.arange(0), lambda x, ys: out.update((near[x], near[y]) for y in ys))
+    assert (made > 1 or which != "documents") and out == {(a, b) for a, b in plain if a in near and b in near}
 
 
 def test_jaccard_join_cost_does_not_follow_the_buckets(spark):
