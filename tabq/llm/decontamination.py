@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, mixed, slices, stored, table
+from .common import GOLDEN, lean, mixed, slices, stored, table
 
 SEED_WORDS, COVERAGE = 5, 0.8
 #: Benchmark text indexed and broadcast at once; a larger benchmark is taken in chunks, each against all documents.
@@ -258,7 +258,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         # numbered once and written, so that each chunk sees the same numbers; ids may be null or repeated
         rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
     kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "text")
-    parts = [rows.mapInArrow(_matches(b), f"{kinds}, contaminated boolean, coverage double, best_item long, items array<long>") for b in sent]
+    parts = [rows.mapInArrow(lean(_matches(b)), f"{kinds}, contaminated boolean, coverage double, best_item long, items array<long>") for b in sent]
     out = parts[0]
     if len(sent) > 1:
         # a row of each chunk for each document row: the best of them, and all items
@@ -286,7 +286,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts stay. An empty table, or an empty benchmark, changes nothing. No other column is read, whatever its name.
     """
     for index in benchmark_chunks(benchmark):
-        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+        docs = docs.mapInArrow(lean(_clean(docs.sparkSession.sparkContext.broadcast(index))), docs.schema)
     return docs
 
 

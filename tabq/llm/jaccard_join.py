@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, checkpointed, free_name, grams, hashed, mixed, slices, stored, table, words
+from .common import GOLDEN, checkpointed, free_name, grams, hashed, lean, lean_group, mixed, slices, stored, table, words
 from .components import components, local_roots
 
 #: Sets that are compared one by one; document pivots of larger cells.
@@ -332,7 +332,7 @@ def regions(rule: Rule, met: DataFrame, reps: DataFrame) -> DataFrame:
     """(region, node, home) for the sets that may have a link: their home region, and those where they are guests."""
     cold = met.filter("NOT often").join(reps.select("node", F.col("n_shingles").alias("size"), "profile"), "node")
     parts = max(12, met.count() // PART_ROWS + 1)
-    found = cold.withColumn("part", F.pmod(F.xxhash64("sig"), F.lit(parts))).groupBy("part").applyInArrow(_clusters(rule), "node long, cluster long, n long")
+    found = cold.withColumn("part", F.pmod(F.xxhash64("sig"), F.lit(parts))).groupBy("part").applyInArrow(lean_group(_clusters(rule)), "node long, cluster long, n long")
     common = met.filter("often").select("node", F.col("sig").alias("cluster"))
     counted = common.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1")
     common = common.join(counted, "cluster").select("node", "cluster", "n")
@@ -568,7 +568,7 @@ def _large(rule: Rule, part: DataFrame) -> DataFrame:
     reached = F.flatten(F.transform(F.filter("window", lambda c: F.map_contains_key("blocks", c)), lambda c: F.transform(F.sequence(F.lit(0), F.element_at("blocks", c) - 1), lambda k: place(c, k).cast("long"))))
     d = d.select("region", "set_key", "node", "copies", "home", "size", "shingles", "block", F.explode(reached).alias("other"))
     pair = d.withColumn("pair", F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")))
-    return pair.groupBy("pair").applyInArrow(_each(rule, "pair", False), _JOINED)
+    return pair.groupBy("pair").applyInArrow(lean_group(_each(rule, "pair", False)), _JOINED)
 
 
 def _linked(rule: Rule, present: DataFrame, members: DataFrame, reps: DataFrame) -> DataFrame:
@@ -579,7 +579,7 @@ def _linked(rule: Rule, present: DataFrame, members: DataFrame, reps: DataFrame)
     while bits < min(MAX_FILTER_BITS, 24 * n_nodes):
         bits *= 2
     passed = spark.sparkContext.broadcast(node_filter(members, bits))
-    sets = stored(present.mapInArrow(_fetched(rule, passed, bits), "set_key binary, shingles array<bigint>"))
+    sets = stored(present.mapInArrow(lean(_fetched(rule, passed, bits)), "set_key binary, shingles array<bigint>"))
     large = checkpointed(members.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > REGION_SETS))
     any_large = not large.isEmpty()
     rows = members.join(reps.select("node", "set_key", "copies", "n_shingles"), "node")
@@ -587,7 +587,7 @@ def _linked(rule: Rule, present: DataFrame, members: DataFrame, reps: DataFrame)
     shingles = reps.join(members, "node").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     batches = max(12, int(shingles) // BATCH_SHINGLES + 1)
     small = small.select("set_key", "node", "copies", "home", F.col("n_shingles").alias("size"), "shingles", "region", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("other"))
-    out = small.withColumn("batch", F.pmod(F.xxhash64("region"), F.lit(batches))).groupBy("batch").applyInArrow(_each(rule, "region", True), _JOINED)
+    out = small.withColumn("batch", F.pmod(F.xxhash64("region"), F.lit(batches))).groupBy("batch").applyInArrow(lean_group(_each(rule, "region", True)), _JOINED)
     return out.unionByName(_large(rule, sets.join(rows.join(large.select("region"), "region", "left_semi"), "set_key"))) if any_large else out
 
 
@@ -596,7 +596,7 @@ def _solved(docs: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
     spark = docs.sparkSession
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("text_hash"))
-    both = checkpointed(rows.mapInArrow(_described(rule.n), _DESCRIBED))
+    both = checkpointed(rows.mapInArrow(lean(_described(rule.n)), _DESCRIBED))
     described = both.filter("part IS NULL").select("doc_id", "text_hash", "n_shingles", "set_key")
     sketch = np.zeros((SKETCH_PARTS, SKETCH_SLOTS // SKETCH_PARTS // 8), np.uint8)
     for r in both.filter("part IS NOT NULL").select("part", "hits").groupBy("part").applyInArrow(_hot_part, "part int, bits binary").collect():  # SKETCH_PARTS rows
@@ -607,8 +607,8 @@ def _solved(docs: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
     total = reps.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("s")).first().s
     buckets = max(12, int(total * rule.reach) // BUCKET_SIGNATURES + 1)
     present = rows.filter("doc_id IS NOT NULL").select("text")
-    blocks = present.mapInArrow(_signature_blocks(rule, buckets, hot), "bucket int, often boolean, sig binary, node binary, code binary")
-    met = checkpointed(blocks.groupBy("bucket").applyInArrow(_met(rule), "sig long, node long, often boolean"))
+    blocks = present.mapInArrow(lean(_signature_blocks(rule, buckets, hot)), "bucket int, often boolean, sig binary, node binary, code binary")
+    met = checkpointed(blocks.groupBy("bucket").applyInArrow(lean_group(_met(rule)), "sig long, node long, often boolean"))
     members = regions(rule, met, reps)
     joined = checkpointed(_linked(rule, present, members, reps))
     links = joined.groupBy("set_key").agg(F.sum("links").alias("links"))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, held_out, slices, table, words
+from .common import checkpointed, held_out, lean, slices, table, words
 from .sampling import labelled_ids, labelled_sample
 
 MODULUS, REMAINDER = 3, 1
@@ -130,7 +130,7 @@ def threshold(docs: DataFrame, y: DataFrame, train: Column, w: np.ndarray) -> fl
     Texts are not shuffled, only strengths; the driver sees a row a partition. There are rows of both classes.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull()).filter(train)
-    scored = texts.mapInArrow(_strengths(w), "doc_id long, s double").join(y, "doc_id").select("s", "y")
+    scored = texts.mapInArrow(lean(_strengths(w)), "doc_id long, s double").join(y, "doc_id").select("s", "y")
     place = F.monotonically_increasing_id()  # of a sorted frame: the partition above bit 33, the row in it below
     ranked = checkpointed(scored.sort("s")).withColumn("place", place)
     ranked = ranked.select("s", "y", F.shiftright("place", 33).cast("int").alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("at"))
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     """weights and scale from a sample, threshold from all training rows; a labelled class that is missing gives a model that scores all alike."""
     train = F.coalesce(~held_out("doc_id", MODULUS, REMAINDER), F.lit(True))
     sample, _ = labelled_sample(docs, labels, "quality", train, per_class, SEED)
-    rows = sample.mapInArrow(_collected, "doc_id long, y int, x array<double>").collect()  # at most 2 * per_class rows of N_FEATURES numbers
+    rows = sample.mapInArrow(lean(_collected), "doc_id long, y int, x array<double>").collect()  # at most 2 * per_class rows of N_FEATURES numbers
     rows.sort(key=lambda r: (r.doc_id, r.y, r.x))
     x, y = np.array([r.x for r in rows]).reshape(len(rows), N_FEATURES), np.array([r.y for r in rows])
     if not len(rows) or y.min() == y.max():
@@ -183,7 +183,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     model = fit(docs, labels)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_scores(model), f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
+    out = rows.mapInArrow(lean(_scores(model)), f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
     return out.select("doc_id", held_out("doc_id", MODULUS, REMAINDER).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -207,7 +207,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
     column is read, whatever its name. With no training labels every row stays, with bad ones only none does. An empty
     table stays empty.
     """
-    return docs.mapInArrow(_kept(fit(docs, labels), "text"), docs.schema)
+    return docs.mapInArrow(lean(_kept(fit(docs, labels), "text")), docs.schema)
 
 
 def op6_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
