@@ -29,6 +29,7 @@ class Source:
     cols: list[Col]
     rowid: str | None = None
     hidden: set[str] = field(default_factory=set)  # dropped from * by USING
+    table: bool = False  # a registered relation
 
 
 @dataclass
@@ -70,6 +71,8 @@ class Translator:
     def __init__(self, tables: dict[str, Table], recurse=None):
         self.tables, self.recurse = tables, recurse
         self.ctes: list[dict[str, Query | N]] = [{}]
+        #: whether a row was picked by min() or max() without row numbers, which decide between equal ones
+        self.open_ties = False
         self.names = itertools.count()
         self.plain_in = False  # where NULL and false are alike: in the conjuncts and disjuncts of a condition
         self.agg = None  # in an aggregating core: (group expressions, how a bare column is read)
@@ -302,7 +305,14 @@ class Translator:
                 held, self.agg = self.agg, None
                 by = V.typed(self.expr(x.args[0], scope)).sql
                 self.agg = held
-                return replace(e, sql=f"if(count({by}) = 0, any_value({e.sql}), {x.name}_by({e.sql}, {by}))")
+                ids = [s.rowid for s in scope.sources if s.rowid]
+                if not ids:
+                    self.open_ties |= any(s.table for s in scope.sources)
+                    return replace(e, sql=f"if(count({by}) = 0, any_value({e.sql}), {x.name}_by({e.sql}, {by}))")
+                # the first row of equal ones; the last where the argument is NULL in all
+                sign, rows = "-" if x.name == "max" else "", f"struct({', '.join(ids)})"
+                key = f"if({by} IS NULL, NULL, struct({', '.join([by] + [sign + i for i in ids])}))"
+                return replace(e, sql=f"if(count({by}) = 0, max_by({e.sql}, {rows}), {x.name}_by({e.sql}, {key}))")
 
             return read
         rowid = next((s.rowid for s in scope.sources if s.rowid), None)
@@ -408,7 +418,7 @@ class Translator:
         alias = (n.alias or n.name).lower()
         own = f"{alias}__{next(self.names)}"
         cols = [Col(c, E(f"{V.name(own)}.{V.name(c)}", k, k)) for c, k in t.cols]
-        scope.sources.append(Source(alias, cols, f"{V.name(own)}.{ROWID}" if t.rowid else None))
+        scope.sources.append(Source(alias, cols, f"{V.name(own)}.{ROWID}" if t.rowid else None, table=True))
         return f"{V.name(t.view)} AS {V.name(own)}"
 
     def ddl(self, table: str) -> str:

@@ -13,11 +13,11 @@ from pyspark.sql import types as T
 
 from .dialect import values as V
 from .dialect.parser import N, parse, walk
-from .dialect.translate import ROWID, ROWIDS, Col, Query, Scope, Source, Table, Translator
+from .dialect.translate import ROWIDS, Col, Query, Scope, Source, Table, Translator
 from .errors import SqlError, TabqError
 from .functions import python
 from .session import checkpointed, pin
-from .sources.delimited import read_delimited, with_rowid
+from .sources.delimited import read_delimited, with_file_rowid, with_rowid
 
 _fresh = itertools.count()
 MAX_ROUNDS, COMPACT = 100_000, 12
@@ -82,6 +82,8 @@ class Engine:
         self.spark = pin(spark)
         self.frames: dict[str, DataFrame] = {}
         self._views: dict[tuple[str, bool], Table] = {}
+        #: relations read from files that number their rows, as read
+        self._files: dict[str, DataFrame] = {}
         if not getattr(spark, "_tabq_functions", False):
             python.register(spark)
             spark._tabq_functions = True
@@ -91,6 +93,7 @@ class Engine:
     def register(self, name: str, df: DataFrame) -> "Engine":
         key = name.lower()
         self.frames[key] = _normal(df)
+        self._files.pop(key, None)
         self._views = {k: v for k, v in self._views.items() if k[0] != key}
         return self
 
@@ -98,13 +101,17 @@ class Engine:
         return self.register(name, read_delimited(self.spark, path, delimiter, infer, dirty, quotes).df)
 
     def parquet(self, path, name: str = "t") -> "Engine":
-        return self.register(name, self.spark.read.parquet(path))
+        df = self.spark.read.parquet(path)
+        self.register(name, df)._files[name.lower()] = df
+        return self
 
     def _table(self, name: str, rowid: bool) -> Table:
         if (name, rowid) not in self._views:
             df = self.frames[name]
             view = f"tabq_{next(_fresh)}"
-            (with_rowid(df, ROWID) if rowid else df).createOrReplaceTempView(view)
+            if rowid:
+                numbered = with_file_rowid(self._files[name], _normal) if name in self._files else with_rowid(df)
+            (numbered if rowid else df).createOrReplaceTempView(view)
             self._views[name, rowid] = Table(view, [(f.name, _kind(f.dataType)) for f in df.schema.fields], rowid)
         return self._views[name, rowid]
 
@@ -129,9 +136,9 @@ class Engine:
         df = self.sql(query)
         return "" if df is None else df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
-    def _translator(self, tree: N) -> Translator:
+    def _translator(self, tree: N, rowid: bool = False) -> Translator:
         # row numbers cost a count of rows a partition, so only queries that may need them get them
-        rowid = needs_rowid(tree)
+        rowid = rowid or needs_rowid(tree)
         return Translator({n: self._table(n, rowid) for n in self.frames}, self._recurse)
 
     def _compat(self, query: str) -> DataFrame | None:
@@ -147,7 +154,8 @@ class Engine:
                 return None
             return self._frame(tr.table_info(tree.arg or ""))
         if tree.kind == "select":
-            return self._frame(tr.query(tree))
+            q = tr.query(tree)
+            return self._frame(self._translator(tree, rowid=True).query(tree) if tr.open_ties else q)
         q = self._changed(tree, tr)
         return None if q is None else self._frame(q)
 
@@ -251,7 +259,7 @@ class Engine:
     def pipe(self, queries: Sequence[str], name: str = "t", mode: str = "compat", reparse: bool = False) -> DataFrame | None:
         """Each query's result is the next one's `name`: one lazy plan. `reparse` infers types anew from the printed text, as a chain of processes would."""
         inner, out = Engine(self.spark), None
-        inner.frames = dict(self.frames)
+        inner.frames, inner._files = dict(self.frames), dict(self._files)
         for k, q in enumerate(queries):
             if k:
                 inner.register(name, _reparsed(out) if reparse else out)

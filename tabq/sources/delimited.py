@@ -49,6 +49,20 @@ def with_rowid(df: DataFrame, name: str = ROWID) -> DataFrame:
     return out.drop("__m", "__p", "__o")
 
 
+def with_file_rowid(df: DataFrame, normal, name: str = ROWID) -> DataFrame:
+    """A dense 1-based number by file name and place in the file, for a frame of Parquet files, after `normal`; a row a file comes to the driver."""
+    meta = df.metadataColumn("_metadata")
+    marked = normal(df.select("*", meta["file_path"].alias("__f"), meta["row_index"].alias("__m")))
+    offsets, total = [], 0
+    for f, n in sorted((r[0], r[1]) for r in marked.groupBy("__f").count().collect()):
+        offsets.append((f, total))
+        total += n
+    if len(offsets) <= 1:
+        return marked.withColumn(name, F.col("__m") + 1).drop("__f", "__m")
+    o = F.broadcast(df.sparkSession.createDataFrame(offsets, "__p string, __o long"))
+    return marked.join(o, F.col("__f") == F.col("__p")).withColumn(name, F.col("__o") + F.col("__m") + 1).drop("__f", "__m", "__p", "__o")
+
+
 def _lines(spark: SparkSession, path) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path)
 

@@ -302,3 +302,25 @@ def test_pipe(both):
     qs = ["SELECT region, sum(price) AS s FROM t GROUP BY region", "SELECT count(*) AS n, typeof(region) AS k FROM t WHERE s > 0"]
     assert tuple(e.pipe(qs).first()) == (3, "text")
     assert e.pipe(["SELECT age FROM t", "SELECT count(*) FROM t WHERE age = 'NULL'"], reparse=True).first()[0] == 1
+
+
+def test_equal_extremes_give_the_first_row(spark, tmp_path):
+    rows = [(k, (k * 7) % 5, None if k % 5 == 3 or (k * 7) % 5 == 4 else k % 3) for k in range(200)]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE t (id INTEGER, g INTEGER, x INTEGER)")
+    db.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
+    # two files; the larger one, which Spark reads first, comes second by name
+    for at, part in (("a", rows[:60]), ("b", rows[60:])):
+        frame = spark.createDataFrame(part, "id long, g long, x long").coalesce(1)
+        frame.write.mode("append").parquet(f"{tmp_path}/{at}")
+    (tmp_path / "t").mkdir()
+    for at in "ab":
+        (file,) = (tmp_path / at).glob("*.parquet")
+        file.rename(tmp_path / "t" / f"{at}.parquet")
+    e = Engine(spark).parquet(str(tmp_path / "t"))
+    f = Engine(spark).register("t", spark.createDataFrame(rows, "id long, g long, x long"))
+    for q in ("SELECT g, id, max(x) FROM t GROUP BY g", "SELECT min(x), g, id FROM t GROUP BY g", "SELECT id, max(x) FROM t"):
+        want = sorted(db.execute(q).fetchall(), key=repr)
+        assert sorted((tuple(r) for r in e.sql(q).collect()), key=repr) == want
+        assert sorted((tuple(r) for r in f.sql(q).collect()), key=repr) == want
+    assert "rowid" not in e.explain("SELECT g, max(x) FROM t GROUP BY g")
