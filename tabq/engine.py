@@ -7,7 +7,7 @@ import re
 from collections.abc import Sequence
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,15 +58,20 @@ def _kind(t: T.DataType) -> str:
     return "blob" if isinstance(t, T.BinaryType) else "text"
 
 
+def _moment_text(c: Column, pattern: str) -> Column:
+    """ISO text; Spark writes a sign before years beyond 9999."""
+    return F.ltrim(F.date_format(c, pattern), F.lit("+"))
+
+
 def _normal(df: DataFrame) -> DataFrame:
     """bigint, double, string and binary columns: the dialect's types. Moments become ISO text, nested values JSON."""
     cols = []
     for f in df.schema.fields:
         c, t = F.col(f"`{f.name.replace('`', '``')}`"), f.dataType
         if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+            c = _moment_text(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(t, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
+            c = _moment_text(c, "yyyy-MM-dd")
         elif isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
             c = F.to_json(c)
         elif not isinstance(t, (T.LongType, T.DoubleType, T.StringType, T.BinaryType)):

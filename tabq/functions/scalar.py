@@ -374,9 +374,14 @@ def moment(args: list[E]) -> str:
     return ts
 
 
+def _dated(pattern: str) -> str:
+    """Text that begins with a year; Spark writes a sign before years beyond 9999."""
+    return f"trim(LEADING '+' FROM date_format({{t}}, '{pattern}'))"
+
+
 _DAY = "cast(unix_micros({t}) as double) / 86400000000D + 2440587.5D"
 _DIRECTIVES = {
-    "Y": "lpad(cast(year({t}) as string), 4, '0')",
+    "Y": _dated("yyyy"),
     "m": "lpad(cast(month({t}) as string), 2, '0')",
     "d": "lpad(cast(day({t}) as string), 2, '0')",
     "e": "lpad(cast(day({t}) as string), 2, ' ')",
@@ -393,7 +398,7 @@ _DIRECTIVES = {
     "s": "cast(unix_timestamp({t}) as string)",
     "p": "date_format({t}, 'a')",
     "P": "lower(date_format({t}, 'a'))",
-    "F": "date_format({t}, 'yyyy-MM-dd')",
+    "F": _dated("yyyy-MM-dd"),
     "R": "date_format({t}, 'HH:mm')",
     "T": "date_format({t}, 'HH:mm:ss')",
     "W": "lpad(cast((dayofyear({t}) + 6 - pmod(dayofweek({t}) + 5, 7)) div 7 as string), 2, '0')",
@@ -430,7 +435,7 @@ def _strftime(args):
 
 
 def _formatted(pattern: str):
-    return lambda args: E(f"date_format({moment(args)}, '{pattern}')", "text")
+    return lambda args: E(_dated(pattern).format(t=moment(args)), "text")
 
 
 FUNCTIONS = {

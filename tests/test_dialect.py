@@ -324,3 +324,10 @@ def test_equal_extremes_give_the_first_row(spark, tmp_path):
         assert sorted((tuple(r) for r in e.sql(q).collect()), key=repr) == want
         assert sorted((tuple(r) for r in f.sql(q).collect()), key=repr) == want
     assert "rowid" not in e.explain("SELECT g, max(x) FROM t GROUP BY g")
+
+
+def test_years_beyond_9999_have_no_sign(spark):
+    day = 253402300800  # the first second of year 10000
+    e = Engine(spark).register("t", spark.sql(f"SELECT timestamp_seconds({day}L + 5) AS m, cast(timestamp_seconds({day}L) as date) AS d, {day}L AS s"))
+    got = tuple(e.sql("SELECT datetime(s, 'unixepoch'), date(s - 1, 'unixepoch'), date(s - 1, 'unixepoch', '+1 day'), strftime('%Y|%F %T', s, 'unixepoch'), m, d, date(-62167219200, 'unixepoch') FROM t").first())
+    assert got == ("10000-01-01 00:00:00", "9999-12-31", "10000-01-01", "10000|10000-01-01 00:00:00", "10000-01-01 00:00:05", "10000-01-01", "0000-01-01")
