@@ -3,9 +3,9 @@
 A word pair with count c is entered at levels 1 .. 1 + floor(log2 c); a count is read by probing level after level
 until one is missing. The filter is made region by region from pre-aggregated counts of the whole training corpus,
 so its size follows the corpus. What a worker holds at once is bounded: filter and word counts are cut into slices of
-at most SLICE_MB. A pair lies in one slice of the filter, so the passes over several slices do not need each other: each
-adds up the pairs of its slice, every pair is probed once, and only sums by document are shuffled. What is repeated for
-a slice is reading the words of the texts.
+at most SLICE_MB. Texts are read once and scored in groups: the words and pairs of a group meet the slices one after
+another, equal pairs are probed once, in the order of the filter, and nothing is shuffled. What is repeated for a slice
+is loading it, once a group.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, checkpointed, hashed, held_out, mixed, slices, table, words
+from .common import GOLDEN, checkpointed, hashed, held_out, lean, mixed, slices, table, words
 
 MODULUS, REMAINDER = 7, 2
 #: Hash functions and bits for each level of a pair: a false positive in about 250 probes.
@@ -27,7 +27,12 @@ SLICE_MB = 160
 #: Weight of the single-word model in a pair's probability, in counts.
 PRIOR = 100.0
 REGION_TOKENS, MIN_REGIONS = 1_000_000, 24
+#: Bytes of text that are scored together where slices are loaded for each group, pairs that are probed together, and places for pairs met lately.
+GROUP_BYTES, PROBED, KEPT = 8 << 20, 1 << 15, 1 << 20
+_EMPTY = 255
 END, START = mixed(np.array([0xE4D, 0x57A27], np.uint64))
+#: The count that a level stands for.
+_QUANTISED = np.concatenate([[0.0], 2.0 ** np.arange(255)])
 _LOW, _HALF = np.uint64((1 << 48) - 1), np.uint64((1 << 32) - 1)
 
 
@@ -55,7 +60,7 @@ def _pairs(token: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> np.ndarr
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
     return keys[start], np.add.reduceat(counts, start) if len(keys) else counts
@@ -127,11 +132,6 @@ def _bases(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return a & _HALF, (a >> np.uint64(32)) | np.uint64(1)
 
 
-def _bit(a: np.ndarray, b: np.ndarray, probe: int, n_bits) -> np.ndarray:
-    """Bit positions of a probe: double hashing, scaled to the number of bits."""
-    return (((a + b * np.uint64(probe)) & _HALF) * n_bits >> np.uint64(32)).astype(np.int64)
-
-
 def _region_filter(t: pa.Table) -> pa.Table:
     keys, counts = [], []
     for hi, lo, many, times in zip(*(t[c].to_pylist() for c in ("hi", "lo", "many", "times"))):
@@ -141,14 +141,19 @@ def _region_filter(t: pa.Table) -> pa.Table:
         keys.append(k)
         counts.append(n)
     keys, counts = _summed(np.concatenate(keys), np.concatenate(counts))
-    level = np.floor(np.log2(counts)).astype(np.int64) + 1
+    distinct, level = len(keys), np.floor(np.log2(counts)).astype(np.int64) + 1
     n_bits = min(1 << 31, int(level.sum() * BITS) // 8 * 8 + 64)
     bits = np.zeros(n_bits, bool)
     for q in range(1, int(level.max()) + 1):
-        a, b = _bases(keys[level >= q], q)
-        for p in range(PROBES):
-            bits[_bit(a, b, p, np.uint64(n_bits))] = True
-    return pa.table({"region": t["region"][:1], "n": pa.array([len(keys)], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        if q > 1:
+            more = level >= q
+            keys, level = keys[more], level[more]
+        for k in range(0, len(keys), PROBED):
+            a, b = (x.astype(np.uint32) for x in _bases(keys[k : k + PROBED], q))
+            for _ in range(PROBES):
+                bits[(a * np.uint64(n_bits) >> np.uint64(32)).view(np.int64)] = True
+                a += b
+    return pa.table({"region": t["region"][:1], "n": pa.array([distinct], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
 
 def _packed_words(t: pa.Table) -> pa.Table:
@@ -208,7 +213,7 @@ def train(texts: DataFrame) -> Model:
 
 
 def _look_up(held: tuple, hashes: np.ndarray, into: np.ndarray) -> None:
-    """Write the counts of the hashes that this slice has."""
+    """Write the counts of the hashes, which are in order, that this slice has."""
     h, n, kind = held
     keys, values = np.frombuffer(h, np.uint64), np.frombuffer(n, kind)
     if len(keys):
@@ -217,84 +222,117 @@ def _look_up(held: tuple, hashes: np.ndarray, into: np.ndarray) -> None:
         into[hit] = values[at[hit]]
 
 
-def _probe(held: tuple, regions: int, pairs: np.ndarray, into: np.ndarray) -> None:
-    """Write the levels of the pairs in this slice's regions."""
+def _probe(held: tuple, regions: int, pairs: np.ndarray, into: np.ndarray, most: np.ndarray | None = None) -> None:
+    """Write the levels of the pairs in this slice's regions, none beyond `most`. Pairs in order make neighbours meet in one region."""
     there, starts, sizes, bits = held
     if not len(there):
         return
     blob = np.frombuffer(bits, np.uint8)
     place = np.full(regions, -1)
     place[there] = np.arange(len(there))
-    place = place[_region(pairs, regions)]
-    i = np.flatnonzero(place >= 0)
-    keys, start, size, level = pairs[i] & _LOW, starts[place[i]], sizes[place[i]].astype(np.uint64), 0
+    for k in range(0, len(pairs), PROBED):
+        at = place[_region(pairs[k : k + PROBED], regions)]
+        i = np.flatnonzero(at >= 0)
+        at = at[i]
+        i += k
+        _probe_some(blob, pairs[i] & _LOW, starts[at] * 8, sizes[at].astype(np.uint64), i, into, most)
+
+
+def _probe_some(blob: np.ndarray, keys: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.ndarray, into: np.ndarray, most: np.ndarray | None) -> None:
+    level = 0
+    most = most[i] if most is not None else None
     while len(i):
         level += 1
-        a, b = _bases(keys, level)
+        a, b = (x.astype(np.uint32) for x in _bases(keys, level))
+        alive = None
         for p in range(PROBES):
-            at = _bit(a, b, p, size)
-            ok = np.flatnonzero((blob[start + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1)
-            if len(ok) < len(i):
-                i, keys, start, size, a, b = i[ok], keys[ok], start[ok], size[ok], a[ok], b[ok]
+            # double hashing in 32 bits that wrap, scaled to the number of bits
+            at = (a * size >> np.uint64(32)).view(np.int64) + start
+            ok = (blob[at >> 3] >> (at & 7).astype(np.uint8) & 1).view(bool)
+            alive = ok if alive is None else alive & ok
+            a += b
+            if p < PROBES - 1 and np.count_nonzero(alive) < 0.7 * len(i):
+                i, keys, start, size, a, b = (x[alive] for x in (i, keys, start, size, a, b))
+                most = most[alive] if most is not None else None
+                alive = np.ones(len(i), bool)
+        i, keys, start, size = (x[alive] for x in (i, keys, start, size))
         into[i] = level
+        if most is not None:
+            most = most[alive]
+            more = most > level
+            i, keys, start, size, most = (x[more] for x in (i, keys, start, size, most))
 
 
-def _counted(words_slice):
-    """Texts with what is known of their tokens' counts so far, for models of several slices of words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in slices(b):
-                who, token, _, hashes = _sequences(s.column("text"))
-                count = _known(s, len(token))
-                found = np.full(len(hashes), -1, np.int64)
-                _look_up(words_slice.value, hashes, found)
-                count = np.where(found[token] >= 0, found[token], count)
-                cuts = np.searchsorted(who, np.arange(s.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("text"), pa.array([count[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:])], pa.binary())], ["doc_id", "text", "counts"])
-
-    return run
+def _in_turn(sent: list) -> Iterator[tuple]:
+    """The slices one after another; where there are several a worker holds one at a time, and reads it again from its executor's file."""
+    for x in sent:
+        yield x.value
+        if len(sent) > 1 and getattr(x, "_path", None) is not None:
+            x.__dict__.pop("_value", None)
 
 
-def _known(s: pa.RecordBatch, n: int) -> np.ndarray:
-    if "counts" not in s.schema.names:
-        return np.zeros(n, np.int64)
-    return np.frombuffer(b"".join(s.column("counts").to_pylist()), np.int64).copy()
+def _counts(sent: list, hashes: np.ndarray) -> np.ndarray:
+    order = np.argsort(hashes)
+    ordered, found = hashes[order], np.zeros(len(hashes), np.int64)
+    for held in _in_turn(sent):
+        _look_up(held, ordered, found)
+    out = np.empty_like(found)
+    out[order] = found
+    return out
 
 
-def _pass(model: dict, words_slice, filter_slice, lo: int, hi: int, first_pass: bool):
-    """The sums of each text over the pairs in regions lo to hi, which a slice of the filter has; counts and the base with the first pass."""
+def _seen(sent: list, regions: int, pairs: np.ndarray, most: np.ndarray, kept: np.ndarray | None = None) -> np.ndarray:
+    """The quantised counts of the pairs, at most `most`; equal pairs are probed once, and no further than `most` can show.
 
+    `kept` has the levels of pairs met lately: in the place that a pair's low bits name its other bits, the last 8 of them replaced by the level.
+    """
+    out, ask = np.zeros(len(pairs), np.uint8), most > 0
+    if kept is not None:
+        there = kept[(pairs & np.uint64(KEPT - 1)).view(np.int64)]
+        level = there.astype(np.uint8)
+        hit = ((there ^ pairs) < 256) & (level != _EMPTY)
+        out[hit] = level[hit]
+        ask &= ~hit
+    i = np.flatnonzero(ask)
+    i = i[np.argsort(pairs[i])]
+    keys = pairs[i]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(i) else i
+    keys, times = keys[at], np.diff(at, append=len(i))
+    level = np.zeros(len(at), np.uint8)
+    if len(at):
+        # the first level whose count is not below
+        last = np.ceil(np.log2(np.maximum.reduceat(most[i], at))).astype(np.uint8) + np.uint8(1)
+        for held in _in_turn(sent):
+            _probe(held, regions, keys, level, last)
+    if kept is not None:
+        kept[(keys & np.uint64(KEPT - 1)).view(np.int64)] = keys & ~np.uint64(255) | level
+    out[i] = np.repeat(level, times)
+    return np.minimum(_QUANTISED[out], most)
+
+
+def _scored(model: dict, counts: list, filters: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_tokens, distinct, texts = model["tokens"], model["distinct"], model["texts"]
+        kept = np.full(KEPT, _EMPTY, np.uint64)
         for b in batches:
-            for s in slices(b):
+            for s in slices(b, size=GROUP_BYTES if max(len(counts), len(filters)) > 1 else None):
                 who, token, first, hashes = _sequences(s.column("text"))
                 n = s.num_rows
-                count = _known(s, len(token))
-                if words_slice is not None:
-                    found = np.zeros(len(hashes), np.int64)
-                    _look_up(words_slice.value, hashes, found)
-                    count = found[token]
-                pairs = _pairs(token, first, hashes)
-                region = _region(pairs, model["regions"])
-                mine = (region >= lo) & (region < hi)
-                level = np.zeros(int(mine.sum()), np.uint8)
-                _probe(filter_slice.value, model["regions"], pairs[mine], level)
-                single = (count + 1.0) / (n_tokens + distinct + 1.0)
+                known = _counts(counts, hashes)
+                single = (known + 1.0) / (n_tokens + distinct + 1.0)
+                count = known[token]
+                sums = [np.bincount(who, minlength=n), np.bincount(who[count > 0], minlength=n), np.bincount(who, np.log10(single)[token], n)]
                 before = np.empty(len(token), np.int64)
                 before[1:] = count[:-1]
                 before[first] = texts
                 # a pair can't be more frequent than its words; that also drops most false positives
-                seen = np.where(level > 0, 2.0 ** np.maximum(level.astype(np.int64) - 1, 0), 0.0)
-                seen = np.minimum(seen, np.minimum(count[mine], before[mine]))
-                p = (seen + PRIOR * single[mine]) / (before[mine] + PRIOR)
-                sums = [np.bincount(who, minlength=n), np.bincount(who[count > 0], minlength=n), np.bincount(who, np.log10(single), n)]
-                if not first_pass:
-                    sums = [x * 0 for x in sums]
-                yield pa.RecordBatch.from_arrays([*[s.column(c) for c in model["keys"]], *map(pa.array, sums), pa.array(np.bincount(who[mine], np.log10(p), n))], [*model["keys"], "n_tokens", "n_known", "base_score", "score"])
+                seen = _seen(filters, model["regions"], _pairs(token, first, hashes), np.minimum(count, before), kept)
+                seen += PRIOR * single[token]
+                seen /= before + PRIOR
+                sums.append(np.bincount(who, np.log10(seen, out=seen), n))
+                yield pa.RecordBatch.from_arrays([s.column("doc_id"), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return run
+    return lean(run)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -311,24 +349,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
 def apply_model(rows: DataFrame, model: Model) -> DataFrame:
     kind = dict(rows.dtypes)["doc_id"]
-    for words_slice in model.counts if len(model.counts) > 1 else ():
-        rows = checkpointed(rows.mapInArrow(_counted(words_slice), f"doc_id {kind}, text string, counts binary"))
-    passes, keys = len(model.filters), ["doc_id"]
-    if passes > 1:
-        # rows of one id and text score alike, so they need no number of their own
-        rows, keys = rows.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64("text", F.lit(1))), ["doc_id", "h1", "h2"]
-    plain = {"regions": model.regions, "tokens": model.tokens, "distinct": model.distinct, "texts": model.texts, "keys": keys}
-    schema = f"doc_id {kind}, {'h1 long, h2 long, ' if passes > 1 else ''}n_tokens long, n_known long, base_score double, score double"
-    words_slice = model.counts[0] if len(model.counts) == 1 else None
-    bounds = [0, *model.starts[1:], model.regions]
-    parts = [rows.mapInArrow(_pass(plain, words_slice, f, bounds[k], bounds[k + 1], k == 0), schema) for k, f in enumerate(model.filters)]
-    out = parts[0]
-    if passes > 1:
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        times = F.count("*") / passes
-        out = out.groupBy(*keys).agg(times.cast("int").alias("times"), *[(F.sum(c) / times).cast(k).alias(c) for c, k in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"))])
-        out = out.withColumn("time", F.explode(F.sequence(F.lit(1), "times")))
+    plain = {"regions": model.regions, "tokens": model.tokens, "distinct": model.distinct, "texts": model.texts}
+    out = rows.mapInArrow(_scored(plain, model.counts, model.filters), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     out = out.withColumn("held_out", held_out("doc_id", MODULUS, REMAINDER)).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

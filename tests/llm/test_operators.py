@@ -196,6 +196,42 @@ def test_lm_score_against_exact_counts(spark, odd, monkeypatch):
         assert all(a[2] >= b[2] - 1e-6 for a, b in zip(got, want))
 
 
+def test_lm_texts_are_read_once_for_all_slices(spark, odd, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SLICE_MB", 0)
+    sent = []
+    monkeypatch.setattr(lm_scoring, "apply_model", lambda rows, model, run=lm_scoring.apply_model: sent.append(model) or run(rows, model))
+    plan = lm_scoring.lm_scores(frame(spark, odd))._jdf.queryExecution().executedPlan().toString()
+    assert len(sent[0].filters) > 1 and len(sent[0].counts) > 1
+    assert plan.count("MapInArrow") == 1 and "hashpartitioning" not in plan and "Union" not in plan
+
+
+def test_lm_pairs_are_probed_once_and_no_further_than_their_words(monkeypatch):
+    r = np.random.default_rng(2)
+    keys = np.unique(r.integers(0, 1 << 63, 3000).astype(np.uint64))
+    counts = r.integers(1, 60, len(keys))
+    import pyarrow as pa
+
+    low, many = keys & lm_scoring._LOW, np.flatnonzero(counts > 1).astype(np.uint32)
+    t = pa.table({"region": pa.array([0], pa.int32()), "hi": [(low >> np.uint64(16)).astype(np.uint32).tobytes()], "lo": [(low & np.uint64(0xFFFF)).astype(np.uint16).tobytes()], "many": [many.tobytes()], "times": [counts[many].astype(np.uint32).tobytes()]})
+    bits = lm_scoring._region_filter(t)["bits"][0].as_py()
+    held = (np.array([0]), np.array([0]), np.array([8 * len(bits)]), bits)
+    at = np.concatenate([np.arange(len(keys)), r.integers(0, len(keys), 20_000)])
+    r.shuffle(at)
+    most = r.integers(0, 40, len(keys))
+    free = np.zeros(len(keys), np.uint8)
+    lm_scoring._probe(held, 1, keys, free)
+    want = np.minimum(np.where(free > 0, 2.0 ** np.maximum(free.astype(np.int64) - 1, 0), 0.0), most)
+    asked = []
+    monkeypatch.setattr(lm_scoring, "_probe_some", lambda blob, k, *rest, run=lm_scoring._probe_some: asked.append(k) or run(blob, k, *rest))
+    sent = type("Sent", (), {"value": held})()
+    got = lm_scoring._seen([sent], 1, keys[at], most[at])
+    assert (got == want[at]).all()
+    assert sum(map(len, asked)) == int((most > 0).sum())
+    level = np.zeros(len(keys), np.uint8)
+    lm_scoring._probe(held, 1, keys, level, np.full(len(keys), 3, np.uint8))
+    assert (level == np.minimum(free, 3)).all()
+
+
 def test_lm_filter_reads_back_quantised_counts():
     r = np.random.default_rng(1)
     keys = np.unique(r.integers(0, 1 << 63, 4000).astype(np.uint64)) & lm_scoring._LOW
